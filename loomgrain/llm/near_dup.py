@@ -79,6 +79,10 @@ def signatures(freq: np.ndarray, items: np.ndarray, weights: np.ndarray, missed:
     return out
 
 
+def _member(name: str):
+    return lambda s: s.getField(name)
+
+
 def fingerprint_records(df: DataFrame, key: str, first: str, second: str, arrived: str, min_first: int) -> DataFrame:
     """``(key, arrived, x, y, cid)``: the two cleaned, sorted sets and a 64-bit hash of both.
 
@@ -118,7 +122,7 @@ def similar_classes(records: DataFrame, limit: float = 0.7, block: int = 2048) -
     known = dealt.join(spread, ["item", "salt"]).groupBy("cid").agg(F.collect_list(F.struct("freq", "item", "weight")).alias("m"))
     weight_of = F.lit(1.0) + F.when(F.size("y") > 0, 1.0).otherwise(0.0)
     known = known.join(alive.select("cid", weight_of.alias("whole")), "cid")
-    known = known.select("cid", "whole", *[F.transform("m", lambda s, f=f: s[f]).alias(f) for f in ("freq", "item", "weight")])
+    known = known.select("cid", "whole", *[F.transform("m", _member(f)).alias(f) for f in ("freq", "item", "weight")])
     known = known.withColumn("missed", F.col("whole") - F.aggregate("weight", F.lit(0.0), lambda s, w: s + w)).where(F.col("missed") <= budget + SLACK)
 
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
