@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import components, distinctive, leakage, near_dup, set_join, term_counts, visual_form
+from loomgrain.llm import components, distinctive, leakage, near_dup, parse_check, set_join, source_kind, term_counts, visual_form
 from loomgrain.tables import latest_by_key, read_table
 
 
@@ -51,6 +51,22 @@ def p4_frequencies(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.value_frequencies(entries, "entry_id", lists).withColumnRenamed("value", "call_name")
 
 
+def p5_kinds(spark: SparkSession, d: str) -> DataFrame:
+    return source_kind.source_kinds(read_table(spark, d, "source_files"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_kinds(spark, d).where("generated or minified or vendored or data").select("file_id")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return parse_check.checked_files(read_table(spark, d, "source_files")).where("problem is not null and file_id is not null").select("file_id").distinct()
+
+
+def p6_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parse_check.broken_rates(parse_check.checked_files(read_table(spark, d, "source_files")))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.near_duplicate_groups(read_table(spark, d, "fingerprints"))
 
@@ -75,6 +91,10 @@ def queries() -> dict:
         "p3_found": p3_found,
         "p4_found": p4_found,
         "p4_frequencies": p4_frequencies,
+        "p5_found": p5_found,
+        "p5_kinds": p5_kinds,
+        "p6_found": p6_found,
+        "p6_rates": p6_rates,
         "p7_found": p7_found,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
