@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.llm import components, distinctive, leakage, near_dup, parse_check, set_join, source_kind, term_counts, visual_form
+from loomgrain.llm import components, distinctive, leakage, mixing, near_dup, parse_check, set_join, source_kind, term_counts, visual_form
 from loomgrain.tables import latest_by_key, read_table
 
 
@@ -79,6 +79,18 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).distinct()
 
 
+def _draw(spark: SparkSession, d: str):
+    return mixing.draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_plans"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.reached_shares(*_draw(spark, d))
+
+
+def p9_draw(spark: SparkSession, d: str) -> DataFrame:
+    return _draw(spark, d)[0]
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.look_alike_pairs(read_table(spark, d, "documents"))
 
@@ -98,5 +110,7 @@ def queries() -> dict:
         "p7_found": p7_found,
         "p8_found": p8_found,
         "p8_spans": p8_spans,
+        "p9_shares": p9_shares,
+        "p9_draw": p9_draw,
         "p10_found": p10_found,
     }
