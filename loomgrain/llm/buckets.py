@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.llm.components import connected_groups
 from loomgrain.session import cut_lineage
 
 
@@ -33,3 +36,29 @@ def unique_items(records: DataFrame, record: str, items: str) -> DataFrame:
     held = records.select(record, F.explode(items).alias("_i"))
     alone = held.groupBy("_i").agg(F.count("*").alias("n"), F.min(record).alias(record)).where("n = 1")
     return alone.groupBy(record).agg(F.count("*").alias("uniques"))
+
+
+def bucket_groups(rows: DataFrame, bucket: str, member: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Groups ``(id, group_id)`` of members that ``verify`` links, among all that share a bucket.
+
+    ``verify`` keeps the true ones of the pairs ``(a, b)`` it is given. The result is that of verifying every pair of
+    every bucket, at much less cost where a bucket is full of alike members: first each is held against two heads
+    of its bucket only. Pairs within a group so found need no look; only those of a bucket whose members are still in
+    different groups are verified, all of them, each member of a lesser group against the rest.
+    """
+    placed = rows.select(F.col(bucket).alias("k"), F.col(member).alias("m")).repartition("k")
+    mixed = F.struct(F.xxhash64("m", "k"), "m")
+    heads = placed.groupBy("k").agg(F.min(mixed).alias("h0"), F.max(mixed).alias("h1")).where("h0 != h1")
+    shared = cut_lineage(placed.join(heads.select("k", F.array("h0.m", "h1.m").alias("heads")), "k"))
+    stars = shared.select("m", F.explode("heads").alias("h")).where("m != h")
+    first = cut_lineage(verify(stars.select(F.least("m", "h").alias("a"), F.greatest("m", "h").alias("b")).distinct()))
+    groups = connected_groups(first).select(F.col("id").alias("m"), F.col("group_id").alias("g"))
+    labelled = cut_lineage(shared.select("k", "m").join(groups, "m", "left").select("k", "m", F.coalesce("g", "m").alias("g")))
+    sizes = labelled.groupBy("k", "g").agg(F.count("*").alias("n"))
+    split = sizes.groupBy("k").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("k", F.col("top.g").alias("top"), F.ceil(F.col("top.n") / 2048).cast("int").alias("blocks"))
+    apart = labelled.join(split, "k")
+    one = apart.where("g != top").select("k", F.col("m").alias("x"), F.col("g").alias("gx"), "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
+    two = apart.select("k", F.col("m").alias("y"), F.col("g").alias("gy"), F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int").alias("s"))
+    cross = one.join(two, ["k", "s"]).where("gx != gy and (gy = top or x < y)")
+    second = verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    return connected_groups(first.unionByName(second))

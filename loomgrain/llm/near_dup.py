@@ -20,8 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.buckets import bucket_pairs, unique_items
-from loomgrain.llm.components import connected_groups
+from loomgrain.llm.buckets import bucket_groups, unique_items
 from loomgrain.session import cut_lineage
 from loomgrain.tables import clean_set
 
@@ -94,8 +93,8 @@ def fingerprint_records(df: DataFrame, key: str, first: str, second: str, arrive
     return rows.withColumn("cid", F.xxhash64("x", F.lit(-1), "y"))
 
 
-def similar_classes(records: DataFrame, limit: float = 0.7, block: int = 2048) -> DataFrame:
-    """Pairs ``(a, b)`` of classes (equal sets) of which the mean overlap is at least ``limit``. The overlap of two empty sets is 0."""
+def similar_classes(records: DataFrame, limit: float = 0.7) -> DataFrame:
+    """``(id, group_id)`` of classes (equal sets) that a mean overlap of at least ``limit`` joins directly or indirectly. The overlap of two empty sets is 0."""
     budget = 2 * (1 - limit)
     classes = records.groupBy("cid").agg(F.first("x").alias("x"), F.first("y").alias("y"))
     # members that occur once are missed for sure: most records are out after the first set alone
@@ -134,7 +133,6 @@ def similar_classes(records: DataFrame, limit: float = 0.7, block: int = 2048) -
                 probes.extend(mine)
             yield pd.DataFrame({"cid": np.array(cids, np.int64), "probe": np.array(probes, np.int64)})
 
-    pairs = bucket_pairs(known.mapInPandas(probe, "cid long, probe long"), "probe", "cid", block=block)
     a = alive.select(F.col("cid").alias("a"), F.col("x").alias("xa"), F.col("y").alias("ya"))
     b = alive.select(F.col("cid").alias("b"), F.col("x").alias("xb"), F.col("y").alias("yb"))
 
@@ -143,7 +141,7 @@ def similar_classes(records: DataFrame, limit: float = 0.7, block: int = 2048) -
         return common / F.greatest(F.size(p) + F.size(q) - common, F.lit(1))
 
     mean = (overlap("xa", "xb") + overlap("ya", "yb")) / 2
-    return pairs.join(a, "a").join(b, "b").where(mean >= limit).select("a", "b")
+    return bucket_groups(known.mapInPandas(probe, "cid long, probe long"), "probe", "cid", lambda pairs: pairs.join(a, "a").join(b, "b").where(mean >= limit).select("a", "b"))
 
 
 def near_duplicate_groups(df: DataFrame, key: str = "fn_id", first: str = "ngram_hashes", second: str = "skeleton_hashes", arrived: str = "ingested_at", limit: float = 0.7, min_first: int = 8) -> DataFrame:
@@ -155,7 +153,7 @@ def near_duplicate_groups(df: DataFrame, key: str = "fn_id", first: str = "ngram
     records = fingerprint_records(df, key, first, second, arrived, min_first)
     members = records.groupBy("key").agg(F.max_by(F.struct("cid", (F.size("y") > 0).alias("whole")), "arrived").alias("c")).select("key", "c.cid", "c.whole")
     members = cut_lineage(members)
-    labels = connected_groups(similar_classes(records, limit)).select(F.col("id").alias("cid"), F.col("group_id").alias("label"))
+    labels = similar_classes(records, limit).select(F.col("id").alias("cid"), F.col("group_id").alias("label"))
     classes = members.groupBy("cid", "whole").agg(F.min("key").alias("least"), F.count("*").alias("n"))
     labelled = classes.join(labels, "cid", "left").where("label is not null or (n > 1 and whole)").withColumn("label", F.coalesce("label", "cid"))
     groups = labelled.groupBy("label").agg(F.min("least").alias("group_id"), F.sum("n").alias("size")).where("size > 1")
