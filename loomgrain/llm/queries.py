@@ -114,3 +114,9 @@ def queries() -> dict:
         "p9_draw": p9_draw,
         "p10_found": p10_found,
     }
+
+
+def oracle_sql() -> dict[str, str]:
+    from loomgrain.llm.sql import SQL
+
+    return SQL
