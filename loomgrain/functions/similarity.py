@@ -94,7 +94,11 @@ def minhash_signature(items: Column | str, hashes: int, seed: int = 1) -> Column
     """Minwise signature from the family (a x + b) mod (2^31 - 1), which ANSI SQL computes alike; empty sets give zeros."""
     items = members(items)
     reduced = F.transform(items, lambda x: x % MODULUS)
-    row = [F.array_min(F.transform(reduced, lambda x, a=a, b=b: (x * F.lit(a) + F.lit(b)) % MODULUS)) for a, b in hash_family(hashes, seed)]
+
+    def hashed(a: int, b: int):
+        return lambda x: (x * F.lit(a).cast("long") + F.lit(b).cast("long")) % MODULUS
+
+    row = [F.array_min(F.transform(reduced, hashed(a, b))) for a, b in hash_family(hashes, seed)]
     return F.when(F.size(items) == 0, F.array_repeat(F.lit(0).cast("long"), hashes)).otherwise(F.array(*row))
 
 

@@ -31,11 +31,18 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, keep_every: int = 3) -
 def forward_propagate(edges: DataFrame, sources: DataFrame, depth: int = 5) -> DataFrame:
     """``(node, origin, hops)``: nodes that a source reaches, with the nearest source's origin (ties: the least seed).
 
-    ``sources(node, origin)``. Origins travel along calls as in a breadth-first walk from each source.
+    ``sources(node, origin)``. One front for all sources together: a node is met once, so rows never exceed nodes.
     """
-    met = reach(edges, sources.select("node"), depth).join(sources.select(F.col("node").alias("seed"), "origin"), "seed")
-    best = F.min_by("origin", F.struct("hops", "seed", "origin"))
-    return met.groupBy("node").agg(best.alias("origin"), F.min("hops").alias("hops"))
+    steps = edges.select(F.col("src").alias("node"), F.col("dst").alias("next")).where("node is not null and next is not null").distinct()
+    front = sources.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("node").alias("seed"), "origin")).alias("by"))
+    front = found = cut_lineage(front.withColumn("hops", F.lit(0).cast("long")))
+    for hop in range(1, depth + 1):
+        met = front.join(steps, "node").groupBy(F.col("next").alias("node")).agg(F.min("by").alias("by"))
+        front = cut_lineage(met.join(found.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop).cast("long")))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found.select("node", F.col("by.origin").alias("origin"), "hops")
 
 
 def backward_resolve(edges: DataFrame, sinks: DataFrame, sources: DataFrame, depth: int = 10) -> DataFrame:
