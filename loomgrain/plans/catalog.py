@@ -1,6 +1,6 @@
 """All registered queries of the core."""
 
-from loomgrain.plans import feature_queries, match_queries  # noqa: F401
+from loomgrain.plans import feature_queries, finding_queries, match_queries  # noqa: F401
 from loomgrain.plans.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]
