@@ -27,6 +27,7 @@ PERSONAL_NAMES = (
     "healthcondition health_condition prescription bankaccount bank_account accountnumber account_number routingnumber routing_number iban swift"
 ).split()
 VALIDATOR = r"^(validate|check_|verify_|ensure_|sanitize_|parse_|guard_)|_validator|_verifier"
+BLOCK = r"/\*[^*]*\*+(?:[^/*][^*]*\*+)*/"
 KEYWORDS_PRESENT = "if else for while loop match switch try catch throw return await async yield break continue new unsafe fn function class import".split()
 
 
@@ -88,7 +89,8 @@ def directory_prefix(path: Column, depth: int = 3) -> Column:
 
 def strip_comments_and_strings(body: Column) -> Column:
     """Code without comments and with empty string literals: one alternation, leftmost match wins."""
-    kept = r'("(?:[^"\\\n]|\\.)*"|\'(?:[^\'\\\n]|\\.)*\')|//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/'
+    # loops unrolled: the engine recurses per repeated group, so only escapes and stars may repeat one
+    kept = r'("[^"\\\n]*(?:\\.[^"\\\n]*)*"|\'[^\'\\\n]*(?:\\.[^\'\\\n]*)*\')|//[^\n]*|' + BLOCK
     return F.regexp_replace(body, kept, "")
 
 
@@ -104,7 +106,7 @@ def keywords_present(code: Column) -> Column:
 
 def comment_density(body: Column) -> Column:
     """Comment characters over all characters; 0 for an empty body."""
-    comments = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(//[^\n]*|/\*(?:[^*]|\*+[^*/])*\*+/)"), 1)
+    comments = F.regexp_extract_all(F.coalesce(body, F.lit("")), F.lit(r"(//[^\n]*|" + BLOCK + ")"), 1)
     size = F.aggregate(comments, F.lit(0), lambda s, c: s + F.length(c))
     return F.coalesce(F.try_divide(size, F.length(body)), F.lit(0.0))
 
