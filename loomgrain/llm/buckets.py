@@ -46,8 +46,8 @@ def bucket_groups(rows: DataFrame, bucket: str, member: str, verify: Callable[[D
     of its bucket only. Pairs within a group so found need no look; only those of a bucket whose members are still in
     different groups are verified, all of them, each member of a lesser group against the rest.
     """
-    placed = rows.select(F.col(bucket).alias("k"), F.col(member).alias("m")).repartition("k")
-    mixed = F.struct(F.xxhash64("m", "k"), "m")
+    placed = rows.select(F.col(bucket).alias("k"), F.col(member).alias("m"))
+    mixed = F.struct(F.xxhash64("m", "k"), "m")  # heads combine before they move, and a full bucket may be split in the join
     heads = placed.groupBy("k").agg(F.min(mixed).alias("h0"), F.max(mixed).alias("h1")).where("h0 != h1")
     shared = cut_lineage(placed.join(heads.select("k", F.array("h0.m", "h1.m").alias("heads")), "k"))
     stars = shared.select("m", F.explode("heads").alias("h")).where("m != h")

@@ -126,7 +126,7 @@ def draw(documents: DataFrame, plans: DataFrame, vocabulary: str = DEFAULT_VOCAB
     level = 0
 
     def leaf_of(level: int):
-        def settle_leaf(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        def settle_leaf(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
             name = f"{seed}|{level}|{key[0]}|{key[1]}|{key[2]}"
             rng = np.random.default_rng(int(pd.util.hash_array(np.array([name], dtype=object))[0]))
             pdf = pdf.sort_values(["tokens", "doc_id"], ignore_index=True)

@@ -50,6 +50,14 @@ def allocate_widths(strata: list[tuple[int, float, float]], records: int, per_re
     return [k + 1 for k in min(best, key=lambda x: x[0])[1]] if best else []
 
 
+def _combined(items: np.ndarray) -> int:
+    """One hash of several items in order, as a signed 64-bit number."""
+    h = items[:1].copy()
+    for x in items[1:]:
+        h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (x + (h >> np.uint64(29)))
+    return int(h.view(np.int64)[0])
+
+
 def signatures(freq: np.ndarray, items: np.ndarray, weights: np.ndarray, missed: float, budget: float, width_of: np.ndarray) -> list[int]:
     """Hashes of the probes of one record; ``missed`` is the weight of its members that no other record holds."""
     order = np.lexsort((items, freq))
@@ -71,10 +79,7 @@ def signatures(freq: np.ndarray, items: np.ndarray, weights: np.ndarray, missed:
                 ok = ok and before[j] - picked <= limit
                 picked += float(weights[j])
             if ok:
-                h = mixed[i]
-                for j in rest:
-                    h = (h * np.uint64(0x9E3779B97F4A7C15)) ^ (mixed[j] + (h >> np.uint64(29)))
-                out.append(int(h.view(np.int64)))
+                out.append(_combined(mixed[[i, *rest]]))
     return out
 
 

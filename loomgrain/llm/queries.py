@@ -41,6 +41,10 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return set_join.similar_pairs(p3_records(spark, d))
 
 
+def p3_links(spark: SparkSession, d: str) -> DataFrame:
+    return set_join.record_links(p3_records(spark, d))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_frequencies(spark, d).where("mark is not null").select("call_name", "mark")
 
@@ -95,12 +99,17 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return visual_form.look_alike_pairs(read_table(spark, d, "documents"))
 
 
+def p10_forms(spark: SparkSession, d: str) -> DataFrame:
+    return visual_form.form_classes(read_table(spark, d, "documents"))
+
+
 def queries() -> dict:
     return {
         "p1_found": p1_found,
         "p1_elite": p1_elite,
         "p2_found": p2_found,
         "p3_found": p3_found,
+        "p3_links": p3_links,
         "p4_found": p4_found,
         "p4_frequencies": p4_frequencies,
         "p5_found": p5_found,
@@ -113,6 +122,7 @@ def queries() -> dict:
         "p9_shares": p9_shares,
         "p9_draw": p9_draw,
         "p10_found": p10_found,
+        "p10_forms": p10_forms,
     }
 
 

@@ -124,3 +124,16 @@ def similar_pairs(records: DataFrame, limit: float = 0.6, banding: Banding = Ban
     firsts = members.select(F.col("cid").alias("a"), F.col("key").alias("ka"), F.col("side").alias("sa"))
     pairs = seconds.join(firsts, "a").where("sa + sb < 2 and ka != kb and (a != b or ka < kb)")
     return pairs.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
+
+
+def record_links(records: DataFrame, limit: float = 0.6, banding: Banding = Banding()) -> DataFrame:
+    """One row per key: ``(key, side, class_id, copies, links)``, no pair being expanded.
+
+    ``class_id`` is the least key of the equal sets, ``copies`` their number and ``links`` the number of other classes
+    that overlap by at least ``limit``.
+    """
+    members = memberships(records)
+    classes = members.groupBy("cid").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
+    degree = similar_classes(records, limit, banding).select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
+    rows = members.join(classes.join(degree, "cid", "left"), "cid")
+    return rows.select("key", "side", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))

@@ -107,3 +107,15 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min
     right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*group, "salt", F.col(key).alias("doc_b"), F.col("text_hi").alias("hi_b"), F.col("text_lo").alias("lo_b"))
     pairs = left.join(right, [*group, "salt"]).where("doc_a < doc_b and (text_hi != hi_b or text_lo != lo_b)")
     return pairs.select("doc_a", "doc_b")
+
+
+def form_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 0) -> DataFrame:
+    """One row per record with a text: ``(key, form_id, members, spellings)``.
+
+    ``form_id`` is the least key among records of equal skeletons, ``spellings`` how many different texts they are stored as.
+    """
+    rows = visual_classes(df, key, text, min_length).distinct()
+    group = ["form_hi", "form_lo"]
+    spelt = rows.groupBy(*group, "text_hi", "text_lo").agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    classes = spelt.groupBy(*group).agg(F.min("least").alias("form_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
+    return rows.join(classes, group).select(key, "form_id", "members", "spellings")
