@@ -86,6 +86,7 @@ class Function:
     body: str
     code: str
     offset: int
+    signature: str = ""
     calls: list[dict] = field(default_factory=list)
     assignments: list[dict] = field(default_factory=list)
     events: list[str] = field(default_factory=list)
@@ -136,7 +137,7 @@ def functions_of(text: str, extension: str) -> list[Function]:
             body_end = closing(code, body_start)
             body_start += 1
         body_code = code[body_start:body_end]
-        fn = Function(name, line(m.start()), line(min(body_end, len(code) - 1)), [p for p in params if p and p != "self"], text[body_start:body_end], body_code, body_start)
+        fn = Function(name, line(m.start()), line(min(body_end, len(code) - 1)), [p for p in params if p and p != "self"], text[body_start:body_end], body_code, body_start, text[m.start() : body_start].strip())
         for c in CALL.finditer(body_code):
             callee = re.sub(r"^(?:await|new)\s+|\s", "", c.group(1)).replace("?.", ".")
             if callee.split(".")[0] in NOT_CALLS:
@@ -163,7 +164,11 @@ def _depths(code: str):
     return lambda at: sum(d for p, d in marks if p < at)
 
 
-FUNCTION_SCHEMA = "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>>>, control array<string>, body string"
+FUNCTION_SCHEMA = (
+    "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>>>, "
+    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, signature string, body string"
+)
+COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control signature body".split()
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -175,8 +180,9 @@ def extract_functions(files: DataFrame) -> DataFrame:
             for fid, repo, path, text in zip(b.file_id, b.repo, b.file_path, b.content):
                 for f in functions_of(text or "", (path or "").rsplit(".", 1)[-1].lower()):
                     calls = [{"name": c["name"], "line": c["line"], "args": c["args"]} for c in f.calls]
-                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, f.events, f.body))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in FUNCTION_SCHEMA.split(", ") if not c.startswith(("line:", "args:"))])
+                    assigned = [{"var": a["var"], "value": a["value"], "at": a["at"]} for a in f.assignments]
+                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.signature, f.body))
+            yield pd.DataFrame(out, columns=COLUMNS)
 
     return files.select("file_id", "repo", "file_path", "content").where("file_id is not null").mapInPandas(scan, FUNCTION_SCHEMA)
 

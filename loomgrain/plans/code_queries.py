@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.operators import frontend, roles, taint
+from loomgrain.operators import filters, fingerprint, frontend, roles, taint
 from loomgrain.plans.feature_queries import files
 from loomgrain.plans.registry import query
 
@@ -39,3 +39,28 @@ def taint_summaries(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def taint_findings(spark: SparkSession, d: str) -> DataFrame:
     return taint.taint_findings(taint.function_flows(_files(spark, d)))
+
+
+@query()
+def built_fingerprints(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes of all dimensions of each function, as built from source."""
+    rows = fingerprint.fingerprints(frontend.extract_functions(_files(spark, d)))
+    dims = [c for c, kind in rows.dtypes if kind.startswith("array")]
+    return rows.select("file_id", "function_name", "line", "comment_density", *[F.size(c).cast("long").alias(c) for c in dims])
+
+
+@query()
+def cooccurring_flows(spark: SparkSession, d: str) -> DataFrame:
+    """Functions with both ends of a flow in their text, the cheap test before the walk."""
+    functions = frontend.extract_functions(_files(spark, d))
+    return filters.cooccurrence(functions, r"\w+\.fetch\(|\w+\.load\(|\w+\.scan\(", {"LOG_FLOW": r"logger\.\w+\(", "STORE_FLOW": r"\w+\.store\(", "SEND_FLOW": r"\w+\.publish\("})
+
+
+@query()
+def sink_hops(spark: SparkSession, d: str) -> DataFrame:
+    """How far the values in logging calls are from a fetched value, in assignments."""
+    functions = frontend.extract_functions(_files(spark, d))
+    named = functions.withColumn("fn", F.concat_ws(":", F.col("file_id").cast("string"), "name", F.col("first_line").cast("string")))
+    assigned = named.select("fn", F.explode("assignments").alias("a")).select("fn", "a.var", "a.at", "a.value")
+    uses = named.select("fn", F.explode("calls").alias("c")).where("size(c.args) > 0").select("fn", F.lit(1 << 40).alias("at"), F.array_join("c.args", " ").alias("text")).distinct()
+    return filters.trace_hops(assigned, uses, r"\.(?:fetch|load|scan|resolve)\(")
