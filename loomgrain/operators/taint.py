@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.operators import frontend, graph
+from loomgrain.operators import cfg, frontend, graph
 
 # Where untrusted data comes from, where it must not go, and what cleans it.
 SOURCES = {
@@ -36,6 +36,14 @@ GUARDS = re.compile(r"\b(?:isAuthenticated|isAuthorized|requireAuth|authorize|ch
 WORD = re.compile(r"[A-Za-z_$][\w$]*")
 
 
+def _guarded(code: str, at: int) -> bool:
+    """An authorisation test that leaves early covers the position: by dominance, or by order where blocks have no braces."""
+    if "{" in code:
+        return cfg.guarded(code, at)
+    guard = GUARDS.search(code, 0, at)
+    return bool(guard and re.search(r"\b(?:return|raise)\b", code[guard.start() : at]))
+
+
 def sink_of(callee: str) -> str | None:
     """Category of a call: by its full name, its last two parts or its last part; safe receivers have none."""
     name = callee.rstrip("!")
@@ -80,8 +88,7 @@ def flows_of(fn: frontend.Function) -> tuple[list[dict], bool, float]:
         if category is None:
             continue
         o = next((o for o in map(origin, x["args"]) if o), None)
-        guard = GUARDS.search(fn.code, 0, at)
-        if o and not (guard and re.search(r"\b(?:return|throw|raise)\b", fn.code[guard.start() : at])):
+        if o and not _guarded(fn.code, at):
             flows.append({"origin": o, "sink": x["name"], "category": category, "line": x["line"]})
     returns = [fn.body[m.end() : fn.body.find("\n", m.end()) if "\n" in fn.body[m.end() :] else None] for m in re.finditer(r"\breturn\b", fn.code)]
     seeds = set(fn.params) | {v for v, o in tainted.items() if o in ("parameter", "request")}
