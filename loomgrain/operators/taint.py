@@ -29,7 +29,8 @@ SINKS = {
     "log": ["console.log", "logger.info"],
 }
 WEAKNESS = {"command": 78, "query": 89, "code": 94, "file": 22, "markup": 79, "redirect": 601, "fetch": 918, "log": 117}
-CLEANERS = re.compile(r"\b(?:\w*[sS]anitize\w*|\w*[eE]scape\w*|encodeURIComponent|parseInt|Number|parseFloat|int|float|validate\w*|path\.basename|shlex\.quote)\s*\(")
+CLEANER = re.compile(r"[sS]anitize|[eE]scape|^(?:encodeURIComponent|parseInt|Number|parseFloat|int|float|path\.basename|shlex\.quote)$|(?:^|\.)validate")
+CALLED = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$.]*)\s*\(")
 REQUEST_NAMES = {"req", "request", "ctx", "event", "body", "payload", "params", "query"}
 SAFE_RECEIVERS = ("JSON.", "Math.", "console.", "Object.", "Array.", "Promise.", "logger.", "log::")
 GUARDS = re.compile(r"\b(?:isAuthenticated|isAuthorized|requireAuth|authorize|checkPermission|hasRole|verifyToken|ensureLoggedIn|is_admin|isAdmin)\b")
@@ -44,6 +45,11 @@ def _guarded(code: str, at: int) -> bool:
     return bool(guard and re.search(r"\b(?:return|raise)\b", code[guard.start() : at]))
 
 
+def cleaned(text: str) -> bool:
+    """Whether the text calls something that cleans its argument. Names are matched one by one: long literals cost their length."""
+    return any(CLEANER.search(name) for name in CALLED.findall(text))
+
+
 def sink_of(callee: str) -> str | None:
     """Category of a call: by its full name, its last two parts or its last part; safe receivers have none."""
     name = callee.rstrip("!")
@@ -68,7 +74,7 @@ def flows_of(fn: frontend.Function) -> tuple[list[dict], bool, float]:
     flows = []
 
     def origin(text: str) -> str | None:
-        if CLEANERS.search(text):
+        if cleaned(text):
             return None
         for name, pattern in SOURCES.items():
             if re.search(pattern, text):
@@ -92,7 +98,7 @@ def flows_of(fn: frontend.Function) -> tuple[list[dict], bool, float]:
             flows.append({"origin": o, "sink": x["name"], "category": category, "line": x["line"]})
     returns = [fn.body[m.end() : fn.body.find("\n", m.end()) if "\n" in fn.body[m.end() :] else None] for m in re.finditer(r"\breturn\b", fn.code)]
     seeds = set(fn.params) | {v for v, o in tainted.items() if o in ("parameter", "request")}
-    propagates = any(w in seeds for r in returns for w in WORD.findall(r) if not CLEANERS.search(r))
+    propagates = any(w in seeds for r in returns for w in WORD.findall(r) if not cleaned(r))
     uses = sum(w in tainted for w in WORD.findall(fn.code))
     branched = sum(any(w in tainted for w in WORD.findall(c)) for c in re.findall(r"\b(?:if|elif|match|switch|while)\b([^{:\n]*)", fn.code))
     return flows, propagates, branched / uses if uses else 0.0
