@@ -34,6 +34,7 @@ CALLED = re.compile(r"(?<![\w$.])([A-Za-z_$][\w$.]*)\s*\(")
 REQUEST_NAMES = {"req", "request", "ctx", "event", "body", "payload", "params", "query"}
 SAFE_RECEIVERS = ("JSON.", "Math.", "console.", "Object.", "Array.", "Promise.", "logger.", "log::")
 GUARDS = re.compile(r"\b(?:isAuthenticated|isAuthorized|requireAuth|authorize|checkPermission|hasRole|verifyToken|ensureLoggedIn|is_admin|isAdmin)\b")
+STATEMENT = re.compile(r"[^;\n]*")
 WORD = re.compile(r"[A-Za-z_$][\w$]*")
 
 
@@ -96,9 +97,9 @@ def flows_of(fn: frontend.Function) -> tuple[list[dict], bool, float]:
         o = next((o for o in map(origin, x["args"]) if o), None)
         if o and not _guarded(fn.code, at):
             flows.append({"origin": o, "sink": x["name"], "category": category, "line": x["line"]})
-    returns = [fn.body[m.end() : fn.body.find("\n", m.end()) if "\n" in fn.body[m.end() :] else None] for m in re.finditer(r"\breturn\b", fn.code)]
+    returns = [fn.body[m.end() : STATEMENT.match(fn.code, m.end()).end()] for m in re.finditer(r"\breturn\b", fn.code)]
     seeds = set(fn.params) | {v for v, o in tainted.items() if o in ("parameter", "request")}
-    propagates = any(w in seeds for r in returns for w in WORD.findall(r) if not cleaned(r))
+    propagates = any(not seeds.isdisjoint(WORD.findall(r)) and not cleaned(r) for r in returns)
     uses = sum(w in tainted for w in WORD.findall(fn.code))
     branched = sum(any(w in tainted for w in WORD.findall(c)) for c in re.findall(r"\b(?:if|elif|match|switch|while)\b([^{:\n]*)", fn.code))
     return flows, propagates, branched / uses if uses else 0.0
