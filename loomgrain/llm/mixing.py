@@ -13,7 +13,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 from math import ceil
 
 import numpy as np
@@ -27,15 +26,20 @@ DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the usual split pattern of byte-level vocabularies, where the vocabulary's own module names none.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SMALL_PLAN = 100_000
+LARGEST_VOCABULARY = 64 << 20
 
 
-@lru_cache(maxsize=2)
-def encoding(vocabulary: str):
-    import tiktoken
+_encodings: dict[str, object] = {}
 
-    with open(vocabulary, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding(os.path.basename(vocabulary), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+def encoding(name: str, data: bytes):
+    """The tokenizer of a vocabulary of ranks, built once per worker."""
+    if name not in _encodings:
+        import tiktoken
+
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines())}
+        _encodings[name] = tiktoken.Encoding(os.path.basename(name), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encodings[name]
 
 
 def source_form(column: str):
@@ -43,10 +47,17 @@ def source_form(column: str):
 
 
 def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
-    """``(doc_id, source, tokens)``, each document once; null and empty texts and null ids and sources are left out."""
+    """``(doc_id, source, tokens)``, each document once; null and empty texts and null ids and sources are left out.
+
+    The vocabulary is read by the driver and sent to the workers; a file of more than 64 MB is none and raises.
+    """
+    if os.path.getsize(vocabulary) > LARGEST_VOCABULARY:
+        raise ValueError(f"{vocabulary} is too large for a vocabulary")
+    with open(vocabulary, "rb") as f:
+        shared = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoding(vocabulary)
+        enc = encoding(vocabulary, shared.value)
         for b in batches:
             yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "tokens": [len(enc.encode_ordinary(t)) for t in b.text]})
 
