@@ -48,7 +48,11 @@ def ship_package(spark: SparkSession) -> None:
     if app in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="loomgrain-package-")) / "loomgrain.zip"
+    # the driver serves the file to the workers; it lies in the shared folder where that is a path
+    shared = str(spark.conf.get("spark.checkpoint.dir", None) or "").removeprefix("file://")
+    folder = Path(shared) / "packages" if shared.startswith("/") else Path(tempfile.mkdtemp(prefix="loomgrain-package-"))
+    folder.mkdir(parents=True, exist_ok=True)
+    target = folder / f"loomgrain-{app}.zip"
     with zipfile.ZipFile(target, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
