@@ -131,3 +131,18 @@ def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         return lcs_length(np.asarray(x), np.asarray(y)) / max(len(x), len(y))
 
     return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def skeleton_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """1 - LCS / longer length of two sequences of at most 256; 0 for two empty ones, 1 for one."""
+
+    def one(x, y) -> float:
+        x, y = ([] if v is None else list(v)[:256] for v in (x, y))
+        if not x and not y:
+            return 0.0
+        if not x or not y:
+            return 1.0
+        return 1 - lcs_length(np.asarray(x), np.asarray(y)) / max(len(x), len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=float)

@@ -169,3 +169,23 @@ def glob_pattern(glob: str) -> str:
             out += "[^/]*" if c == "*" else "[^/]" if c == "?" else "\\" + c if c in ".^$+{}()|[]\\" else c
             i += 1
     return f"^{out}$"
+
+
+def base_type_name(annotation: Column) -> Column:
+    """The bare name of a type annotation: no colon, reference, generics or qualifying parts."""
+    bare = F.regexp_replace(F.regexp_replace(annotation, r"^\s*:?\s*(?:&\s*)?(?:mut\s+)?", ""), r"[<\[|?].*$", "")
+    return F.trim(F.regexp_extract(bare, r"([A-Za-z_$][\w$]*)\s*$", 1))
+
+
+def injection_points(content: Column) -> Column:
+    """Distinct ``place.name`` of the request fields that a handler reads, such as ``query.id``."""
+    fields = F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"\b(?:req|request|ctx|c\.req)\.((?:body|query|params|headers|cookies)\.[A-Za-z_$][\w$]*)"), 1)
+    return F.sort_array(F.array_distinct(fields))
+
+
+def form_token(html: Column) -> Column:
+    """The value of a hidden anti-forgery field or meta tag; null where there is none."""
+    names = r"(?:_?csrf(?:[_-]?token)?|authenticity_token|__RequestVerificationToken|xsrf-token)"
+    field = F.regexp_extract(html, r"(?i)<(?:input|meta)\b[^>]*\bname=[\"']" + names + r"[\"'][^>]*\b(?:value|content)=[\"']([^\"']*)[\"']", 1)
+    turned = F.regexp_extract(html, r"(?i)<(?:input|meta)\b[^>]*\b(?:value|content)=[\"']([^\"']*)[\"'][^>]*\bname=[\"']" + names + r"[\"']", 1)
+    return F.nullif(F.when(field != "", field).otherwise(turned), F.lit(""))

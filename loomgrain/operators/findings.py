@@ -112,3 +112,13 @@ def match_labels(findings: DataFrame, labels: DataFrame, reach: int = 30, tight:
         return pd.DataFrame(out, columns=["finding_id", "label_id"])
 
     return findings.groupBy("file").cogroup(labels.groupBy("file")).applyInPandas(assign, "finding_id long, label_id long")
+
+
+def without_known(findings: DataFrame, baseline: DataFrame, strict_compat: bool = False) -> DataFrame:
+    """Findings whose ``fingerprint`` the baseline lacks.
+
+    An empty or null fingerprint says nothing and is never known, unless ``strict_compat``, where empty ones are equal too.
+    """
+    known = baseline.select(F.coalesce("fingerprint", F.lit("")).alias("_f")).distinct()
+    same = F.coalesce("fingerprint", F.lit("")) == F.col("_f")
+    return findings.join(known, same if strict_compat else same & (F.col("_f") != ""), "left_anti")

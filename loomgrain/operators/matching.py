@@ -43,6 +43,13 @@ def best_example(functions: DataFrame, examples: DataFrame) -> DataFrame:
     return scored.groupBy("fn_id").agg(best).select("fn_id", (-F.col("b.e")).alias("example_id"), F.round("b.jaccard", 6).alias("jaccard"))
 
 
+def effective_bands(hashes: int, bands: int, rows: int, strict_compat: bool = False) -> int:
+    """How many bands a signature fills: all that are asked for must fit, unless ``strict_compat``, where those beyond its end stay empty."""
+    if bands * rows > hashes and not strict_compat:
+        raise ValueError(f"{bands} bands of {rows} rows need {bands * rows} hashes, not {hashes}")
+    return min(bands, hashes // rows)
+
+
 def banded_candidates(functions: DataFrame, examples: DataFrame, tables: dict[str, str], bands: int = 8, rows: int = 3) -> DataFrame:
     """Candidate pairs from one banded index per feature column, with the number of indexes hit and ``hit_both``.
 

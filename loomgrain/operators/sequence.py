@@ -82,3 +82,28 @@ def latency_profile(rows: DataFrame, group: list[str], value: str, ratio: float
     at = lambda i: F.max(F.when(F.col("rank") == i, F.col(value)))
     stats = ranked.groupBy(*group).agg(F.max("n").alias("n"), at(F.floor(F.col("n") / 2)).alias("p50"), at(F.least(F.floor(F.col("n") * 0.99), F.col("n") - 1)).alias("p99"))
     return stats.withColumn("confirmed", F.coalesce(F.try_divide("p99", "p50") > ratio, F.lit(False)))
+
+
+def broken_pairs(events: DataFrame, rules: DataFrame, scope: list[str], order: list[str], label: str) -> DataFrame:
+    """Two-step rules ``(rule_id, first, second)`` that a scope begins and does not finish, all rules in one pass.
+
+    A rule is open in a scope if no ``second`` follows its first ``first``: that is one minimum and one maximum, so
+    events combine before they move. Rules whose steps are equal need two events.
+    """
+    place = F.struct(*[F.col(c) for c in order])
+    long = rules.select("rule_id", F.explode(F.array(F.struct(F.lit(1).alias("step"), F.col("first").alias("l")), F.struct(F.lit(2).alias("step"), F.col("second").alias("l")))).alias("s"))
+    met = events.join(long.select("rule_id", "s.step", F.col("s.l").alias(label)), label)
+    ends = met.groupBy("rule_id", *scope).agg(F.min(F.when(F.col("step") == 1, place)).alias("a"), F.max(F.when(F.col("step") == 2, place)).alias("b"))
+    return ends.where(F.col("a").isNotNull() & (F.col("b").isNull() | (F.col("b") <= F.col("a")))).select("rule_id", *scope)
+
+
+# Names of calls that take and give back a resource.
+ACQUIRE = ("lock", "acquire", "open", "begin", "connect", "borrow_mut", "subscribe", "write_lock", "read_lock")
+RELEASE = ("unlock", "release", "close", "commit", "rollback", "disconnect", "drop", "unsubscribe", "dispose")
+
+
+def resource_events(calls: DataFrame, name: str = "name") -> DataFrame:
+    """Calls with an event type: acquire, release, await or call, by the last part of the name. Guards that release by scope are acquired only."""
+    last = F.lower(F.regexp_extract(name, r"([^.:]*)!?$", 1))
+    kind = F.when(last.isin(*ACQUIRE), "acquire").when(last.isin(*RELEASE), "release").when(F.col(name).startswith("await "), "await").otherwise("call")
+    return calls.withColumn("event_type", kind)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import tomllib
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -138,6 +139,33 @@ def read_config(path: str) -> dict:
         return _plain_yaml(text)
 
 
+def read_sidecar(path: str) -> dict:
+    """Overrides of a pattern beside its examples, in TOML; a missing file has none."""
+    p = Path(path)
+    return tomllib.loads(p.read_text()) if p.exists() else {}
+
+
+def union_libraries(spark: SparkSession, roots: list[str], strict_compat: bool = False) -> DataFrame:
+    """Examples of several folders; of a pattern that more than one has, all count."""
+    frames = [example_files(scan_directory(spark, r, tests=True), strict_compat)[0] for r in roots]
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def import_table(files: DataFrame) -> DataFrame:
+    """``(file_id, local, package)`` of default, namespace and named imports and of requires in script files ``(file_id, content)``."""
+    text = F.coalesce("content", F.lit(""))
+    es = F.regexp_extract_all(text, F.lit(r"""(import\s+[^;'"]+\s+from\s+['"][^'"]+['"])"""), 1)
+    cjs = F.regexp_extract_all(text, F.lit(r"""((?:const|let|var)\s+[\w${},\s]+=\s*require\(\s*['"][^'"]+['"]\s*\))"""), 1)
+    rows = files.select("file_id", F.explode(F.array_union(es, cjs)).alias("s"))
+    package = F.regexp_extract("s", r"""['"]([^'"]+)['"]\s*\)?$""", 1)
+    names = F.regexp_replace(F.regexp_extract("s", r"^(?:import|const|let|var)\s+(?:type\s+)?(.+?)\s*(?:from|=)\s*", 1), r"[{}]|\*\s+as\s+", " ")
+    parts = F.split(names, ",")
+    return rows.select("file_id", package.alias("package"), F.explode(parts).alias("p")).select("file_id", F.regexp_extract("p", r"([\w$]+)\s*$", 1).alias("local"), "package").where("local != ''").distinct()
+
+
 def _plain_yaml(text: str) -> dict:
     out, key, item = {}, None, None
     scalar = lambda s: s.strip().strip("'\"")
