@@ -37,7 +37,7 @@ def value_frequencies(df: DataFrame, key: str, lists: list[str], rare_at_most: i
     distinct records hold is common. Every distinct key counts as a record, those without values too. ``df`` must
     hold each key once for ``occurrences``; ``records`` is right with repeated rows, for a bit is set once.
     """
-    total = df.agg(F.countDistinct(key).alias("total"))
+    total = df.agg(F.countDistinct(key)).scalar()
     counts = postings(df, key, lists, form).groupBy("value").agg(F.sum("occurrences").alias("occurrences"), F.sum(F.bit_count("bits")).cast("long").alias("records"))
-    mark = F.when(F.col("records") <= rare_at_most, "rare").when(F.col("records") >= common_share * F.col("total"), "common")
-    return counts.crossJoin(F.broadcast(total)).withColumn("mark", mark).drop("total")
+    mark = F.when(F.col("records") <= rare_at_most, "rare").when(F.col("records") >= common_share * total, "common")
+    return counts.withColumn("mark", mark)
