@@ -135,10 +135,10 @@ def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
 
 @F.pandas_udf(DoubleType())
 def skeleton_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    """1 - LCS / longer length of two sequences of at most 256; 0 for two empty ones, 1 for one."""
+    """1 - LCS / longer length of two sequences; 0 for two empty ones, 1 for one."""
 
     def one(x, y) -> float:
-        x, y = ([] if v is None else list(v)[:256] for v in (x, y))
+        x, y = ([] if v is None else list(v) for v in (x, y))
         if not x and not y:
             return 0.0
         if not x or not y:

@@ -21,8 +21,8 @@ WEIGHTS = {"ngram": 0.4, "ast": 0.2, "semantic": 0.2, "skeleton": 0.2}
 def document_frequency(long: DataFrame, term: str, holder: str) -> DataFrame:
     """``term``, ``df`` (distinct holders) and ``idf`` = ln(N / df), without smoothing; N counts the holders in ``long``."""
     df = long.select(term, holder).distinct().groupBy(term).agg(F.count("*").alias("df"))
-    total = long.agg(F.countDistinct(holder).alias("_n"))
-    return df.crossJoin(F.broadcast(total)).select(term, "df", F.ln(F.col("_n") / F.col("df")).alias("idf"))
+    total = long.agg(F.countDistinct(holder)).scalar()
+    return df.select(term, "df", F.ln(total / F.col("df")).alias("idf"))
 
 
 def shared_counts(left: DataFrame, right: DataFrame, left_key: str, right_key: str, items: str) -> DataFrame:

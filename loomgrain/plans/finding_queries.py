@@ -225,8 +225,8 @@ def backward_resolve(spark: SparkSession, d: str) -> DataFrame:
 @query("""
 SELECT 's' || s_suppkey AS a, 'r' || r_regionkey AS b, n_regionkey = r_regionkey AS connected FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON true""")
 def call_paths(spark: SparkSession, d: str) -> DataFrame:
-    regions = read_table(spark, d, "region").agg(F.collect_set(F.concat(F.lit("r"), "r_regionkey")).alias("r"))  # five by the schema
-    asked = read_table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a")).crossJoin(F.broadcast(regions)).select("a", F.explode("r").alias("b"))
+    regions = read_table(spark, d, "region").agg(F.collect_set(F.concat(F.lit("r"), "r_regionkey"))).scalar()  # five by the schema
+    asked = read_table(spark, d, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("a"), regions.alias("r")).select("a", F.explode("r").alias("b"))
     return graph.path_exists(_edges(spark, d), asked)
 
 
@@ -254,13 +254,18 @@ def band_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""
-WITH {FUNCTIONS}, sym AS (SELECT repo || '/' || file_path AS file, function_name AS name, fn_id FROM functions WHERE function_name IS NOT NULL), u AS (SELECT fn_id AS use_id, repo || '/' || file_path AS file, function_name AS name FROM functions WHERE function_name IS NOT NULL),
-h AS (SELECT file, name, min(fn_id) AS here FROM sym WHERE fn_id % 2 = 0 GROUP BY 1, 2), o AS (SELECT name, min(fn_id) AS one FROM sym WHERE fn_id % 2 = 0 GROUP BY 1 HAVING count(*) = 1)
+WITH {FUNCTIONS}, {_PAIRS}, sym AS (SELECT repo || '/' || file_path AS file, function_name AS name, fn_id FROM functions WHERE function_name IS NOT NULL),
+u AS (SELECT pair_id AS use_id, x.repo || '/' || x.file_path AS file, y.function_name AS name FROM p JOIN functions x ON x.fn_id = left_fn JOIN functions y ON y.fn_id = right_fn WHERE y.function_name IS NOT NULL),
+h AS (SELECT file, name, min(fn_id) AS here FROM sym GROUP BY 1, 2), o AS (SELECT name, min(fn_id) AS one FROM sym GROUP BY 1 HAVING count(*) = 1)
 SELECT use_id, coalesce(here, one) AS symbol_id FROM u LEFT JOIN h USING (file, name) LEFT JOIN o USING (name)""")
 def resolve_names(spark: SparkSession, d: str) -> DataFrame:
-    """Every function's name is a use; the declared symbols are those of even id, so that both local and global lookups occur."""
-    rows = functions(spark, d, "repo", "file_path", "function_name").where("function_name is not null").select("fn_id", F.concat_ws("/", "repo", "file_path").alias("file"), F.col("function_name").alias("name"))
-    return joins.resolve_names(rows.withColumnRenamed("fn_id", "use_id"), rows.where("fn_id % 2 = 0").withColumnRenamed("fn_id", "symbol_id"))
+    """Each matched pair as a use of the right function's name in the left function's file."""
+    rows = functions(spark, d, "repo", "file_path", "function_name").select("fn_id", F.concat_ws("/", "repo", "file_path").alias("file"), F.col("function_name").alias("name"))
+    pairs = latest_by_key(read_table(spark, d, "match_pairs"), "pair_id", "ingested_at", ["left_fn", "right_fn"])
+    files_of = rows.select(F.col("fn_id").alias("left_fn"), "file")
+    names_of = rows.where("name is not null").select(F.col("fn_id").alias("right_fn"), "name")
+    uses = pairs.join(files_of, "left_fn").join(names_of, "right_fn").select(F.col("pair_id").alias("use_id"), "file", "name")
+    return joins.resolve_names(uses, rows.where("name is not null").withColumnRenamed("fn_id", "symbol_id"))
 
 
 @query(f"""

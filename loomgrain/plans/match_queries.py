@@ -80,8 +80,7 @@ def skeleton_lcs(spark: SparkSession, d: str) -> DataFrame:
     e = lib.select("example_id", F.col("skeleton_hashes").alias("es"), F.size(M.members("ngram_hashes")).alias("ne"))
     near = common.join(f.select("fn_id", "nf"), "fn_id").join(e.select("example_id", "ne"), "example_id").where(F.col("common") / (F.col("nf") + F.col("ne") - F.col("common")) > 0.25)
     p = near.select("fn_id", "example_id").join(f, "fn_id").join(e, "example_id")
-    cut = lambda c: F.slice(c, 1, 256)  # noqa: E731  fixed value: skeletons are 256 long at most
-    return p.select("fn_id", "example_id", F.round(M.lcs_similarity(cut("fs"), cut("es")), 6).alias("lcs"))
+    return p.select("fn_id", "example_id", F.round(M.lcs_similarity("fs", "es"), 6).alias("lcs"))
 
 
 _FAM16 = M.hash_family(16)
