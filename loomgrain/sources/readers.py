@@ -46,6 +46,12 @@ def listed_files(files: DataFrame, paths: DataFrame, manifest: DataFrame | None
     return kept if manifest is None else kept.join(manifest.select("path", "content_sha"), ["path", "content_sha"], "left_anti")
 
 
+def paths_of_diff(diff: DataFrame) -> DataFrame:
+    """``(path)`` of the files that unified diffs ``(value: one line a row)`` leave behind, deleted ones not among them."""
+    name = F.regexp_extract("value", r"^\+\+\+ (?:b/)?([^\t\r]+)", 1)
+    return diff.select(name.alias("path")).where("path not in ('', '/dev/null')").distinct()
+
+
 def single_file(spark: SparkSession, path: str, content: str) -> DataFrame:
     """One virtual file, as a scan would give it."""
     rows = spark.createDataFrame([(path, content)], "path string, content string")

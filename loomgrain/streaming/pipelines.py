@@ -61,3 +61,17 @@ def running_counters(matches: DataFrame) -> DataFrame:
 
 def file_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 1) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+
+
+def run_to_table(streamed: DataFrame, out: str, checkpoint: str) -> DataFrame:
+    """Run a streaming aggregate over all that is there and read its final state.
+
+    Each batch overwrites the table with the whole state, so a batch that is repeated after a failure changes nothing.
+    """
+
+    def batch(df: DataFrame, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(out)
+
+    query = streamed.writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return streamed.sparkSession.read.schema(streamed.schema).parquet(out)

@@ -8,6 +8,7 @@ from loomgrain.operators import findings as N
 from loomgrain.operators import joins, matching, sequence
 from loomgrain.plans.rules import RuleSet
 from loomgrain.sources import readers
+from loomgrain.streaming import pipelines
 
 
 def test_more_text_functions(spark):
@@ -56,6 +57,18 @@ def test_known_findings_and_bands(spark):
         matching.effective_bands(120, 40, 12)
 
 
+def test_diff_paths_and_correlation(spark, tmp_path):
+    lines = ["--- a/x.ts", "+++ b/x.ts", "@@ -1 +1 @@", "-a", "+b", "--- a/y.ts", "+++ /dev/null"]
+    assert [r.path for r in readers.paths_of_diff(spark.createDataFrame([(x,) for x in lines], "value string")).collect()] == ["x.ts"]
+    sent = spark.sql("select 'p' || id probe_id, timestamp '2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id) sent_at from range(3)")
+    got = spark.sql("select * from values ('p0', timestamp '2024-01-01 00:00:00.3'), ('p1', timestamp '2024-01-01 00:00:05'), ('zz', timestamp '2024-01-01 00:00:01') t(payload_id, received_at)")
+    for name, df in (("sent", sent), ("got", got)):
+        df.coalesce(1).write.parquet(str(tmp_path / name))
+    q = pipelines.correlate(*[pipelines.file_stream(spark, str(tmp_path / n), df.schema) for n, df in (("sent", sent), ("got", got))]).writeStream.outputMode("append").format("memory").queryName("hits").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [r.probe_id for r in spark.sql("select probe_id from hits").collect()] == ["p0"]
+
+
 def test_sidecars_and_several_libraries(spark, tmp_path):
     (tmp_path / "p.toml").write_text('severity = "critical"\n')
     assert readers.read_sidecar(str(tmp_path / "p.toml")) == {"severity": "critical"} and readers.read_sidecar(str(tmp_path / "q.toml")) == {}
