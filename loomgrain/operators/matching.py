@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import scores as S
 from loomgrain.functions import similarity as M
+from loomgrain.session import cut_lineage
 
 STRONG, MODERATE = 0.4, 0.15
 WEIGHTS = {"ngram": 0.4, "ast": 0.2, "semantic": 0.2, "skeleton": 0.2}
@@ -153,13 +154,14 @@ def common_negative_names(examples: DataFrame, share: float = 0.8) -> DataFrame:
 
 
 def signature_links(functions: DataFrame, column: str, limit: float = 0.75, bands: int = 8, rows: int = 3) -> tuple[DataFrame, DataFrame]:
-    """Classes of equal signatures ``(key, class_id)`` and the class pairs ``(a, b)`` with a signature similarity of at least ``limit``.
+    """Members ``(fn_id, class_id, sig)`` of classes of equal signatures, and the class pairs ``(a, b)`` whose signatures are alike to at least ``limit``.
 
     Copies are one class, so a bucket holds different signatures only. Empty sets have no class.
     """
     signed = functions.where(F.size(M.members(column)) > 0).select("fn_id", M.minhash_signature(column, bands * rows).alias("sig"))
+    signed = cut_lineage(signed)  # used thrice below
     classes = signed.groupBy("sig").agg(F.min("fn_id").alias("class_id"))
-    members = signed.join(classes, "sig").select("fn_id", "class_id")
+    members = signed.join(classes, "sig").select("fn_id", "class_id", "sig")
     banded = classes.select("class_id", "sig", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws(",", F.slice("sig", b * rows + 1, rows)).alias("bucket")) for b in range(bands)])).alias("k"))
     left, right = (banded.select("k.band", "k.bucket", F.col("class_id").alias(x)) for x in "ab")
     pairs = left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()

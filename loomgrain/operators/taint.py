@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.operators import cfg, frontend, graph
+from loomgrain.operators import cfg, fingerprint, frontend, graph
 
 # Where untrusted data comes from, where it must not go, and what cleans it.
 SOURCES = {
@@ -144,3 +144,19 @@ def cross_file_paths(edges: DataFrame, flows: DataFrame, depth: int = 10) -> Dat
     sinks = rows.where("f.origin = 'parameter'").select("node").distinct()
     sources = rows.where("f.origin != 'parameter'").groupBy("node").agg(F.min("f.origin").alias("origin"))
     return graph.backward_resolve(edges, sinks, sources, depth)
+
+
+def project_pass(functions: DataFrame, edges: DataFrame, depth: int = 5) -> DataFrame:
+    """Functions of the front end with what the whole project says about them.
+
+    ``origin`` and ``hops`` tell the nearest function with request parameters that calls them, within ``depth`` calls; the calls of
+    such a function all count as tainted, of others those with a parameter among their arguments. Columns:
+    ``file_id, name, first_line, origin, hops, tainted_calls``.
+    """
+    node = F.concat(F.concat_ws("/", "repo", "file_path"), F.lit(":"), F.col("name"))
+    rows = functions.withColumn("node", node)
+    request = F.exists("params", lambda p: F.lower(p).isin(sorted(REQUEST_NAMES)))
+    reached = graph.forward_propagate(edges, rows.where(request).select("node", F.lit("request").alias("origin")), depth)
+    own = fingerprint.tainted_calls(F.col("calls"), F.col("params"))
+    calls = F.when(F.col("origin").isNotNull(), fingerprint.names_of(F.col("calls"))).otherwise(own)
+    return rows.join(reached, "node", "left").select("file_id", "name", "first_line", "origin", "hops", F.sort_array(calls).alias("tainted_calls"))

@@ -64,3 +64,10 @@ def sink_hops(spark: SparkSession, d: str) -> DataFrame:
     assigned = named.select("fn", F.explode("assignments").alias("a")).select("fn", "a.var", "a.at", "a.value")
     uses = named.select("fn", F.explode("calls").alias("c")).where("size(c.args) > 0").select("fn", F.lit(1 << 40).alias("at"), F.array_join("c.args", " ").alias("text")).distinct()
     return filters.trace_hops(assigned, uses, r"\.(?:fetch|load|scan|resolve)\(")
+
+
+@query()
+def project_taint(spark: SparkSession, d: str) -> DataFrame:
+    functions = frontend.extract_functions(_files(spark, d))
+    rows = taint.project_pass(functions, frontend.call_edges(functions))
+    return rows.select("file_id", "name", "first_line", F.coalesce("origin", F.lit("none")).alias("origin"), F.size("tainted_calls").cast("long").alias("tainted_calls"))

@@ -137,9 +137,9 @@ def clone_clusters(spark: SparkSession, d: str) -> DataFrame:
     fns = functions(spark, d, "ngram_hashes", "function_name")
     members, links = matching.signature_links(fns, "ngram_hashes")
     labels = graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("node").alias("class_id"), "label")
-    placed = members.join(labels, "class_id", "left").select("fn_id", F.coalesce("label", "class_id").alias("cluster_id"))
+    placed = members.join(labels, "class_id", "left").select("fn_id", F.coalesce("label", "class_id").alias("cluster_id"), "sig")
     sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n > 1").select("cluster_id")
-    rows = placed.join(sizes, "cluster_id").join(fns.select("fn_id", F.col("function_name").alias("name"), M.minhash_signature("ngram_hashes", 24).alias("sig")), "fn_id")
+    rows = placed.join(sizes, "cluster_id").join(fns.select("fn_id", F.col("function_name").alias("name")), "fn_id")
     return matching.member_roles(rows)
 
 

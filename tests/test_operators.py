@@ -52,6 +52,16 @@ def test_cross_file_paths(spark):
     assert got == [("r/s.ts:service", "r/h.ts:handler", "request", 2)]
 
 
+def test_project_pass(spark):
+    files = spark.createDataFrame(
+        [(1, "r", "h.ts", "function handler(req, res) {\n  service(1);\n}\n"), (2, "r", "s.ts", "function service(x) {\n  store.put(1, x);\n  log(2);\n}\nfunction lone(y) {\n  go(y);\n  stay(3);\n}\n")],
+        "file_id long, repo string, file_path string, content string",
+    )
+    functions = frontend.extract_functions(files)
+    got = {r["name"]: (r.origin, r.hops, r.tainted_calls) for r in taint.project_pass(functions, frontend.call_edges(functions)).collect()}
+    assert got == {"handler": ("request", 0, ["service"]), "service": ("request", 1, ["log", "store.put"]), "lone": (None, None, ["go"])}
+
+
 def test_roles(spark):
     rows = spark.createDataFrame([(["res.send", "x"], ["req"], ["branch"]), (["child.exec"], [], []), (["db.query"], [], []), ([], [], []), (["foo"], [], [])], "calls array<string>, params array<string>, control array<string>")
     assert [r.role for r in rows.select(roles.role(F.col("calls"), F.col("params"), F.col("control"), F.lit(False)).alias("role")).collect()] == ["handler", "shell", "db", "transformer", "unknown"]
