@@ -60,5 +60,7 @@ def bucket_groups(rows: DataFrame, bucket: str, member: str, verify: Callable[[D
     one = apart.where("g != top").select("k", F.col("m").alias("x"), F.col("g").alias("gx"), "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
     two = apart.select("k", F.col("m").alias("y"), F.col("g").alias("gy"), F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int").alias("s"))
     cross = one.join(two, ["k", "s"]).where("gx != gy and (gy = top or x < y)")
-    second = verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+    second = cut_lineage(verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
+    if second.isEmpty():
+        return groups.select(F.col("m").alias("id"), F.col("g").alias("group_id"))
     return connected_groups(first.unionByName(second))

@@ -130,27 +130,35 @@ def file_evidence(files: DataFrame) -> DataFrame:
     return rows.mapInPandas(look, EVIDENCE)
 
 
-def clusters(evidence: DataFrame, files: DataFrame, kind: str) -> DataFrame:
-    """``(cid, cluster)``: near-copies among the distinct shingle sets of ``kind`` (masked or plain), verified exactly.
+def clusters(evidence: DataFrame, files: DataFrame) -> DataFrame:
+    """``(kind, set, cluster)``: near-copies among the distinct shingle sets, masked ones and plain ones, verified exactly.
 
-    Only sets that share a band are cut into shingles again, so no shingle of any other file is ever moved.
+    Both kinds go through one pass, kept apart by hashing the kind into set and bucket keys. Only sets that share a band are
+    cut into shingles again, so no shingle of any other file is ever moved.
     """
-    sets = evidence.where(f"{kind}_set is not null").groupBy(F.col(f"{kind}_set").alias("cid")).agg(F.min("file_id").alias("file_id"), F.first(f"{kind}_bands").alias("bands"))
-    banded = cut_lineage(sets.select("cid", "file_id", F.explode("bands").alias("bucket")))
+
+    def sets_of(kind: str) -> DataFrame:
+        rows = evidence.where(f"{kind}_set is not null").groupBy(F.col(f"{kind}_set").alias("set")).agg(F.min("file_id").alias("file_id"), F.first(f"{kind}_bands").alias("bands"))
+        return rows.select(F.lit(kind).alias("kind"), "set", F.xxhash64(F.lit(kind), "set").alias("cid"), "file_id", "bands")
+
+    sets = cut_lineage(sets_of("masked").unionByName(sets_of("plain")))
+    banded = sets.select("cid", F.explode("bands").alias("b")).select("cid", F.xxhash64("b", F.lit(1)).alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     banded = cut_lineage(banded.join(crowded, "bucket"))
-    texts = files.where("content is not null").select("file_id", "content").join(banded.select("file_id", "cid").distinct(), "file_id").dropDuplicates(["cid"])
+    wanted = sets.select("cid", "kind", "file_id").join(banded.select("cid").distinct(), "cid", "left_semi")
+    texts = files.where("content is not null").select("file_id", "content").join(wanted, "file_id").dropDuplicates(["cid"])
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"cid": b.cid, "s": [describe(None, t)[kind] for t in b.content]})
+            yield pd.DataFrame({"cid": b.cid, "lim": b.kind.map(LIMITS), "s": [describe(None, t)[kind] for kind, t in zip(b.kind, b.content)]})
 
-    cutted = cut_lineage(texts.select("cid", "content").mapInPandas(cut, "cid long, s array<long>"))
-    a, b = (cutted.select(F.col("cid").alias(x), F.col("s").alias(f"s{x}")) for x in "ab")
+    cutted = cut_lineage(texts.select("cid", "kind", "content").mapInPandas(cut, "cid long, lim double, s array<long>"))
+    a = cutted.select(F.col("cid").alias("a"), F.col("s").alias("sa"), F.col("lim").alias("la"))
+    b = cutted.select(F.col("cid").alias("b"), F.col("s").alias("sb"), F.col("lim").alias("lb"))
     common = F.size(F.array_intersect("sa", "sb"))
-    alike = common >= F.lit(LIMITS[kind]) * (F.size("sa") + F.size("sb") - common)
+    alike = (F.col("la") == F.col("lb")) & (common >= F.col("la") * (F.size("sa") + F.size("sb") - common))
     found = bucket_groups(banded, "bucket", "cid", lambda pairs: pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
-    return found.select(F.col("id").alias("cid"), F.col("group_id").alias("cluster"))
+    return sets.select("cid", "kind", "set").join(found.select(F.col("id").alias("cid"), F.col("group_id").alias("cluster")), "cid").select("kind", "set", "cluster")
 
 
 def source_kinds(files: DataFrame, family: int = 3, made_share: float = 0.3, min_tokens: int = 30) -> DataFrame:
@@ -163,11 +171,12 @@ def source_kinds(files: DataFrame, family: int = 3, made_share: float = 0.3, min
     evidence = cut_lineage(file_evidence(files))
     evidence = cut_lineage(evidence.dropDuplicates(["file_id"]))
     long = evidence.where(F.col("tokens") >= min_tokens)
-    labels = {k: clusters(long, files, k) for k in ("masked", "plain")}
+    labels = cut_lineage(clusters(long, files))
 
     def grouped(kind: str) -> DataFrame:
-        rows = long.where(f"{kind}_set is not null").join(labels[kind], F.col(f"{kind}_set") == F.col("cid"), "left")
-        return rows.withColumn("cluster", F.coalesce("cluster", f"{kind}_set")).drop("cid")
+        own = labels.where(F.col("kind") == kind).select(F.col("set").alias(f"{kind}_set"), "cluster")
+        rows = long.where(f"{kind}_set is not null").join(own, f"{kind}_set", "left")
+        return rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64(F.lit(kind), f"{kind}_set")))
 
     masked, plain = grouped("masked"), grouped("plain")
     # distinct texts per repository first: the counts of a large family combine before they meet
