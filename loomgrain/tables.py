@@ -26,3 +26,13 @@ def clean_set(column: str | Column) -> Column:
     """A null array as an empty one, without null members, each member once."""
     c = F.col(column) if isinstance(column, str) else column
     return F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<bigint>"))))
+
+
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` of a plain scan, dealt out by ``key`` where the scan has fewer partitions than there are cores.
+
+    For stages that compute long on little input, such as a few small files with many texts. Large inputs have
+    partitions enough and are not moved.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, key) if rows.rdd.getNumPartitions() < cores else rows
