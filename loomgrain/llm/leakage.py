@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm.visual_form import skeleton
+from loomgrain.tables import spread
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLE = 8
@@ -216,6 +217,7 @@ def leaked_spans(
     ``min_words`` words have no window; a repeated row repeats its spans.
     """
     source = corpus.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    source = spread(source, "doc_id")
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
     blocks, block = [], []
     for row in wanted.toLocalIterator():

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.session import cut_lineage
+from loomgrain.tables import spread
 
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the usual split pattern of byte-level vocabularies, where the vocabulary's own module names none.
@@ -62,7 +63,7 @@ def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) ->
             yield pd.DataFrame({"doc_id": b.doc_id, "source": b.source, "tokens": [len(enc.encode_ordinary(t)) for t in b.text]})
 
     rows = documents.select("doc_id", source_form("source").alias("source"), "text").where("doc_id is not null and source is not null and text != ''")
-    counted = rows.mapInPandas(count, "doc_id long, source string, tokens long")
+    counted = spread(rows, "doc_id").mapInPandas(count, "doc_id long, source string, tokens long")
     return counted.groupBy("doc_id").agg(F.max(F.struct("tokens", "source")).alias("r")).select("doc_id", "r.source", "r.tokens").where("tokens > 0")
 
 

@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.tables import spread
+
 LANGUAGES = {"ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "rs": "rust", "py": "python"}
 CLOSES = {")": "(", "]": "[", "}": "{"}
 CONFLICT = re.compile(r"(<{7}|>{7}|={7}|\|{7})(?=[ \r\n]|$)")
@@ -525,7 +527,7 @@ def checked_files(files: DataFrame, key: str = "file_id", path: str = "file_path
             yield pd.DataFrame({key: b["_key"], "repo": b["_repo"], "language": b["_ext"].map(LANGUAGES), "problem": [what_is_broken(t, e) for t, e in zip(b["_text"], b["_ext"])]})
 
     kind = dict(files.dtypes)[key]
-    return rows.mapInPandas(check, f"{key} {kind}, repo string, language string, problem string")
+    return spread(rows, "_key").mapInPandas(check, f"{key} {kind}, repo string, language string, problem string")
 
 
 def broken_rates(checked: DataFrame, key: str = "file_id") -> DataFrame:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from loomgrain.llm.buckets import bucket_groups
 from loomgrain.llm.set_join import Banding, band_keys
 from loomgrain.session import cut_lineage
+from loomgrain.tables import spread
 
 SHINGLE = 5
 # masked code has few different shingles, so its families are held to 0.9; either limit is missed with under 4e-4
@@ -127,7 +128,7 @@ def file_evidence(files: DataFrame) -> DataFrame:
             yield frame[[c.split()[0] for c in EVIDENCE.split(", ")]]
 
     rows = files.where("file_id is not null and content is not null").select("file_id", "repo", "file_path", "content")
-    return rows.mapInPandas(look, EVIDENCE)
+    return spread(rows, "file_id").mapInPandas(look, EVIDENCE)
 
 
 def clusters(evidence: DataFrame, files: DataFrame) -> DataFrame:
