@@ -181,7 +181,7 @@ def source_kinds(files: DataFrame, family: int = 3, made_share: float = 0.3, min
 
     masked, plain = grouped("masked"), grouped("plain")
     # distinct texts per repository first: the counts of a large family combine before they meet
-    per_repo = masked.groupBy("cluster", "repo").agg(F.count("*").alias("n"), F.count_if("made").alias("made"), F.count_if("foreign").alias("foreign"), F.approx_count_distinct("plain_set").alias("texts"))
+    per_repo = masked.groupBy("cluster", "repo").agg(F.count("*").alias("n"), F.count_if("made").alias("made"), F.count_if("foreign").alias("foreign"), F.countDistinct("plain_set").alias("texts"))
     families = per_repo.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("made").alias("m"), F.sum("foreign").alias("f"), F.max("texts").alias("texts"))
     tool = families.where((F.col("n") > 1) & (F.col("f") == 0) & ((F.col("m") >= F.lit(made_share) * F.col("n")) | (F.col("texts") >= family))).select("cluster", F.lit(True).alias("by_family"))
     copies = plain.groupBy("cluster", "repo").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.count("*").alias("repos")).where("repos > 1").select("cluster", F.lit(True).alias("by_copies"))
