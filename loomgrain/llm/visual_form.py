@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
@@ -19,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomgrain.session import cut_lineage
+from loomgrain.tables import spread
+
 # Letters of other scripts that are drawn like a Latin letter.
 LOOK_ALIKES = {
     "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ",
@@ -78,14 +82,16 @@ def visual_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_l
     (of the text as stored). Null keys and texts, and skeletons of fewer than ``min_length``
     characters, are left out; repeated keys with equal texts count once.
     """
-    form = with_skeleton(df.select(F.col(key), F.col(text).alias("_t")).where(f"`{key}` is not null and _t is not null"), "_t", "_s")
-    return form.where(F.char_length("_s") >= min_length).select(
-        key,
-        F.xxhash64("_s").alias("form_hi"),
-        F.xxhash64(F.lit(1), "_s").alias("form_lo"),
-        F.xxhash64("_t").alias("text_hi"),
-        F.xxhash64(F.lit(1), "_t").alias("text_lo"),
-    )
+    stored = [F.xxhash64("_t").alias("text_hi"), F.xxhash64(F.lit(1), "_t").alias("text_lo")]
+    rows = df.select(F.col(key), F.col(text).alias("_t")).where(f"`{key}` is not null and _t is not null").select(key, *stored, "_t")
+
+    def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:  # as a stage of its own: an expression would be evaluated for the filter and again for the hashes
+            yield b.drop(columns="_t").assign(_s=b["_t"].map(skeleton))
+
+    form = spread(rows, key).mapInPandas(shape, f"`{key}` {dict(df.dtypes)[key]}, text_hi long, text_lo long, _s string")
+    hashes = [F.xxhash64("_s").alias("form_hi"), F.xxhash64(F.lit(1), "_s").alias("form_lo")]
+    return form.where(F.char_length("_s") >= min_length).select(key, *hashes, "text_hi", "text_lo")
 
 
 def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 61, block: int = 4096) -> DataFrame:
@@ -94,7 +100,7 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min
     Groups that hold one stored text only are dropped before the join, so copies cost nothing;
     a group of more than ``block`` rows is dealt out over several join keys.
     """
-    rows = visual_classes(df, key, text, min_length).distinct()
+    rows = cut_lineage(visual_classes(df, key, text, min_length).distinct())  # hashes only; used thrice
     group = ["form_hi", "form_lo"]
     mixed = (
         rows.groupBy(*group)
@@ -114,7 +120,7 @@ def form_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_len
 
     ``form_id`` is the least key among records of equal skeletons, ``spellings`` how many different texts they are stored as.
     """
-    rows = visual_classes(df, key, text, min_length).distinct()
+    rows = cut_lineage(visual_classes(df, key, text, min_length).distinct())
     group = ["form_hi", "form_lo"]
     spelt = rows.groupBy(*group, "text_hi", "text_lo").agg(F.count("*").alias("n"), F.min(key).alias("least"))
     classes = spelt.groupBy(*group).agg(F.min("least").alias("form_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
