@@ -33,6 +33,11 @@ CALL = re.compile(r"(?<![\w$.])((?:await\s+)?(?:new\s+)?[A-Za-z_$][\w$]*(?:(?:\.
 CHAINED = re.compile(r"\s*\??\.\s*[A-Za-z_]\w*\s*\(")
 ASSIGN = re.compile(r"(?:\b(?:const|let(?:\s+mut)?|var)\s+)?(?P<v>[A-Za-z_$][\w$.]*)\s*(?::\s*[^=;\n(]+)?(?<![=!<>+\-*/%&|^])=(?![=>])\s*(?P<r>[^;\n]+)")
 EVENTS = re.compile(r"\b(?:(?P<branch>if|elif|match|switch|case)|(?P<loop>for|while|loop)|(?P<return>return)|(?P<break>break|continue)|(?P<try>try)|(?P<catch>catch|except)|(?P<await>await)|(?P<throw>throw|raise))\b")
+# Control words and what else opens, closes or ends a statement.
+NESTING = re.compile(EVENTS.pattern + r"|\b(?P<more>else|finally)\b|(?P<open>[({\[])|(?P<close>[)}\]])|(?P<end>[;,])|(?P<line>\n\s*)")
+NEXT = re.compile(r"\s*(\w+|[^\s\w])?")
+HOLDERS = {"script": set("if switch for while return try catch".split()), "rust": set("if match for while loop return".split()), "python": set("if elif match for while return try except".split())}
+PATH_DEPTH = 10
 NOT_CALLS = set("if for while switch catch return function match elif with await new typeof def fn print".split())
 
 
@@ -90,6 +95,7 @@ class Function:
     calls: list[dict] = field(default_factory=list)
     assignments: list[dict] = field(default_factory=list)
     events: list[str] = field(default_factory=list)
+    paths: list[str] = field(default_factory=list)
 
 
 def parameter_name(text: str, kind: str) -> str:
@@ -155,10 +161,118 @@ def functions_of(text: str, extension: str) -> list[Function]:
         for a in ASSIGN.finditer(body_code):
             fn.assignments.append({"var": a.group("v"), "at": a.start("v"), "value": fn.body[a.start("r") : a.end("r")].strip(), "depth": depth_at(a.start("v"))})
         fn.events = [e.lastgroup for e in EVENTS.finditer(body_code)]
+        flat = re.sub(r"([\"'`])\s*\1", lambda s: s.group().replace("\n", " "), body_code)  # line ends within strings end nothing
+        fn.paths = indented_paths(flat) if kind == "python" else braced_paths(flat, kind)
         found.append(fn)
     return found
 
 
+class _Paths(dict):
+    def note(self, above: list[str], event: str) -> None:
+        if len(above) < PATH_DEPTH:
+            self[">".join([*above, event])] = None
+
+
+@dataclass
+class _Open:
+    """A control event whose statement is not over: ``head`` before its body, ``opening`` before its brace, ``block``, ``single``, ``wait`` for its next part."""
+
+    event: str
+    word: str
+    depth: int
+    state: str = "head"
+    start: int = 0
+    tail: bool = False
+
+
+def braced_paths(code: str, kind: str) -> list[str]:
+    """Distinct nesting paths of all control events of a body in braces, from the root, those of up to ``PATH_DEPTH`` events."""
+    paths, stack, depth, rust = _Paths(), [], 0, kind == "rust"
+
+    def following(at: int) -> str:
+        return NEXT.match(code, at).group(1) or ""
+
+    def finish(at: int) -> None:
+        """The body of the innermost statement is over, and with it every statement that it ends."""
+        while stack:
+            if following(at) in {"if": ("else",), "try": ("catch", "finally")}.get(stack[-1].word, ()):
+                stack[-1].state = "wait"
+                return
+            stack.pop()
+            if not stack or stack[-1].depth != depth or stack[-1].state not in ("single", "wait"):
+                return
+
+    def begin(at: int) -> None:
+        block = following(at) == "{"
+        if stack[-1].tail and not block:  # the condition of do ... while
+            stack.pop()
+        else:
+            stack[-1].state, stack[-1].start = "opening" if block else "single", at
+
+    for m in NESTING.finditer(code):
+        what, word, at = m.lastgroup, m.group(), m.end()
+        if what == "open":
+            if stack and stack[-1].depth == depth and word == "{" and stack[-1].state in ("head", "opening"):
+                stack[-1].state = "block"
+            depth += 1
+            continue
+        if what == "close":
+            depth -= 1
+            while stack and stack[-1].depth > depth:
+                stack.pop()
+        top = stack[-1] if stack and stack[-1].depth == depth else None
+        if what == "close":
+            if top and word == "}" and top.state == "block":
+                if rust and following(at) == "=":  # the braces of a pattern
+                    top.state = "head"
+                else:
+                    finish(at)
+            elif top and word == ")" and top.state == "head" and not rust:
+                begin(at)
+        elif what == "more":
+            if top and top.state == "wait":
+                begin(at)
+        elif what == "end":
+            if top and top.state != "block" and (word == ";" or rust):
+                finish(m.start() + 1)
+        elif what == "line":
+            if top and top.state == "single" and not rust:
+                body = code[top.start : m.start()].rstrip()
+                goes_on = bool(body) and body[-1] in "+-*/%&|^=<>?:,.!~" or following(at)[:1] in tuple("+-*/%&|^=<>?:,.")
+                if not goes_on and (body or top.word == "return"):
+                    finish(at)
+        else:
+            paths.note([f.event for f in stack], what)
+            if word in HOLDERS[kind] and code[m.start() - 1 : m.start()] != ".":
+                stack.append(_Open(what, word, depth, start=at, tail=word == "while" and code[max(m.start() - 80, 0) : m.start()].rstrip().endswith("}")))
+                if word in ("try", "loop", "return"):
+                    begin(at)
+                    if word == "return":
+                        stack[-1].state = "single"
+    return list(paths)
+
+
+def indented_paths(code: str) -> list[str]:
+    """As ``braced_paths`` for a body by indentation. Words within expressions hold no others."""
+    paths, stack, depth, indent, line_start = _Paths(), [], 0, None, 0  # stack of (event, indent, whether it is a later part of the statement below)
+    for m in NESTING.finditer("\n" + code):
+        what, word = m.lastgroup, m.group()
+        if what in ("open", "close"):
+            depth = max(depth + (1 if what == "open" else -1), 0)
+        elif what == "line":
+            if depth == 0 and not code[: m.start() - 1][-1:] == "\\":
+                indent, line_start = len(word.rsplit("\n", 1)[-1].expandtabs(8)), m.end() - 1
+                part = re.compile(r"(?:elif|else|except|finally)\b").match(code, line_start)
+                while stack and (stack[-1][1] > indent or stack[-1][1] == indent and (stack[-1][2] or not part)):
+                    stack.pop()
+        elif what not in ("more", "end"):
+            before = code[line_start : m.start() - 1].strip()
+            paths.note([e for e, _, _ in stack], what)
+            if word in HOLDERS["python"] and depth == 0 and (before in ("", "async") or before[-1] in ":;"):
+                stack.append((what, indent, word in ("elif", "except")))
+    return list(paths)
+
+
 def _depths(code: str):
     marks = [(m.start(), 1 if m.group() == "{" else -1) for m in re.finditer(r"[{}]", code)]
     return lambda at: sum(d for p, d in marks if p < at)
@@ -166,9 +280,9 @@ def _depths(code: str):
 
 FUNCTION_SCHEMA = (
     "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>>>, "
-    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, signature string, body string"
+    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, control_paths array<string>, signature string, body string"
 )
-COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control signature body".split()
+COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control control_paths signature body".split()
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -181,7 +295,7 @@ def extract_functions(files: DataFrame) -> DataFrame:
                 for f in functions_of(text or "", (path or "").rsplit(".", 1)[-1].lower()):
                     calls = [{"name": c["name"], "line": c["line"], "args": c["args"]} for c in f.calls]
                     assigned = [{"var": a["var"], "value": a["value"], "at": a["at"]} for a in f.assignments]
-                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.signature, f.body))
+                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.paths, f.signature, f.body))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return files.select("file_id", "repo", "file_path", "content").where("file_id is not null").mapInPandas(scan, FUNCTION_SCHEMA)

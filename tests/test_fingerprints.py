@@ -29,6 +29,26 @@ def test_fingerprints_ignore_what_they_mask(built):
     assert a.name_segments == ["save", "User"] and a.comment_density > 0 and a.ngram_hashes == sorted(set(a.ngram_hashes)) and a.ngram_hashes != b.ngram_hashes
 
 
+def _control_paths(text, extension):
+    return [f.paths for f in frontend.functions_of(text, extension)]
+
+
+def test_control_paths_are_nesting_paths(spark):
+    script = "function f(a) {\n  if (a) return 1\n  else if (b) { for (;;) { break; } }\n  try { g(); } catch (e) { throw e; } finally { h(); }\n  switch (a) { case 1: return 2; }\n  return xs.map(x => { while (x) { y(); } });\n}\n"
+    assert _control_paths(script, "ts") == [["branch", "branch>return", "branch>branch", "branch>branch>loop", "branch>branch>loop>break", "try", "try>catch", "try>catch>throw", "return", "return>loop"]]
+    rust = "fn f(x: T) {\n if let Foo { a } = x { return 1; } else { loop { break; } }\n match y { A => return 2, B => { for i in z { continue; } } }\n}\n"
+    assert _control_paths(rust, "rs") == [["branch", "branch>return", "branch>loop", "branch>loop>break"]]
+    python = "def f(a):\n    if a:\n        t = \"\"\"\nx\n\"\"\"\n        return [q for q in a]\n    elif b:\n        while a: break\n    else:\n        return 2\n    try:\n        g(1,\n  2)\n    except E:\n        raise\n"
+    assert _control_paths(python, "py") == [["branch", "branch>return", "branch>return>loop", "branch>branch", "branch>branch>loop", "branch>branch>loop>break", "try", "try>catch", "try>catch>throw"]]
+    # ten is a limit on the length of a path, not on the number of events
+    deep = "function f(a) {" + " if (a) {" * 14 + "}" * 14 + "}"
+    assert [len(p.split(">")) for p in _control_paths(deep, "ts")[0]] == list(range(1, 11))
+    head = "function f(a) {" + " if (a) { g(); }" * 10
+    files = spark.createDataFrame([(1, "r", "a.ts", head + "}"), (2, "r", "b.ts", head + " while (a) { try { return 1; } catch (e) { } } }")], "file_id long, repo string, file_path string, content string")
+    a, b = fingerprint.fingerprints(frontend.extract_functions(files)).orderBy("file_id").collect()
+    assert len(a.control_paths) == 1 and len(b.control_paths) == 5 and set(a.control_paths) < set(b.control_paths)
+
+
 def test_idf_weights(spark):
     fps = spark.createDataFrame([(1, [1, 2, 9])], "k int, ngram_hashes array<bigint>")
     corpus = spark.createDataFrame([("a", [1, 2]), ("b", [1])], "holder string, ngram_hashes array<bigint>")
