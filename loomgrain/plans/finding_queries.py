@@ -243,6 +243,18 @@ def enclosing_functions(spark: SparkSession, d: str) -> DataFrame:
     return joins.enclosing_span(points, spans, ["repo", "file_path"]).select("file_id", "point", "span_id")
 
 
+@query(f"""
+WITH {FUNCTIONS}, {FILES}, {_SPANS}, pts AS (SELECT DISTINCT file_id, x.repo, x.file_path, s AS point FROM files y JOIN spans x ON x.repo = y.repo AND x.file_path = y.file_path),
+m AS (SELECT file_id, p.repo, p.file_path, point, span_id, row_number() OVER (PARTITION BY file_id, point ORDER BY e - s, s DESC, span_id) AS r FROM pts p JOIN spans x ON x.repo = p.repo AND x.file_path = p.file_path AND point BETWEEN s AND e)
+SELECT file_id, point::BIGINT AS point, span_id FROM m WHERE r = 1""")
+def enclosing_function_starts(spark: SparkSession, d: str) -> DataFrame:
+    """The tightest function around the first line of every function, so no span of a file is out of reach."""
+    spans = functions(spark, d, "repo", "file_path", "line").select("repo", "file_path", F.col("fn_id").alias("span_id"), F.col("line").cast("long").alias("start"), (F.col("line") + 40 + F.col("fn_id") % 60).alias("end"))
+    starts = spans.where("start is not null").select("repo", "file_path", F.col("start").alias("point")).distinct()
+    points = files(spark, d, "repo", "file_path").join(starts, ["repo", "file_path"]).select("file_id", "repo", "file_path", "point")
+    return joins.enclosing_span(points, spans, ["repo", "file_path"]).select("file_id", "point", "span_id")
+
+
 @query("""
 WITH a AS (SELECT event_id AS error_id, user_id, floor(epoch(ts))::BIGINT AS at_error FROM events WHERE event_type = 'error'), b AS (SELECT event_id AS purchase_id, user_id, floor(epoch(ts))::BIGINT AS at_purchase FROM events WHERE event_type = 'purchase')
 SELECT error_id, purchase_id, at_purchase - at_error AS seconds FROM a JOIN b USING (user_id) WHERE abs(at_error - at_purchase) <= 3600""")

@@ -6,9 +6,11 @@ from loomgrain.functions import similarity as M
 from loomgrain.functions import text as T
 from loomgrain.operators import findings as N
 from loomgrain.operators import joins, matching, sequence
+from loomgrain.plans import catalog
 from loomgrain.plans.rules import RuleSet
 from loomgrain.sources import readers
 from loomgrain.streaming import pipelines
+from loomgrain.tables import latest_by_key
 
 
 def test_more_text_functions(spark):
@@ -95,3 +97,14 @@ def test_rules_are_plug_ins(spark):
     assert [r.rule_id for r in rules.run({"files": files}, least="warning").collect()] == ["NO_EVAL"] and rules.run({"files": files}, disabled={"NO_EVAL", "NO_TODO"}) is None
     with pytest.raises(ValueError):
         rules.rule("X", "grave")
+
+
+def test_enclosing_starts_reach_every_line(spark):
+    """Every function start of a known file has a row, those beyond line 376 too."""
+    from tests.conftest import DATA
+
+    got = {(r.file_id, r.point) for r in catalog.QUERIES["enclosing_function_starts"](spark, DATA).collect()}
+    fns = latest_by_key(spark.read.parquet(f"{DATA}/fingerprints.parquet"), "fn_id", "ingested_at", ["repo", "file_path", "line"])
+    files = latest_by_key(spark.read.parquet(f"{DATA}/source_files.parquet"), "file_id", "ingested_at", ["repo", "file_path"])
+    want = {(r.file_id, r.line) for r in fns.where("line is not null").join(files, ["repo", "file_path"]).collect()}
+    assert got == want and max(p for _, p in got) > 376
