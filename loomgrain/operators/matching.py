@@ -94,18 +94,33 @@ def dimensions(prefix_f: str = "f_", prefix_e: str = "e_") -> dict[str, Column]:
 FEATURES = ["ngram_hashes", "structural_markers", "semantic_markers", "skeleton_hashes"]
 
 
-def contrastive_scores(functions: DataFrame, examples: DataFrame, least_ngram: float = 0.05, calibrate: Callable[[Column], Column] = S.sigmoid) -> DataFrame:
-    """Scores of (function, pattern): best positive against the worst of the negatives, per dimension.
-
-    Candidates share n-grams with a positive to at least ``least_ngram``; the structural gate wants some marker in
-    common. The signal of a dimension is what the best positive has over the most similar negative; one strong
-    signal or two moderate ones open the gate, else the score is 0. Patterns without positives match nothing.
-    """
+def _near_patterns(functions: DataFrame, examples: DataFrame, least_ngram: float) -> DataFrame:
     common = shared_counts(functions, examples.where("polarity = 'positive'"), "fn_id", "example_id", "ngram_hashes")
     sizes_f = functions.select("fn_id", F.size(M.members("ngram_hashes")).alias("nf"))
     sizes_e = examples.select("example_id", "pattern_id", F.size(M.members("ngram_hashes")).alias("ne"))
     near = common.join(sizes_f, "fn_id").join(sizes_e, "example_id").where(F.col("common") >= F.lit(least_ngram) * (F.col("nf") + F.col("ne") - F.col("common")))
-    candidates = near.select("fn_id", "pattern_id").distinct()
+    return near.select("fn_id", "pattern_id").distinct()
+
+
+def _sharing_patterns(functions: DataFrame, examples: DataFrame) -> DataFrame:
+    """Functions and patterns of which a positive shares a member of any dimension. Patterns holding a member are joined, so an example costs nothing twice."""
+    found = None
+    for column in FEATURES:
+        f = functions.select("fn_id", F.explode(M.members(column)).alias("_i"))
+        e = examples.where("polarity = 'positive'").select("pattern_id", F.explode(M.members(column)).alias("_i")).distinct()
+        met = f.join(e, "_i").select("fn_id", "pattern_id")
+        found = met if found is None else found.unionByName(met)
+    return found.distinct()
+
+
+def contrastive_scores(functions: DataFrame, examples: DataFrame, least_ngram: float | None = 0.05, calibrate: Callable[[Column], Column] = S.sigmoid) -> DataFrame:
+    """Scores of (function, pattern): best positive against the worst of the negatives, per dimension.
+
+    Candidates share n-grams with a positive to at least ``least_ngram``, or, if that is None, any member of any
+    dimension; the structural gate wants some marker in common. The signal of a dimension is what the best positive has over the most similar negative; one strong
+    signal or two moderate ones open the gate, else the score is 0. Patterns without positives match nothing.
+    """
+    candidates = _near_patterns(functions, examples, least_ngram) if least_ngram is not None else _sharing_patterns(functions, examples)
     lib = examples.select("pattern_id", "example_id", "polarity", F.col("language").alias("e_language"), *[F.col(c).alias(f"e_{c}") for c in FEATURES])
     fns = functions.select("fn_id", F.lower(F.trim("language")).alias("f_language"), *[F.col(c).alias(f"f_{c}") for c in FEATURES])
     pairs = candidates.join(lib, "pattern_id").join(fns, "fn_id")

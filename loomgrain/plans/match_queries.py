@@ -259,6 +259,13 @@ def contrastive_scores(spark: SparkSession, d: str) -> DataFrame:
     return out.select("fn_id", "pattern_id", "example_id", *[F.round(c, 6).alias(c) for c in ("score", "signal", "calibrated")])
 
 
+@query()
+def contrastive_scores_whole(spark: SparkSession, d: str) -> DataFrame:
+    """``contrastive_scores`` without the floor on n-grams: a pattern is scored if a positive shares any member of any dimension."""
+    out = matching.contrastive_scores(functions(spark, d, "language", *matching.FEATURES), examples(spark, d), None)
+    return out.select("fn_id", "pattern_id", "example_id", *[F.round(c, 6).alias(c) for c in ("score", "signal", "calibrated")])
+
+
 @query("""
 WITH p AS (SELECT DISTINCT ON (pair_id) * FROM match_pairs WHERE pair_id IS NOT NULL ORDER BY pair_id, ingested_at DESC),
 c AS (SELECT left_fn, count(*) AS m, count(*) FILTER (signature_sim >= 0.75) AS v FROM p WHERE left_fn IS NOT NULL GROUP BY 1)

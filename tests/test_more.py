@@ -108,3 +108,13 @@ def test_enclosing_starts_reach_every_line(spark):
     files = latest_by_key(spark.read.parquet(f"{DATA}/source_files.parquet"), "file_id", "ingested_at", ["repo", "file_path"])
     want = {(r.file_id, r.line) for r in fns.where("line is not null").join(files, ["repo", "file_path"]).collect()}
     assert got == want and max(p for _, p in got) > 376
+
+
+def test_contrastive_scores_without_common_ngrams(spark):
+    """A function that is like a positive in all but its n-grams is scored."""
+    cols = "language string, ngram_hashes array<bigint>, structural_markers array<bigint>, semantic_markers array<bigint>, skeleton_hashes array<bigint>"
+    fns = spark.createDataFrame([(9, "rust", [7], [1, 2], [3], [4, 5])], f"fn_id long, {cols}")
+    lib = spark.createDataFrame([(1, "p", "positive", "rust", [8], [1, 2], [3], [4, 5]), (2, "p", "negative", "rust", [8], [6], [6], [6])], f"example_id long, pattern_id string, polarity string, {cols}")
+    assert matching.contrastive_scores(fns, lib).count() == 0
+    got = matching.contrastive_scores(fns, lib, None).collect()
+    assert [(r.fn_id, r.pattern_id, r.example_id, round(r.score, 6), r.signal) for r in got] == [(9, "p", 1, 0.6, 1.0)]
