@@ -28,6 +28,12 @@ def clean_set(column: str | Column) -> Column:
     return F.array_distinct(F.array_compact(F.coalesce(c, F.array().cast("array<bigint>"))))
 
 
+def wide_hash(*columns: Column | str) -> Column:
+    """A 128-bit hash as 16 bytes."""
+    halves = [F.lpad(F.hex(F.xxhash64(F.lit(seed), *columns)), 16, "0") for seed in (0, 1)]
+    return F.unhex(F.concat(*halves))
+
+
 def spread(rows: DataFrame, key: str) -> DataFrame:
     """``rows`` of a plain scan, dealt out by ``key`` where the scan has fewer partitions than there are cores.
 
