@@ -1,4 +1,4 @@
-"""Pairs of records that share a bucket, without ever holding a bucket in one place."""
+"""Pairs of records that share a bucket. A bucket is cut into a grid of blocks by its own row count before its rows meet."""
 
 from __future__ import annotations
 
@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 
 from loomgrain.llm.components import connected_groups
 from loomgrain.session import cut_lineage
+from loomgrain.skew import FLOOR, hot_join, with_stats
 
+BLOCK = 2048
 
-def bucket_pairs(rows: DataFrame, bucket: str, member: str, allowed: Column | None = None, carry: tuple[str, ...] = (), block: int = 2048) -> DataFrame:
+
+def _block_of(member: str, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(7), member), blocks).cast("int")
+
+
+def bucket_pairs(rows: DataFrame, bucket: str, member: str, allowed: Column | None = None, carry: tuple[str, ...] = (), block: int = BLOCK, floor: int = FLOOR) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of members that share any bucket.
 
-    Buckets of one row are dropped first. A bucket of more than ``block`` rows is cut into blocks: its
-    left rows stay in theirs and its right rows visit each, so no task gets more than ``block`` rows
-    of it on one side, and no pair is lost. ``allowed`` may restrict pairs by the columns ``carry``
-    (named ``x_a`` and ``x_b``) before they are made distinct.
+    Buckets of one row are dropped first. A bucket of n rows becomes a triangle of cells, one for each two of its
+    n / ``block`` blocks; a row visits the cells of its block, so a cell holds two blocks at most and no pair is lost.
+    ``allowed`` may restrict pairs by the columns ``carry`` (named ``x_a`` and ``x_b``) before they are made distinct.
     """
-    placed = rows.repartition(bucket)
-    sized = placed.groupBy(bucket).agg(F.count("*").alias("_n")).where("_n > 1")
-    shared = cut_lineage(placed.join(sized, bucket))
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    left = shared.select(F.col(bucket).alias("_k"), F.pmod(F.xxhash64(member), blocks).cast("int").alias("_s"), F.col(member).alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry])
-    right = shared.select(F.col(bucket).alias("_k"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_s"), F.col(member).alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
-    pairs = left.join(right, ["_k", "_s"]).where("a < b")
+    sized = with_stats(rows, bucket, {"_n": F.count("*")}, floor=floor).where("_n > 1")
+    shared = cut_lineage(sized.withColumn("_g", F.ceil(F.col("_n") / block).cast("int")).drop("_n"))
+    own = shared.withColumn("_i", _block_of(member, F.col("_g")))
+    cells = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    cells = cells.select(F.col(bucket).alias("_k"), F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", member, *carry)
+    a = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ia"), F.col(member).alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry])
+    b = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ib"), F.col(member).alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
+    pairs = a.join(b, ["_k", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)")
     if allowed is not None:
         pairs = pairs.where(allowed)
     return pairs.select("a", "b").distinct()
@@ -38,29 +45,55 @@ def unique_items(records: DataFrame, record: str, items: str) -> DataFrame:
     return alone.groupBy(record).agg(F.count("*").alias("uniques"))
 
 
-def bucket_groups(rows: DataFrame, bucket: str, member: str, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def bucket_groups(rows: DataFrame, bucket: str, member: str, verify: Callable[[DataFrame], DataFrame], asks: str | None = None, block: int = BLOCK, floor: int = FLOOR) -> DataFrame:
     """Groups ``(id, group_id)`` of members that ``verify`` links, among all that share a bucket.
 
     ``verify`` keeps the true ones of the pairs ``(a, b)`` it is given. The result is that of verifying every pair of
     every bucket, at much less cost where a bucket is full of alike members: first each is held against two heads
     of its bucket only. Pairs within a group so found need no look; only those of a bucket whose members are still in
-    different groups are verified, all of them, each member of a lesser group against the rest.
+    different groups are verified: every member outside the largest group against all of another group, in cells of
+    at most ``block`` members on either side. Where the boolean column ``asks`` is named, a bucket counts only if some
+    member asks in it.
     """
-    placed = rows.select(F.col(bucket).alias("k"), F.col(member).alias("m"))
-    mixed = F.struct(F.xxhash64("m", "k"), "m")  # heads combine before they move, and a full bucket may be split in the join
-    heads = placed.groupBy("k").agg(F.min(mixed).alias("h0"), F.max(mixed).alias("h1")).where("h0 != h1")
-    shared = cut_lineage(placed.join(heads.select("k", F.array("h0.m", "h1.m").alias("heads")), "k"))
+    asking = F.col(asks) if asks else F.lit(True)
+    placed = cut_lineage(rows.select(F.col(bucket).alias("k"), F.col(member).alias("m"), asking.alias("q")))
+    mixed = F.struct(F.xxhash64("m", "k"), "m")
+    headed = with_stats(placed, "k", {"h0": F.min(mixed), "h1": F.max(mixed), "asked": F.max("q")}, floor=floor).where("asked and h0 != h1")
+    shared = cut_lineage(headed.select("k", "m", F.array("h0.m", "h1.m").alias("heads")))
     stars = shared.select("m", F.explode("heads").alias("h")).where("m != h")
     first = cut_lineage(verify(stars.select(F.least("m", "h").alias("a"), F.greatest("m", "h").alias("b")).distinct()))
-    groups = connected_groups(first).select(F.col("id").alias("m"), F.col("group_id").alias("g"))
+    groups = cut_lineage(connected_groups(first).select(F.col("id").alias("m"), F.col("group_id").alias("g")))
     labelled = cut_lineage(shared.select("k", "m").join(groups, "m", "left").select("k", "m", F.coalesce("g", "m").alias("g")))
-    sizes = labelled.groupBy("k", "g").agg(F.count("*").alias("n"))
-    split = sizes.groupBy("k").agg(F.max(F.struct("n", "g")).alias("top"), F.count("*").alias("groups")).where("groups > 1").select("k", F.col("top.g").alias("top"), F.ceil(F.col("top.n") / 2048).cast("int").alias("blocks"))
-    apart = labelled.join(split, "k")
-    one = apart.where("g != top").select("k", F.col("m").alias("x"), F.col("g").alias("gx"), "top", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("s"))
-    two = apart.select("k", F.col("m").alias("y"), F.col("g").alias("gy"), F.pmod(F.xxhash64("m"), F.col("blocks")).cast("int").alias("s"))
-    cross = one.join(two, ["k", "s"]).where("gx != gy and (gy = top or x < y)")
+    mixed_keys = labelled.groupBy("k").agg(F.min("g").alias("g0"), F.max("g").alias("g1")).where("g0 != g1").select("k")
+    sizes = labelled.groupBy("k", "g").agg(F.count("*").alias("n")).join(mixed_keys, "k", "left_semi")
+    split = sizes.groupBy("k").agg(F.max(F.struct("n", "g")).alias("top"), F.sum("n").alias("n"))
+    split = cut_lineage(split.select("k", F.col("top.g").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("rows"), F.ceil(F.col("n") / block).cast("int").alias("cols")))
+    if split.isEmpty():
+        return groups.select(F.col("m").alias("id"), F.col("g").alias("group_id"))
+    apart = cut_lineage(hot_join(labelled, split, "k", floor=floor))
+    x = apart.where("g != top").select("k", F.col("m").alias("x"), F.col("g").alias("gx"), "top", _block_of("m", F.col("rows")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("cols") - 1)).alias("j"))
+    y = apart.select("k", F.col("m").alias("y"), F.col("g").alias("gy"), F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"), _block_of("m", F.col("cols")).alias("j"))
+    cross = x.join(y, ["k", "i", "j"]).where("gx != gy and (gy = top or x < y)")
     second = cut_lineage(verify(cross.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()))
     if second.isEmpty():
         return groups.select(F.col("m").alias("id"), F.col("g").alias("group_id"))
     return connected_groups(first.unionByName(second))
+
+
+def member_pairs(links: DataFrame, members: DataFrame, carry: tuple[str, ...] = (), block: int = 4096, floor: int = FLOOR) -> DataFrame:
+    """Pairs of members for pairs of classes: ``(a, b, key_a, key_b)`` with ``x_a`` and ``x_b`` of ``carry``.
+
+    ``links(a, b)`` names classes (a = b for the pairs within one) and ``members(cid, key)`` their members. Classes are
+    paired first; a large class is dealt out in blocks of ``block`` members, and a link visits each two blocks of its ends.
+    """
+    members = cut_lineage(with_stats(members, "cid", {"_n": F.count("*")}, floor=floor))
+    blocks = F.ceil(F.col("_n") / block).cast("int")
+    dealt = members.withColumn("_s", _block_of("key", blocks))
+    sizes = members.groupBy("cid").agg(F.first(blocks).alias("_g"))
+
+    def dealt_to(rows: DataFrame, side: str) -> DataFrame:
+        cells = rows.join(sizes.select(F.col("cid").alias(side), "_g"), side).withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+        own = dealt.select(F.col("cid").alias(side), "_s", F.col("key").alias(f"key_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in carry])
+        return cells.drop("_g").join(own, [side, "_s"]).drop("_s")
+
+    return dealt_to(dealt_to(links, "a"), "b")

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.session import cut_lineage
+from loomgrain.skew import hot_join
 
 
 def mix(ids: np.ndarray) -> np.ndarray:
@@ -72,32 +73,30 @@ def _cells(batches: Iterator[pd.DataFrame], most: int) -> Iterator[pd.DataFrame]
             yield pd.DataFrame({"vertex": vertex[i : i + step], "root": r, "weight": mix(r).view(np.int64)})
 
 
-def connected_groups(links: DataFrame, a: str = "a", b: str = "b", cell_links: int = 250_000) -> DataFrame:
+def connected_groups(links: DataFrame, a: str = "a", b: str = "b", cell_links: int = 250_000, least_blocks: int = 2) -> DataFrame:
     """``(id, group_id)`` for every record that a link names; ``group_id`` is the least id of the group.
 
     Links with a null end and self links name nothing. Repeated links and both directions count once.
-    ``cell_links`` is the number of links one task should get; it sets the grid, not the result.
+    ``cell_links`` is the number of links one task should get; it sets the grid, not the result. The first round
+    always has a grid of at least ``least_blocks`` blocks a side, later ones follow the links that are left.
     """
     u, v = F.col(a).cast("long"), F.col(b).cast("long")
     edges = links.select(F.least(u, v).alias("a"), F.greatest(u, v).alias("b"), (u.isNotNull() & v.isNotNull() & (u != v)).alias("ok")).where("ok").select("a", "b").distinct()
     edges = cut_lineage(edges)
     left, parents = edges.count(), []
     while left:
-        blocks = max(1, ceil(sqrt(2 * left / cell_links)))
+        blocks = max(1 if parents else least_blocks, ceil(sqrt(2 * left / cell_links)))
         row, col = (F.pmod(F.xxhash64(c), F.lit(blocks)) for c in ("a", "b"))
-        if blocks == 1:
-            gridded = edges.coalesce(1)
-        else:
-            gridded = edges.repartition(blocks * (blocks + 1) // 2, F.least(row, col), F.greatest(row, col))
+        gridded = edges.repartition(blocks * (blocks + 1) // 2, F.least(row, col), F.greatest(row, col))
         stars = gridded.mapInPandas(lambda batches: _cells(batches, 4 * cell_links), "vertex long, root long, weight long")
+        stars = cut_lineage(stars)
         if blocks == 1:
             parents.append(stars.select("vertex", F.col("root").alias("parent")))
             break
-        stars = cut_lineage(stars)
         # unsigned comparison of the hash: flip the sign bit
         key = F.struct((F.col("weight").bitwiseXOR(F.lit(-(2**63)))).alias("w"), F.col("root").alias("r"))
         best = stars.groupBy("vertex").agg(F.min(key).alias("m"), F.collect_set("root").alias("roots"))
-        best = cut_lineage(best.select("vertex", F.col("m.r").alias("parent"), "roots"))
+        best = cut_lineage(best.select("vertex", F.col("m.r").alias("parent"), "roots"))  # a vertex has one root a cell of its row
         parents.append(best.select("vertex", "parent"))
         edges = best.where(F.size("roots") > 1).select("parent", F.explode("roots").alias("root")).where("parent != root")
         edges = cut_lineage(edges.select(F.least("parent", "root").alias("a"), F.greatest("parent", "root").alias("b")).distinct())
@@ -105,11 +104,11 @@ def connected_groups(links: DataFrame, a: str = "a", b: str = "b", cell_links: i
     if not parents:
         return edges.select(F.col("a").alias("id"), F.col("b").alias("group_id"))
     labels = parents.pop()
-    while parents:  # compose: a vertex takes the label of its parent
+    while parents:  # compose: a vertex takes the label of its parent, and many vertices may have one parent
         upper = labels.select(F.col("vertex").alias("parent"), F.col("parent").alias("top"))
-        labels = parents.pop().join(upper, "parent", "left").select("vertex", F.coalesce("top", "parent").alias("parent"))
+        labels = cut_lineage(hot_join(parents.pop(), upper, "parent", "left").select("vertex", F.coalesce("top", "parent").alias("parent")))
     least = labels.groupBy("parent").agg(F.min("vertex").alias("group_id"))
-    return labels.join(least, "parent").select(F.col("vertex").alias("id"), "group_id")
+    return hot_join(labels, least, "parent").select(F.col("vertex").alias("id"), "group_id")
 
 
 def chain_links(df: DataFrame, members: str) -> DataFrame:

@@ -17,8 +17,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomgrain.llm.buckets import bucket_pairs, unique_items
-from loomgrain.tables import clean_set
+from loomgrain.llm.buckets import bucket_pairs, member_pairs, unique_items
+from loomgrain.session import cut_lineage
+from loomgrain.skew import FLOOR, hot_join, with_stats
+from loomgrain.tables import clean_set, wide_hash
 
 
 @dataclass(frozen=True)
@@ -35,22 +37,37 @@ class Banding:
         return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
-def band_keys(values: np.ndarray, starts: np.ndarray, banding: Banding) -> np.ndarray:
-    """One row of band keys per set; ``values`` holds the sets one after the other, none of them empty."""
+def band_keys(values: np.ndarray, starts: np.ndarray, banding: Banding, piece: int = 1 << 15) -> np.ndarray:
+    """One row of band keys per set; ``values`` holds the sets one after the other, none of them empty.
+
+    Sets are taken in pieces of about ``piece`` values, which stay in the processor's cache.
+    """
+    ends = np.append(starts[1:], len(values))
+    keys = np.empty((len(starts), banding.bands), np.uint64)
+    at = 0
+    while at < len(starts):
+        stop = max(at + 1, int(np.searchsorted(ends, starts[at] + piece, side="right")))
+        keys[at:stop] = _piece_keys(values[starts[at] : ends[stop - 1]], starts[at:stop] - starts[at], banding)
+        at = stop
+    return keys.view(np.int64)
+
+
+def _piece_keys(values: np.ndarray, starts: np.ndarray, banding: Banding) -> np.ndarray:
     x = values.view(np.uint64)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     a, b = banding.factors()
     keys = np.empty((len(starts), banding.bands), np.uint64)
+    h = np.empty_like(x)
     for band in range(banding.bands):
         key = np.full(len(starts), band + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for i in range(band * banding.rows, (band + 1) * banding.rows):
-            h = x * a[i] + b[i]
-            h ^= h >> np.uint64(32)
-            key = (key ^ np.minimum.reduceat(h, starts)) * np.uint64(0x94D049BB133111EB)
+            np.multiply(x, a[i], out=h)
+            h += b[i]
+            key = (key ^ (np.minimum.reduceat(h, starts) >> np.uint64(8))) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(31)
         keys[:, band] = key
-    return keys.view(np.int64)
+    return keys
 
 
 def banded(classes: DataFrame, banding: Banding, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -76,64 +93,62 @@ def tagged(column: str, tag: int) -> Column:
 
 
 def item_records(df: DataFrame, key: str, side: int, arrived: str | None, min_ngrams: int) -> DataFrame:
-    """``(key, side, arrived, items, cid)`` with the three arrays as one tagged, sorted set.
+    """``(key, side, arrived, items, h)`` with the three arrays as one tagged, sorted set.
 
     Null keys and records of fewer than ``min_ngrams`` distinct n-grams are left out; null arrays are empty.
-    ``cid`` is a 64-bit hash of the sorted set.
+    ``h`` is a 128-bit hash of the sorted set.
     """
     items = F.sort_array(F.concat(clean_set("ngram_hashes"), tagged("structural_markers", 1), tagged("semantic_markers", 2)))
     rows = df.where(F.col(key).isNotNull() & (F.size(clean_set("ngram_hashes")) >= min_ngrams))
     when = F.coalesce(F.col(arrived), F.timestamp_seconds(F.lit(0))) if arrived else F.timestamp_seconds(F.lit(0))
-    return rows.select(F.col(key).cast("long").alias("key"), F.lit(side).alias("side"), when.alias("arrived"), items.alias("items")).withColumn("cid", F.xxhash64("items"))
+    return rows.select(F.col(key).cast("long").alias("key"), F.lit(side).alias("side"), when.alias("arrived"), items.alias("items")).withColumn("h", wide_hash("items"))
 
 
-def similar_classes(records: DataFrame, limit: float = 0.6, banding: Banding = Banding()) -> DataFrame:
-    """Pairs ``(a, b, overlap)`` of classes with |common| / |all| >= ``limit``, a < b, a and b being set hashes.
+def memberships(records: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """``(key, side, h, cid, copies)``: the class of each key by its latest row. A class is named by its least key and side, as
+    2 key + side, so no two classes share a name; keys are below 2^62."""
+    latest = records.groupBy("key", "side").agg(F.max_by("h", "arrived").alias("h"))
+    return cut_lineage(with_stats(latest, "h", {"cid": F.min(F.shiftleft("key", 1) + F.col("side")), "copies": F.count("*")}, floor=floor))
 
-    ``records(cid, side, items)``; classes that only side 1 has (reference examples) are not paired with each other.
+
+def similar_classes(records: DataFrame, members: DataFrame, limit: float = 0.6, banding: Banding = Banding(), floor: int = FLOOR) -> DataFrame:
+    """Pairs ``(a, b, overlap)`` of classes with |common| / |all| >= ``limit``, a < b.
+
+    ``records(side, items, h)``; classes that only side 1 has (reference examples) are not paired with each other.
     """
-    classes = records.groupBy("cid").agg(F.first("items").alias("items"), F.min("side").alias("side"))
+    named = members.groupBy("h").agg(F.min("cid").alias("cid"), F.min("side").alias("side"))
+    classes = records.groupBy("h").agg(F.first("items").alias("items")).join(named, "h").select("cid", "items", "side")
     lone = unique_items(classes, "cid", "items")
     size, uniques = F.size("items"), F.coalesce("uniques", F.lit(0))
-    alive = classes.join(lone, "cid", "left").where((size - uniques) >= F.lit(limit) * size).select("cid", "items", "side")
-    pairs = bucket_pairs(banded(alive, banding, ("side",)), "bucket", "cid", F.expr("side_a + side_b < 2"), ("side",))
+    alive = cut_lineage(classes.join(lone, "cid", "left").where((size - uniques) >= F.lit(limit) * size).select("cid", "items", "side"))
+    pairs = bucket_pairs(banded(alive, banding, ("side",)), "bucket", "cid", F.expr("side_a + side_b < 2"), ("side",), floor=floor)
     left = alive.select(F.col("cid").alias("a"), F.col("items").alias("items_a"))
     right = alive.select(F.col("cid").alias("b"), F.col("items").alias("items_b"))
     common = F.size(F.array_intersect("items_a", "items_b"))
     overlap = common / (F.size("items_a") + F.size("items_b") - common)
-    return pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= limit)
-
+    return cut_lineage(pairs.join(left, "a").join(right, "b").select("a", "b", overlap.alias("overlap")).where(F.col("overlap") >= limit))
 
-def memberships(records: DataFrame) -> DataFrame:
-    """``(key, side, cid)``: the class of each key, by its latest row."""
-    return records.groupBy("key", "side").agg(F.max_by("cid", "arrived").alias("cid"))
 
-
-def similar_pairs(records: DataFrame, limit: float = 0.6, banding: Banding = Banding(), block: int = 2048) -> DataFrame:
+def similar_pairs(records: DataFrame, limit: float = 0.6, banding: Banding = Banding(), block: int = 4096, floor: int = FLOOR) -> DataFrame:
     """All pairs ``(key_a, key_b)`` of keys, smaller first, whose sets overlap by at least ``limit``; none of two examples.
 
     Classes are joined first and their members are put in last; members of a large class are dealt out in blocks.
     """
-    found = similar_classes(records, limit, banding).select("a", "b")
-    members = memberships(records)
-    sized = members.groupBy("cid").agg(F.count("*").alias("n")).select("cid", F.ceil(F.col("n") / block).cast("int").alias("blocks"), "n")
-    links = found.unionByName(sized.where("n > 1").select(F.col("cid").alias("a"), F.col("cid").alias("b")))
-    right = links.join(sized.select(F.col("cid").alias("b"), "blocks"), "b").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = members.join(sized.where("blocks > 1").select("cid", "blocks"), "cid", "left").withColumn("block", F.pmod(F.xxhash64("key"), F.coalesce("blocks", F.lit(1))).cast("int"))
-    seconds = right.join(dealt.select(F.col("cid").alias("b"), "block", F.col("key").alias("kb"), F.col("side").alias("sb")), ["b", "block"]).select("a", "b", "kb", "sb")
-    firsts = members.select(F.col("cid").alias("a"), F.col("key").alias("ka"), F.col("side").alias("sa"))
-    pairs = seconds.join(firsts, "a").where("sa + sb < 2 and ka != kb and (a != b or ka < kb)")
-    return pairs.select(F.least("ka", "kb").alias("key_a"), F.greatest("ka", "kb").alias("key_b"))
-
-
-def record_links(records: DataFrame, limit: float = 0.6, banding: Banding = Banding()) -> DataFrame:
+    members = memberships(records, floor)
+    found = similar_classes(records, members, limit, banding, floor).select("a", "b")
+    own = members.where("copies > 1 and shiftleft(key, 1) + side = cid").select(F.col("cid").alias("a"), F.col("cid").alias("b"))
+    pairs = member_pairs(found.unionByName(own), members.select("cid", "key", "side"), ("side",), block, floor)
+    pairs = pairs.where("side_a + side_b < 2 and key_a != key_b and (a != b or key_a < key_b)")
+    return pairs.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"))
+
+
+def record_links(records: DataFrame, limit: float = 0.6, banding: Banding = Banding(), floor: int = FLOOR) -> DataFrame:
     """One row per key: ``(key, side, class_id, copies, links)``, no pair being expanded.
 
     ``class_id`` is the least key of the equal sets, ``copies`` their number and ``links`` the number of other classes
     that overlap by at least ``limit``.
     """
-    members = memberships(records)
-    classes = members.groupBy("cid").agg(F.min("key").alias("class_id"), F.count("*").alias("copies"))
-    degree = similar_classes(records, limit, banding).select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
-    rows = members.join(classes.join(degree, "cid", "left"), "cid")
-    return rows.select("key", "side", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
+    members = memberships(records, floor)
+    degree = similar_classes(records, members, limit, banding, floor).select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count("*").alias("links"))
+    rows = hot_join(members, degree, "cid", "left", floor=floor)
+    return rows.select("key", "side", F.shiftright("cid", 1).alias("class_id"), "copies", F.coalesce("links", F.lit(0)).alias("links"))
