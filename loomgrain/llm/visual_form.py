@@ -3,9 +3,9 @@
 Method: confusables skeleton. A text is decomposed, every character is replaced by
 its prototype, and the result is decomposed again; texts with equal skeletons look
 the same. Prototypes come from rules over the Unicode character database (width and
-font variants, spaces, invisible characters) and a short list of look-alike letters.
-Letter case, accents and digits stay apart: an accent is only brought to its
-decomposed spelling, and a digit is never made a letter.
+font variants, numerals that are drawn as letters, spaces, invisible characters) and a
+table of look-alike letters of other scripts. Letter case, accents and digits stay apart:
+an accent is only brought to its decomposed spelling, and a digit is never made a letter.
 """
 
 from __future__ import annotations
@@ -20,19 +20,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from loomgrain.llm.buckets import BLOCK, member_pairs
 from loomgrain.session import cut_lineage
-from loomgrain.tables import spread
+from loomgrain.skew import FLOOR, hot_join, with_stats
+from loomgrain.tables import spread, wide_hash
 
-# Letters of other scripts that are drawn like a Latin letter.
+# Letters of other scripts that are drawn like a Latin letter, by script: the letters, and the
+# Latin letters that stand in the same places.
 LOOK_ALIKES = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ",
-    "H": "НΗ", "I": "ІΙӀ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ",
-    "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аɑ", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ɡց", "h": "һհ",
-    "i": "і", "j": "јϳ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "р", "q": "ԛ",
-    "s": "ѕ", "u": "ս", "v": "ѵν", "w": "ԝ", "x": "х", "y": "уү",
-}
+    "Cyrillic": ("АВСԌЕНІӀЈКМОРԚЅТѴԜХҮасԁеһіјӏорԛѕѵԝхуү", "ABCGEHIIJKMOPQSTVWXYacdehijlopqsvwxyy"),
+    "Greek": ("ΑΒΕϜΖΗΙͿΚΜΝΟΡϹΤΥΧαιϳκνορϲυτ", "ABEFZHIJKMNOPCTYXaijkvopcut"),
+    "Armenian": ("ՍՏՕցհոսօ", "USOghnuo"),
+    "Cherokee": ("ᎠᎡᎢᎥᎩᎪᎫᎬᎳᎷᎻᎽᏀᏃᏂᏏᏒᏔᏙᏚᏞᏟᏢᏦᏧᏴ", "DRTiyAJEWMHYGZhbRWVSLCPKdB"),
+    "Lisu": ("ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ", "BPDTGKJCZFMNLSRVHWXYAEIOU"),
+    "Coptic": ("ⲀⲂⲎⲒⲔⲘⲚⲞⲟⲢⲣⲤⲥⲦⲬ", "ABHIKMNOoPpCcTX"),
+    "Latin forms": ("ɑɡᴄᴏꜱᴜᴠᴡᴢ", "agcosuvwz"),
+}
 # Fillers and joiners without ink whose category is not format.
 INVISIBLE = "͏ᅟᅠ឴឵᠋᠌᠍᠎ㅤﾠ"
 
@@ -46,15 +49,16 @@ def prototypes() -> dict[int, str | None]:
             continue  # ideographs, syllables and private planes have no rule
         ch = chr(code)
         kind = unicodedata.category(ch)
+        decomposed = unicodedata.decomposition(ch)
         if kind == "Zs":
             table[code] = " "
         elif kind == "Cf" or 0xFE00 <= code <= 0xFE0F or 0xE0100 <= code <= 0xE01EF or ch in INVISIBLE:
             table[code] = None
-        elif unicodedata.decomposition(ch).startswith(("<wide>", "<narrow>", "<font>")):
+        elif decomposed.startswith(("<wide>", "<narrow>", "<font>")) or kind == "Nl" and decomposed.startswith("<compat>"):
             table[code] = unicodedata.normalize("NFD", unicodedata.normalize("NFKC", ch))
-    for latin, others in LOOK_ALIKES.items():
-        for ch in others:
-            table[ord(ch)] = latin
+    for others, latin in LOOK_ALIKES.values():
+        for ch, like in zip(others, latin, strict=True):
+            table[ord(ch)] = like
     return {k: v if v is None else "".join(table.get(ord(c), c) or "" for c in v) for k, v in table.items()}
 
 
@@ -76,52 +80,48 @@ def with_skeleton(df: DataFrame, text: str = "text", out: str = "skeleton") -> D
 
 
 def visual_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 61) -> DataFrame:
-    """One row per record: its form class and the class of its stored text.
+    """One row per record: ``key``, ``form`` (128-bit hash of the skeleton) and ``cid`` (of the text as stored).
 
-    Columns: ``key``, ``form_hi``/``form_lo`` (128-bit hash of the skeleton), ``text_hi``/``text_lo``
-    (of the text as stored). Null keys and texts, and skeletons of fewer than ``min_length``
-    characters, are left out; repeated keys with equal texts count once.
+    Null keys and texts, and skeletons of fewer than ``min_length`` characters, are left out; repeated keys
+    with equal texts count once.
     """
-    stored = [F.xxhash64("_t").alias("text_hi"), F.xxhash64(F.lit(1), "_t").alias("text_lo")]
-    rows = df.select(F.col(key), F.col(text).alias("_t")).where(f"`{key}` is not null and _t is not null").select(key, *stored, "_t")
+    rows = df.select(F.col(key), F.col(text).alias("_t")).where(f"`{key}` is not null and _t is not null").select(key, wide_hash("_t").alias("cid"), "_t")
 
     def shape(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:  # as a stage of its own: an expression would be evaluated for the filter and again for the hashes
             yield b.drop(columns="_t").assign(_s=b["_t"].map(skeleton))
 
-    form = spread(rows, key).mapInPandas(shape, f"`{key}` {dict(df.dtypes)[key]}, text_hi long, text_lo long, _s string")
-    hashes = [F.xxhash64("_s").alias("form_hi"), F.xxhash64(F.lit(1), "_s").alias("form_lo")]
-    return form.where(F.char_length("_s") >= min_length).select(key, *hashes, "text_hi", "text_lo")
+    form = spread(rows, key).mapInPandas(shape, f"`{key}` {dict(df.dtypes)[key]}, cid binary, _s string")
+    return form.where(F.char_length("_s") >= min_length).select(key, wide_hash("_s").alias("form"), "cid").distinct()
 
 
-def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 61, block: int = 4096) -> DataFrame:
+def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 61, block: int = BLOCK, floor: int = FLOOR) -> DataFrame:
     """Pairs ``(doc_a, doc_b)`` of records with equal skeletons and different stored texts, smaller key first.
 
-    Groups that hold one stored text only are dropped before the join, so copies cost nothing;
-    a group of more than ``block`` rows is dealt out over several join keys.
+    Stored texts of one form are paired first, each once, and their records are put in last, so copies of a stored text are
+    never compared. A form of more than ``block`` stored texts is cut into a triangle of cells.
     """
-    rows = cut_lineage(visual_classes(df, key, text, min_length).distinct())  # hashes only; used thrice
-    group = ["form_hi", "form_lo"]
-    mixed = (
-        rows.groupBy(*group)
-        .agg(F.count("*").alias("n"), F.min(F.struct("text_hi", "text_lo")).alias("a"), F.max(F.struct("text_hi", "text_lo")).alias("b"))
-        .where("a != b")
-        .select(*group, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    )
-    rows = rows.join(mixed, group)
-    left = rows.withColumn("salt", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")).select(*group, "salt", F.col(key).alias("doc_a"), "text_hi", "text_lo")
-    right = rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(*group, "salt", F.col(key).alias("doc_b"), F.col("text_hi").alias("hi_b"), F.col("text_lo").alias("lo_b"))
-    pairs = left.join(right, [*group, "salt"]).where("doc_a < doc_b and (text_hi != hi_b or text_lo != lo_b)")
-    return pairs.select("doc_a", "doc_b")
-
-
-def form_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 0) -> DataFrame:
+    rows = cut_lineage(visual_classes(df, key, text, min_length))  # hashes only
+    spelt = rows.groupBy("form", "cid").agg(F.count("*").alias("n"))
+    spelt = cut_lineage(with_stats(spelt, "form", {"_t": F.count("*")}, floor=floor).where("_t > 1"))
+    blocks = F.ceil(F.col("_t") / block).cast("int")
+    own = spelt.withColumn("_i", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cells = own.select("form", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "cid")
+    a = cells.select("form", "_lo", "_hi", F.col("_i").alias("_ia"), F.col("cid").alias("a"))
+    b = cells.select("form", "_lo", "_hi", F.col("_i").alias("_ib"), F.col("cid").alias("b"))
+    texts = cut_lineage(a.join(b, ["form", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)").select("a", "b"))
+    mixed = spelt.select("cid", F.lit(True).alias("_mixed"))
+    members = hot_join(rows.select("cid", F.col(key).alias("key")), mixed, "cid", floor=floor).select("cid", "key")
+    pairs = member_pairs(texts, members, block=block, floor=floor).where("key_a != key_b")
+    return pairs.select(F.least("key_a", "key_b").alias("doc_a"), F.greatest("key_a", "key_b").alias("doc_b")).distinct()
+
+
+def form_classes(df: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = 0, floor: int = FLOOR) -> DataFrame:
     """One row per record with a text: ``(key, form_id, members, spellings)``.
 
     ``form_id`` is the least key among records of equal skeletons, ``spellings`` how many different texts they are stored as.
     """
-    rows = cut_lineage(visual_classes(df, key, text, min_length).distinct())
-    group = ["form_hi", "form_lo"]
-    spelt = rows.groupBy(*group, "text_hi", "text_lo").agg(F.count("*").alias("n"), F.min(key).alias("least"))
-    classes = spelt.groupBy(*group).agg(F.min("least").alias("form_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
-    return rows.join(classes, group).select(key, "form_id", "members", "spellings")
+    rows = cut_lineage(visual_classes(df, key, text, min_length))
+    spelt = rows.groupBy("form", "cid").agg(F.count("*").alias("n"), F.min(key).alias("least"))
+    classes = spelt.groupBy("form").agg(F.min("least").alias("form_id"), F.sum("n").alias("members"), F.count("*").alias("spellings"))
+    return hot_join(rows, classes, "form", floor=floor).select(key, "form_id", "members", "spellings")
