@@ -7,13 +7,19 @@ hits are located by sampled suffix positions and overlapping windows merge into
 
 Words that no evaluation item has, and the ends of documents, become symbols of their
 own, all different: no window can run over them, and the suffix sort stops at them.
+
+Words are 64-bit hashes. Tasks cut the items into words and write them to the shared folder; each task over the corpus
+builds one index per shard and streams the items past it in blocks of bounded size. The corpus is read once however
+many items there are, no item passes through the driver, and what is broadcast is a bit field of fixed size.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -21,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm.visual_form import skeleton
+from loomgrain.session import shared_folder
 from loomgrain.tables import spread
 
 WORD = re.compile(r"[^\W_]+")
 SAMPLE = 8
+FIELD_BITS = 22  # words of the items, as a bit field of 512 KiB; a clash costs time, not correctness
 
 
 def comparable(text: str) -> str:
@@ -151,42 +159,110 @@ class FMIndex:
         return out
 
 
-class PhraseSet:
-    """The windows of ``min_words`` words of the evaluation items, as symbols."""
-
-    def __init__(self, items: list[tuple[int, str]], min_words: int):
-        self.ids: dict[str, int] = {}
-        windows, owner = {}, []
-        for item, text in items:
-            seq = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            for i in range(len(seq) - min_words + 1):
-                owner.append((windows.setdefault(tuple(seq[i : i + min_words]), len(windows)), item))
-        self.phrases = np.array(list(windows), np.int64).reshape(-1, min_words)
-        pairs = np.array(sorted(set(owner)), np.int64).reshape(-1, 2)
-        self.owner_start = np.searchsorted(pairs[:, 0], np.arange(len(windows) + 1))
-        self.owners = pairs[:, 1]
-        self.min_words = min_words
-
-
-def _shard_hits(docs: list[int], starts: list[int], chunks: list[np.ndarray], wanted: PhraseSet) -> pd.DataFrame:
-    lengths = np.array([len(c) + 1 for c in chunks])
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
+@lru_cache(maxsize=1 << 18)
+def word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def word_hashes(text: str | None) -> np.ndarray:
+    return np.array([word_hash(w) for w in words(text)], np.int64)
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """``(item_id, words)`` of ``items(item_id, text)``; words as hashes, in order."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({"item_id": b.item_id, "words": [word_hashes(t) for t in b.text]})
+
+    return items.mapInPandas(cut, "item_id long, words array<long>")
+
+
+def word_field(cut: DataFrame) -> np.ndarray:
+    """A bit field of the words of ``cut(item_id, words)``: 2^16 longs at most come to the driver, whatever the items."""
+    slot = F.col("w").bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
+    bits = cut.select(F.explode("words").alias("w")).groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(w & 63 as int))")).alias("bits"))
+    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    for r in bits.collect():
+        field[r["at"]] = r["bits"]
+    return field
+
+
+def _in_field(hashes: np.ndarray, field: np.ndarray) -> np.ndarray:
+    slot = hashes & ((1 << FIELD_BITS) - 1)
+    return (field[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+_one_block: dict[tuple[str, int], list[tuple[np.ndarray, ...]]] = {}
+
+
+def item_blocks(folder: str, block_words: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """``(item, row, word)`` of each word in blocks of about ``block_words``, from the shared folder. A sole block is kept by the worker."""
+    import pyarrow.fs
+    import pyarrow.parquet
+
+    if (folder, block_words) in _one_block:
+        yield from _one_block[folder, block_words]
+        return
+    if folder.startswith("file:") or "://" not in folder:
+        system, path = pyarrow.fs.LocalFileSystem(), re.sub(r"^file:/*", "/", folder)
+    else:
+        system, path = pyarrow.fs.FileSystem.from_uri(folder)
+    blocks, held, size, sole, row = 0, [], 0, None, 0
+    for info in sorted(system.get_file_info(pyarrow.fs.FileSelector(path)), key=lambda f: f.path):
+        if not info.path.endswith(".parquet"):
+            continue
+        with system.open_input_file(info.path) as f:
+            for batch in pyarrow.parquet.ParquetFile(f).iter_batches(batch_size=256):
+                lists = batch.column("words")
+                lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+                owner = np.repeat(batch.column("item_id").to_numpy(), lengths)
+                held.append((owner, np.repeat(np.arange(row, row + len(lengths)), lengths), lists.flatten().to_numpy()))
+                row += len(lengths)
+                size += len(owner)
+                if size >= block_words:
+                    yield tuple(np.concatenate(x) for x in zip(*held))
+                    blocks, held, size = blocks + 1, [], 0
+    if held:
+        sole = tuple(np.concatenate(x) for x in zip(*held))
+    if not blocks:
+        _one_block.clear()
+        _one_block[folder, block_words] = [sole] if sole else []
+    if sole:
+        yield sole
+
+
+def _shard_hits(docs: list[int], starts: list[int], chunks: list[np.ndarray], known: list[np.ndarray], folder: str, min_words: int, block_words: int) -> pd.DataFrame:
+    """Spans of one shard: an index over its words, all item windows searched block by block."""
+    offsets = np.concatenate([[0], np.cumsum([len(c) + 1 for c in chunks])])
+    inside = np.zeros(offsets[-1], bool)
+    flat = np.zeros(offsets[-1], np.int64)
+    for at, chunk, ok in zip(offsets, chunks, known):
+        flat[at : at + len(chunk)], inside[at : at + len(chunk)] = chunk, ok
+    vocabulary, named = np.unique(flat[inside], return_inverse=True)
     symbols = np.zeros(offsets[-1], np.int64)
-    for at, chunk in zip(offsets, chunks):
-        symbols[at : at + len(chunk)] = chunk
-    index = FMIndex(symbols, len(wanted.ids) + 1)
-    low, high = index.search(wanted.phrases)
-    found = np.flatnonzero(high > low)
-    counts = (high - low)[found]
-    phrase = np.repeat(found, counts)
-    rows = np.repeat(low[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-    position = index.locate(rows)
-    chunk = np.searchsorted(offsets, position, side="right") - 1
-    many = wanted.owner_start[phrase + 1] - wanted.owner_start[phrase]
-    take = np.repeat(wanted.owner_start[phrase], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-    chunk, position = np.repeat(chunk, many), np.repeat(position, many)
-    hits = pd.DataFrame({"doc_id": np.array(docs, np.int64)[chunk], "item_id": wanted.owners[take], "first_word": position - offsets[chunk] + np.array(starts, np.int64)[chunk]})
-    return _merge(hits.assign(last_word=hits.first_word + wanted.min_words - 1))
+    symbols[inside] = named + 1
+    parts = [pd.DataFrame({"doc_id": [], "item_id": [], "first_word": [], "last_word": []}, dtype=np.int64)]
+    index = None
+    for owner, row, item in item_blocks(folder, block_words):
+        if not len(vocabulary) or len(item) < min_words:
+            continue
+        place = np.minimum(np.searchsorted(vocabulary, item), len(vocabulary) - 1)
+        strange = np.concatenate([[0], np.cumsum(vocabulary[place] != item)])
+        begin = np.arange(len(item) - min_words + 1)
+        begin = begin[(strange[begin + min_words] == strange[begin]) & (row[begin] == row[begin + min_words - 1])]
+        if not len(begin):
+            continue
+        index = index or FMIndex(symbols, len(vocabulary) + 1)
+        low, high = index.search(place[begin[:, None] + np.arange(min_words)] + 1)
+        found = np.flatnonzero(high > low)
+        counts = (high - low)[found]
+        rows = np.repeat(low[found], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        position = index.locate(rows)
+        chunk = np.searchsorted(offsets, position, side="right") - 1
+        first = position - offsets[chunk] + np.array(starts, np.int64)[chunk]
+        parts.append(_merge(pd.DataFrame({"doc_id": np.array(docs, np.int64)[chunk], "item_id": np.repeat(owner[begin[found]], counts), "first_word": first, "last_word": first + min_words - 1})))
+    return _merge(pd.concat(parts, ignore_index=True))
 
 
 def _merge(hits: pd.DataFrame) -> pd.DataFrame:
@@ -206,53 +282,45 @@ def leaked_spans(
     item_text: str = "text",
     min_words: int = 13,
     shard_words: int = 400_000,
-    block_items: int = 20_000,
+    block_words: int = 2_000_000,
 ) -> DataFrame:
     """Spans of each corpus text that hold at least ``min_words`` consecutive words of an item.
 
     Columns: ``doc_id``, ``item_id``, ``first_word``, ``last_word`` (word numbers, both ends included).
-    Evaluation items go to the executors in blocks of ``block_items`` items, so what is broadcast has a fixed
-    bound however many items there are; the corpus never moves. A text longer than a shard is cut into
-    pieces that share ``min_words - 1`` words. Null keys and texts match nothing; items shorter than
-    ``min_words`` words have no window; a repeated row repeats its spans.
+    A task holds one shard of the corpus and one block of about ``block_words`` words of the items at a time; the corpus
+    never moves. A text longer than a shard is cut into pieces that share ``min_words - 1`` words. Null keys and texts
+    match nothing; items shorter than ``min_words`` words have no window; a repeated row repeats its spans.
     """
+    spark = corpus.sparkSession
     source = corpus.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
-    source = spread(source, "doc_id")
     wanted = items.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).alias("text")).where("item_id is not null and text is not null")
-    blocks, block = [], []
-    for row in wanted.toLocalIterator():
-        block.append((row.item_id, row.text))
-        if len(block) == block_items:
-            blocks.append(block)
-            block = []
-    blocks.append(block)
-    spark = corpus.sparkSession
-    result = None
-    for block in blocks:
-        shared = spark.sparkContext.broadcast(PhraseSet(block, min_words))
-
-        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            phrases = shared.value
-            docs, starts, chunks, held = [], [], [], 0
-            stride = shard_words - min_words + 1
-            known = phrases.ids.get
-            for batch in batches:
-                for doc, body in zip(batch.doc_id, batch.text):
-                    seq = np.array([known(w, 0) for w in words(body)], np.int64)
-                    for start in range(0, max(len(seq) - min_words + 1, 0), stride):
-                        docs.append(doc)
-                        starts.append(start)
-                        chunks.append(seq[start : start + shard_words])
-                        held += len(chunks[-1]) + 1
-                    if held >= shard_words:
-                        yield _shard_hits(docs, starts, chunks, phrases)
-                        docs, starts, chunks, held = [], [], [], 0
-            if chunks and len(phrases.phrases):
-                yield _shard_hits(docs, starts, chunks, phrases)
-
-        part = source.mapInPandas(scan, "doc_id long, item_id long, first_word long, last_word long")
-        result = part if result is None else result.unionByName(part)
-    return result
+    folder = shared_folder(spark, "leak-items")
+    item_words(wanted).where(F.size("words") >= min_words).write.parquet(folder)
+    field = spark.sparkContext.broadcast(word_field(spark.read.parquet(folder)))
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        docs, starts, chunks, known, held = [], [], [], [], 0
+        stride = shard_words - min_words + 1
+        for batch in batches:
+            for doc, body in zip(batch.doc_id, batch.text):
+                seq = word_hashes(body)
+                ok = _in_field(seq, field.value)
+                strange = np.concatenate([[0], np.cumsum(~ok)])
+                if len(seq) < min_words or not (strange[min_words:] == strange[:-min_words]).any():
+                    continue  # no run of words that items have is long enough
+                for start in range(0, len(seq) - min_words + 1, stride):
+                    docs.append(doc)
+                    starts.append(start)
+                    chunks.append(seq[start : start + shard_words])
+                    known.append(ok[start : start + shard_words])
+                    held += len(chunks[-1]) + 1
+                if held >= shard_words:
+                    yield _shard_hits(docs, starts, chunks, known, folder, min_words, block_words)
+                    docs, starts, chunks, known, held = [], [], [], [], 0
+        if chunks:
+            yield _shard_hits(docs, starts, chunks, known, folder, min_words, block_words)
+
+    return spread(source, "doc_id").mapInPandas(scan, "doc_id long, item_id long, first_word long, last_word long")
 
 
 def leaked_items(corpus: DataFrame, items: DataFrame, **options) -> DataFrame:

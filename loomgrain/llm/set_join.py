@@ -25,15 +25,27 @@ from loomgrain.tables import clean_set, wide_hash
 
 @dataclass(frozen=True)
 class Banding:
-    """``bands`` bands of ``rows`` minwise hashes. A pair of overlap s is missed with (1 - s^rows)^bands."""
+    """``bands`` bands of ``rows`` minwise hashes. A pair of overlap s is missed with (1 - s^rows)^bands.
+
+    Where ``pool`` is given, only so many hashes are made and each band takes another choice of ``rows`` of them: much less
+    work for long bands, at some more misses.
+    """
 
     bands: int = 90
     rows: int = 5
     seed: int = 1
+    pool: int = 0
+
+    def choices(self) -> np.ndarray:
+        """The hashes of each band."""
+        if not self.pool:
+            return np.arange(self.bands * self.rows).reshape(self.bands, self.rows)
+        rng = np.random.default_rng(self.seed + 1)
+        return np.stack([rng.choice(self.pool, self.rows, replace=False) for _ in range(self.bands)])
 
     def factors(self) -> tuple[np.ndarray, np.ndarray]:
         rng = np.random.default_rng(self.seed)
-        n = self.bands * self.rows
+        n = self.pool or self.bands * self.rows
         return rng.integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 2**63, n, dtype=np.uint64)
 
 
@@ -57,14 +69,17 @@ def _piece_keys(values: np.ndarray, starts: np.ndarray, banding: Banding) -> np.
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     a, b = banding.factors()
-    keys = np.empty((len(starts), banding.bands), np.uint64)
     h = np.empty_like(x)
-    for band in range(banding.bands):
+    least = np.empty((len(a), len(starts)), np.uint64)
+    for i in range(len(a)):
+        np.multiply(x, a[i], out=h)
+        h += b[i]
+        np.right_shift(np.minimum.reduceat(h, starts), np.uint64(8), out=least[i])
+    keys = np.empty((len(starts), banding.bands), np.uint64)
+    for band, chosen in enumerate(banding.choices()):
         key = np.full(len(starts), band + 1, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        for i in range(band * banding.rows, (band + 1) * banding.rows):
-            np.multiply(x, a[i], out=h)
-            h += b[i]
-            key = (key ^ (np.minimum.reduceat(h, starts) >> np.uint64(8))) * np.uint64(0x94D049BB133111EB)
+        for i in chosen:
+            key = (key ^ least[i]) * np.uint64(0x94D049BB133111EB)
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys

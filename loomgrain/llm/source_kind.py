@@ -1,10 +1,17 @@
 """Problem 5: generated, minified, vendored and data-only source files.
 
-Method: files are cut into tokens; identifiers, numbers and strings are masked, and five-token shingles of the
-masked sequence are clustered by MinHash banding with verification. A masked family of many different
-texts within a repository, or one that shares members with declared tool output, indicates generation; a cluster
-of (unmasked) near-copies in several repositories indicates vendoring; a text of little but literals is a blob.
-Declarations in the leading comment, path conventions and line shapes are read as further evidence.
+Method: files are cut into tokens once; identifiers, numbers and strings are masked, and five-token shingles of the
+masked sequence are clustered by MinHash banding with verification, as are those of the tokens as they stand.
+
+* A masked family of several different texts within one repository indicates generation: people do not write the same code
+  again with other names. Across repositories short texts are alike by chance, so a family counts within one.
+* A cluster of (unmasked) near-copies in several repositories indicates vendoring.
+* A masked cluster of little but literals is a blob, one without room between its tokens is minified.
+* What a family declares about itself speaks for other files: the lines of the leading comment, with the file's own path words
+  masked, are templates; a template that families use is a tool's, and the files that bear it are the tool's output.
+
+No word list or pattern decides: a cluster does, by counts over its members. A file alone is a cluster of one. Wordings
+and path conventions (``declared``) are reported beside the result for the reader.
 """
 
 from __future__ import annotations
@@ -15,34 +22,55 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.llm.buckets import bucket_groups
 from loomgrain.llm.set_join import Banding, band_keys
 from loomgrain.session import cut_lineage
+from loomgrain.skew import FLOOR, hot_join, with_stats
 from loomgrain.tables import spread
 
 SHINGLE = 5
-# masked code has few different shingles, so its families are held to 0.9; either limit is missed with under 4e-4
+# masked code has few different shingles, so its families are held to 0.9, of which a pair is missed with 7e-3; copies
+# are held to 0.8, missed with 2e-3. Groups are joined through any pair, so members of larger groups are missed far less.
 LIMITS = {"masked": 0.9, "plain": 0.8}
-BANDINGS = {"masked": Banding(bands=40, rows=16, seed=5), "plain": Banding(bands=24, rows=5, seed=5)}
-# Declarations of tools and of foreign code, and path conventions.
-MADE = re.compile(
-    r"(?i)@generated|auto-?generated|machine-(?:written|generated|made)|(?:automatically|code) generated|generated (?:by|from|with|using) \S+|do not (?:edit|modify)|(?:changes|edits) (?:are|will be) (?:lost|overwritten)"
-)
-MADE_PATH = re.compile(r"(?i)(?:^|/)(?:__generated__|generated|gen|autogen|codegen_out)/|\.(?:generated|gen|pb|g)\.\w+$|_pb2?(?:_grpc)?\.\w+$|\.min\.\w+$|\.(?:bundle|chunk)\.\w+$")
-FOREIGN = re.compile(r"(?i)copied (?:verbatim )?from \S+@v?\d|\b[\w-]+ v?\d+\.\d+\.\d+ (?:-|\|)|see LICENSE in the \S+ distribution|upstream licen[cs]e|vendored (?:from|copy)")
-FOREIGN_PATH = re.compile(r"(?i)(?:^|/)(?:node_modules|third[_-]party|vendor|vendored|external|bower_components|site-packages)/")
-WORDS = set(
+BANDINGS = {"masked": Banding(bands=40, rows=20, seed=5, pool=128), "plain": Banding(bands=16, rows=5, seed=5)}
+FIELD_BITS = 24
+# Declarations of tools and of foreign code, and path conventions; they explain and do not decide.
+DECLARED = re.compile(r"(?i)@generated|auto-?generated|(?:machine|automatically|code)[- ](?:written|generated|made)|generated (?:by|from|with|using) \S+|do not (?:edit|modify)|copied (?:verbatim )?from|vendored (?:from|copy)")
+DECLARED_PATH = re.compile(r"(?i)(?:^|/)(?:__generated__|gen|autogen|node_modules|third[_-]party|vendor|vendored|external)/|\.(?:generated|pb|min|bundle)\.\w+$|_pb2?(?:_grpc)?\.\w+$")
+# Words that masking leaves as they are.
+WORDS = (
     "abstract and as assert async await break case catch class const continue crate def default del do dyn elif else enum except export extends finally fn for from function global if impl implements "
     "import in instanceof interface is lambda let loop match mod move mut new nonlocal not null or pass pub raise ref return self static struct super switch this throw trait try type typeof unsafe use var void where while with yield "
-    "None True False true false Self".split()
-)
+    "None True False true false Self"
+).split()
 TOKEN = re.compile(
-    r"(?P<c>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w\])}])#(?![!\[])[^\n]*)|(?P<s>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)"
+    r"(?P<f>```)|(?P<c>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w\])}])#(?![!\[])[^\n]*)|(?P<s>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)"
     r"|(?P<n>\d[\w.]*)|(?P<i>[^\W\d]\w*|\$[\w$]*)|(?P<p>[^\s\w])"
 )
+PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
+HEAD_TOKEN = re.compile(r"[^\W\d_]+|\d\w*|[^\s\w]")
+
+
+def _word_hash(word: str) -> int:
+    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+class _Words(dict):
+    """Hashes of words, each computed once; emptied when large, so the memory of a worker is bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = h = _word_hash(word)
+        return h
+
+
+_words = _Words()
+NAME, NUMBER, STRING = (_word_hash(w) for w in ("<name>", "<number>", "<string>"))
+_kept = {w: _word_hash(w) for w in WORDS}
 
 
 def leading_comment(text: str) -> str:
@@ -55,56 +83,86 @@ def leading_comment(text: str) -> str:
     return "".join(out)
 
 
-def _hashed(tokens: list[str]) -> np.ndarray:
-    """Hashes of all runs of five tokens, each once."""
-    if len(tokens) < SHINGLE:
+def _shingles(tokens: list[int]) -> np.ndarray:
+    """Hashes of all runs of five tokens, each once; fewer tokens make one run."""
+    if not tokens:
         return np.empty(0, np.int64)
-    h = pd.util.hash_array(np.array(tokens, dtype=object)).astype(np.uint64)
-    out = np.zeros(len(h) - SHINGLE + 1, np.uint64)
-    for k in range(SHINGLE):
-        out = out * np.uint64(0x9E3779B97F4A7C15) ^ (h[k : len(h) - SHINGLE + 1 + k] + (out >> np.uint64(31)))
+    h = np.array(tokens, np.uint64)
+    runs = max(1, len(h) - SHINGLE + 1)
+    out = np.zeros(runs, np.uint64)
+    for k in range(min(SHINGLE, len(h))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) ^ (h[k : runs + k] + (out >> np.uint64(31)))
     return np.unique(out.view(np.int64))
 
 
-def shingles(text: str) -> tuple[np.ndarray, np.ndarray, bool, int]:
-    """Masked and plain shingles, whether the code is little but literals, and the number of tokens."""
-    masked, plain, literal, total, values, names = [], [], 0, 0, 0, 0
+def head_lines(path: str, head: str) -> list[int]:
+    """The lines of a leading comment as templates: words of the file's own path and numbers masked, each line as one hash."""
+    own = {w.lower() for w in PIECE.findall(path)}
+    stems = tuple(w for w in own if len(w) > 3)
+    out = set()
+    for line in head.split("\n"):
+        parts, named = [], False
+        for word in HEAD_TOKEN.findall(line.lower()):
+            if word[0].isdigit():
+                parts.append("N")
+            elif word in own or word.startswith(stems):
+                parts.append("I")
+            else:
+                parts.append(word)
+                named = named or word[0].isalpha()
+        if named:
+            out.add(_word_hash(" ".join(parts).strip("/*#! =")) - (1 << 63))
+    return sorted(out)
+
+
+def describe(path: str | None, text: str, repo: str | None = None) -> dict:
+    """What one file shows by itself: shingles, template lines and counts. Documents (markup, JSON, patches) are no code."""
+    text = text.removeprefix("﻿").replace("\r\n", "\n")
+    head = leading_comment(text)
+    masked, plain = [], []
+    literal = values = names = total = 0
+    first = ""
     for m in TOKEN.finditer(text):
         kind, word = m.lastgroup, m.group()
         if kind == "c":
             continue
+        first = first or word
         total += len(word)
-        if kind in "sn" and word[0] != "`":
-            literal += len(word)
-            values += 1
-        names += kind == "i"
-        masked.append({"s": "S", "n": "N", "p": word}.get(kind) or (word if word in WORDS else "I"))
-        plain.append("S" if kind == "s" else word)
-    # a named value: a document that starts with its braces is a file in another language, not code
-    named = bool(plain) and plain[0] not in ("{", "[", "<", "-")
-    blob = named and total > 200 and (literal > 0.75 * total or values >= 20 and names <= 0.2 * values)
-    return _hashed(masked), _hashed(plain), blob, len(plain)
-
-
-def describe(path: str | None, text: str) -> dict:
-    """Evidence that one file gives by itself."""
-    text = text.removeprefix("﻿").replace("\r\n", "\n")
-    head, path = leading_comment(text), path or ""
-    lines = [x for x in text[len(head) :].split("\n") if x.strip()]
-    chars = sum(map(len, lines))
-    masked, plain, blob, tokens = shingles(text)
+        plain.append(_words[word])
+        if kind == "i":
+            names += 1
+            masked.append(_kept.get(word, NAME))
+        elif kind in "pf":  # the fence of a quoted listing is no string: what it holds is code
+            masked.append(_words[word])
+        else:
+            masked.append(STRING if kind == "s" else NUMBER)
+            if word[0] != "`":
+                literal += len(word)
+                values += 1
+    body = text[len(head) :]
     return {
-        "made": bool(MADE.search(head) or MADE_PATH.search(path)),
-        "foreign": bool(FOREIGN.search(head) or FOREIGN_PATH.search(path)),
-        "minified": chars > 400 and (chars / len(lines) > 100 or sum(len(x) for x in lines if len(x) > 250) > 0.5 * chars),
-        "data": blob,
+        "code": bool(plain) and first not in ("{", "[", "<", "-"),
+        "names": names,
+        "vals": values,
+        "literal": literal,
+        "total": total,
+        "lines": sum(1 for x in body.split("\n") if x.strip()),
+        "chars": len(body) - body.count("\n"),
+        "gaps": len(body.split()),
+        "tokens": len(plain),
+        "heads": head_lines(f"{repo or ''}/{path or ''}", head) if head.strip() else [],
+        "declared": bool(DECLARED.search(head) or DECLARED_PATH.search(path or "")),
         "masked": masked,
         "plain": plain,
-        "tokens": tokens,
     }
 
 
-EVIDENCE = "file_id long, repo string, made boolean, foreign boolean, minified boolean, data boolean, tokens long, masked_set long, plain_set long, masked_bands array<long>, plain_bands array<long>"
+COUNTS = ["names", "vals", "literal", "total", "lines", "chars", "gaps", "tokens"]
+EVIDENCE = (
+    "file_id long, repo string, code boolean, declared boolean, "
+    + ", ".join(f"{c} long" for c in COUNTS)
+    + ", heads array<long>, masked_set binary, plain_set binary, masked_bands array<long>, plain_bands array<long>, masked_shingles array<int>"
+)
 
 
 def file_evidence(files: DataFrame) -> DataFrame:
@@ -112,87 +170,130 @@ def file_evidence(files: DataFrame) -> DataFrame:
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [describe(path, text) for path, text in zip(b.file_path, b.content)]
-            frame = pd.DataFrame({"file_id": b.file_id, "repo": b.repo, **{k: [d[k] for d in found] for k in ("made", "foreign", "minified", "data", "tokens")}})
+            found = [describe(path, text, repo) for path, text, repo in zip(b.file_path, b.content, b.repo)]
+            frame = pd.DataFrame({"file_id": b.file_id, "repo": b.repo, **{k: [d[k] for d in found] for k in ("code", "declared", *COUNTS, "heads")}})
             for kind, banding in BANDINGS.items():
-                sets = [d[kind] for d in found]
+                sets = [_shingles(d[kind]) if d["code"] else np.empty(0, np.int64) for d in found]
                 full = [i for i, s in enumerate(sets) if len(s)]
                 ids, bands = [None] * len(sets), [np.empty(0, np.int64)] * len(sets)
                 if full:
                     starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in full])[:-1]])
                     keys = band_keys(np.concatenate([sets[i] for i in full]), starts, banding)
                     for i, row in zip(full, keys):
-                        ids[i], bands[i] = int.from_bytes(hashlib.blake2b(sets[i].tobytes(), digest_size=8).digest(), "little", signed=True), row
-                frame[f"{kind}_set"] = pd.array(ids, dtype="Int64")
+                        ids[i], bands[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), row
+                frame[f"{kind}_set"] = ids
                 frame[f"{kind}_bands"] = bands
+                if kind == "masked":
+                    frame["masked_shingles"] = [(s & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for s in sets]
             yield frame[[c.split()[0] for c in EVIDENCE.split(", ")]]
 
     rows = files.where("file_id is not null and content is not null").select("file_id", "repo", "file_path", "content")
     return spread(rows, "file_id").mapInPandas(look, EVIDENCE)
 
 
-def clusters(evidence: DataFrame, files: DataFrame) -> DataFrame:
-    """``(kind, set, cluster)``: near-copies among the distinct shingle sets, masked ones and plain ones, verified exactly.
+def _field_of(ids: DataFrame) -> np.ndarray:
+    """A bit field of fixed size over hashed ids: what lies outside it is none of them. At most 2^18 longs come to the driver."""
+    slots = ids.select(F.pmod(F.xxhash64("file_id"), F.lit(1 << FIELD_BITS)).alias("slot"))
+    bits = slots.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    field = np.zeros(1 << (FIELD_BITS - 6), np.int64)
+    for r in bits.collect():
+        field[r["at"]] = r["bits"]
+    return field
 
-    Both kinds go through one pass, kept apart by hashing the kind into set and bucket keys. Only sets that share a band are
-    cut into shingles again, so no shingle of any other file is ever moved.
-    """
 
-    def sets_of(kind: str) -> DataFrame:
-        rows = evidence.where(f"{kind}_set is not null").groupBy(F.col(f"{kind}_set").alias("set")).agg(F.min("file_id").alias("file_id"), F.first(f"{kind}_bands").alias("bands"))
-        return rows.select(F.lit(kind).alias("kind"), "set", F.xxhash64(F.lit(kind), "set").alias("cid"), "file_id", "bands")
-
-    sets = cut_lineage(sets_of("masked").unionByName(sets_of("plain")))
-    banded = sets.select("cid", F.explode("bands").alias("b")).select("cid", F.xxhash64("b", F.lit(1)).alias("bucket"))
-    crowded = banded.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    banded = cut_lineage(banded.join(crowded, "bucket"))
-    wanted = sets.select("cid", "kind", "file_id").join(banded.select("cid").distinct(), "cid", "left_semi")
-    texts = files.where("content is not null").select("file_id", "content").join(wanted, "file_id").dropDuplicates(["cid"])
+def plain_shingles(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``(file_id, s)`` of the files of ``wanted(file_id)``, cut again where they lie; no text is moved."""
+    field = files.sparkSession.sparkContext.broadcast(_field_of(wanted))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"cid": b.cid, "lim": b.kind.map(LIMITS), "s": [describe(None, t)[kind] for kind, t in zip(b.kind, b.content)]})
+            slot = b.slot.to_numpy(np.int64)
+            b = b[(field.value[slot >> 6].view(np.uint64) >> (slot & 63).astype(np.uint64)) & np.uint64(1) == 1]
+            if len(b):
+                yield pd.DataFrame({"file_id": b.file_id, "s": [(_shingles(describe(None, t)["plain"]) & 0xFFFFFFFF).astype(np.uint32).view(np.int32) for t in b.content]})
+
+    rows = files.where("file_id is not null and content is not null").select("file_id", "content", F.pmod(F.xxhash64("file_id"), F.lit(1 << FIELD_BITS)).alias("slot"))
+    probable = spread(rows, "file_id").mapInPandas(cut, "file_id long, s array<int>")
+    return probable.join(wanted, "file_id", "left_semi").dropDuplicates(["file_id"])
+
+
+def clusters(rows: DataFrame, files: DataFrame, floor: int = FLOOR) -> DataFrame:
+    """``(cid, cluster)``: near-copies among the distinct shingle sets, masked ones and plain ones, verified exactly.
+
+    ``rows`` are those of the files that name a set (``masked_of`` or ``plain_of`` is their own id); a set is named 2 id, a
+    plain one 2 id + 1. Both kinds go through one pass, kept apart by hashing the kind into the bucket keys.
+    """
 
-    cutted = cut_lineage(texts.select("cid", "kind", "content").mapInPandas(cut, "cid long, lim double, s array<long>"))
-    a = cutted.select(F.col("cid").alias("a"), F.col("s").alias("sa"), F.col("lim").alias("la"))
-    b = cutted.select(F.col("cid").alias("b"), F.col("s").alias("sb"), F.col("lim").alias("lb"))
+    def named(kind: str, tag: int) -> DataFrame:
+        return rows.where(f"file_id = {kind}_of").select((F.shiftleft("file_id", 1) + tag).alias("cid"), F.explode(f"{kind}_bands").alias("b")).select("cid", F.xxhash64("b", F.lit(tag)).alias("bucket"))
+
+    banded = with_stats(named("masked", 0).unionByName(named("plain", 1)), "bucket", {"n": F.count("*")}, floor=floor).where("n > 1")
+    banded = cut_lineage(banded.select("bucket", "cid"))
+    shared = banded.select("cid").distinct()
+    masked = rows.where("file_id = masked_of").select(F.shiftleft("file_id", 1).alias("cid"), F.col("masked_shingles").alias("s")).join(shared, "cid", "left_semi")
+    wanted = cut_lineage(shared.where("cid & 1 = 1").select(F.shiftright("cid", 1).alias("file_id")))
+    plain = plain_shingles(files, wanted).select((F.shiftleft("file_id", 1) + 1).alias("cid"), "s")
+    sets = cut_lineage(masked.unionByName(plain))
+    a = sets.select(F.col("cid").alias("a"), F.col("s").alias("sa"))
+    b = sets.select(F.col("cid").alias("b"), F.col("s").alias("sb"))
+    limit = F.when(F.col("a").bitwiseAND(F.lit(1)) == 1, LIMITS["plain"]).otherwise(LIMITS["masked"])
     common = F.size(F.array_intersect("sa", "sb"))
-    alike = (F.col("la") == F.col("lb")) & (common >= F.col("la") * (F.size("sa") + F.size("sb") - common))
-    found = bucket_groups(banded, "bucket", "cid", lambda pairs: pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"))
-    return sets.select("cid", "kind", "set").join(found.select(F.col("id").alias("cid"), F.col("group_id").alias("cluster")), "cid").select("kind", "set", "cluster")
+    alike = (F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(1)) == 0) & (common >= limit * (F.size("sa") + F.size("sb") - common))
+    found = bucket_groups(banded, "bucket", "cid", lambda pairs: pairs.join(a, "a").join(b, "b").where(alike).select("a", "b"), floor=floor)
+    return found.select(F.col("id").alias("cid"), F.col("group_id").alias("cluster"))
 
 
-def source_kinds(files: DataFrame, family: int = 3, made_share: float = 0.3, min_tokens: int = 30) -> DataFrame:
-    """Every file with a non-null content and why it isn't hand-written: ``file_id``, ``repo``, ``generated``, ``minified``, ``vendored``, ``data``.
+def source_kinds(files: DataFrame, family: int = 3, share: float = 0.3, line_share: float = 0.05, rounds: int = 2, floor: int = FLOOR) -> DataFrame:
+    """Every file with a non-null content and why it isn't hand-written: ``file_id``, ``repo``, ``generated``, ``minified``, ``vendored``, ``data``, ``declared``.
 
-    A redelivered file counts once. ``family``: so many different texts of one masked family within a repository
-    show a tool at work; ``made_share``: of a family, declared tool output that speaks for the rest.
-    Texts of fewer than ``min_tokens`` tokens are too short to be alike by copying and join no cluster.
+    A redelivered file counts once. ``family``: so many different texts of one masked cluster within a repository show a tool at
+    work; ``share``: of a cluster, tool output that speaks for the rest; ``line_share``: of the files with a template line, tool output that
+    makes the line a tool's. ``rounds``: how often evidence passes from clusters to lines and back. ``declared`` says whether the
+    wording or the path says so too; it decides nothing.
     """
     evidence = cut_lineage(file_evidence(files))
-    evidence = cut_lineage(evidence.dropDuplicates(["file_id"]))
-    long = evidence.where(F.col("tokens") >= min_tokens)
-    labels = cut_lineage(clusters(long, files))
-
-    def grouped(kind: str) -> DataFrame:
-        own = labels.where(F.col("kind") == kind).select(F.col("set").alias(f"{kind}_set"), "cluster")
-        rows = long.where(f"{kind}_set is not null").join(own, f"{kind}_set", "left")
-        return rows.withColumn("cluster", F.coalesce("cluster", F.xxhash64(F.lit(kind), f"{kind}_set")))
-
-    masked, plain = grouped("masked"), grouped("plain")
-    # distinct texts per repository first: the counts of a large family combine before they meet
-    per_repo = masked.groupBy("cluster", "repo").agg(F.count("*").alias("n"), F.count_if("made").alias("made"), F.count_if("foreign").alias("foreign"), F.countDistinct("plain_set").alias("texts"))
-    families = per_repo.groupBy("cluster").agg(F.sum("n").alias("n"), F.sum("made").alias("m"), F.sum("foreign").alias("f"), F.max("texts").alias("texts"))
-    tool = families.where((F.col("n") > 1) & (F.col("f") == 0) & ((F.col("m") >= F.lit(made_share) * F.col("n")) | (F.col("texts") >= family))).select("cluster", F.lit(True).alias("by_family"))
-    copies = plain.groupBy("cluster", "repo").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.count("*").alias("repos")).where("repos > 1").select("cluster", F.lit(True).alias("by_copies"))
-    by_family = masked.select("file_id", "cluster").join(tool, "cluster").select("file_id", "by_family")
-    by_copies = plain.select("file_id", "cluster").join(copies, "cluster").select("file_id", "by_copies")
-    joined = evidence.join(by_family, "file_id", "left").join(by_copies, "file_id", "left")
+    narrow = evidence.drop("masked_bands", "plain_bands", "masked_shingles").dropDuplicates(["file_id"])
+    narrow = with_stats(cut_lineage(narrow.withColumn("masked_set", F.coalesce("masked_set", F.unhex(F.lpad(F.hex("file_id"), 20, "0")))).withColumn("plain_set", F.coalesce("plain_set", F.unhex(F.lpad(F.hex("file_id"), 20, "0"))))), "masked_set", {"masked_of": F.min("file_id")}, floor=floor)
+    narrow = cut_lineage(with_stats(cut_lineage(narrow), "plain_set", {"plain_of": F.min("file_id")}, floor=floor).drop("masked_set", "plain_set"))
+    reps = narrow.where("code and (file_id = masked_of or file_id = plain_of)").select("file_id", "masked_of", "plain_of")
+    rows = evidence.select("file_id", "masked_bands", "plain_bands", "masked_shingles").join(reps, "file_id").dropDuplicates(["file_id"])
+    labels = cut_lineage(clusters(cut_lineage(rows), files, floor))
+
+    def placed(df: DataFrame, kind: str, tag: int) -> DataFrame:
+        own = labels.where(F.col("cid").bitwiseAND(F.lit(1)) == tag).select(F.shiftright("cid", 1).alias(f"{kind}_of"), F.shiftright("cluster", 1).alias(f"{kind}_cluster"))
+        joined = hot_join(df, own, f"{kind}_of", "left", floor=floor)
+        return joined.withColumn(f"{kind}_cluster", F.coalesce(f"{kind}_cluster", f"{kind}_of"))
+
+    base = cut_lineage(placed(cut_lineage(placed(narrow, "masked", 0)), "plain", 1))
+    code = base.where("code")
+    # distinct texts first: the counts of a large family combine before they meet
+    texts = code.groupBy("masked_cluster", "repo", "plain_of").agg(*[F.sum(c).alias(c) for c in COUNTS])
+    own = texts.groupBy("masked_cluster", "repo").agg(F.count("*").alias("texts"), *[F.sum(c).alias(c) for c in COUNTS])
+    shapes = own.groupBy("masked_cluster").agg(F.max("texts").alias("texts"), *[F.sum(c).alias(c) for c in COUNTS])
+    blob = (F.col("vals") > 0) & ((F.col("literal") > 0.75 * F.col("total")) | (F.col("names") <= 0.2 * F.col("vals")))
+    dense = (F.col("chars") > 100 * F.col("lines")) & (F.col("tokens") > 3 * F.col("gaps"))
+    shapes = shapes.select("masked_cluster", (F.col("texts") >= family).alias("kin"), blob.alias("blob"), dense.alias("dense"))
+    copies = code.groupBy("plain_cluster", "repo").agg(F.lit(1)).groupBy("plain_cluster").agg((F.count("*") > 1).alias("copied")).where("copied")
+    base = hot_join(cut_lineage(hot_join(base, shapes, "masked_cluster", "left", floor=floor)), copies, "plain_cluster", "left", floor=floor)
     no = F.lit(False)
-    return joined.select(
-        "file_id", "repo",
-        (F.col("made") | F.coalesce("by_family", no)).alias("generated"),
-        (F.col("minified") & ~F.col("data")).alias("minified"),
-        (F.col("foreign") | (F.coalesce("by_copies", no) & ~F.col("made"))).alias("vendored"),
-        "data",
+    base = base.select(
+        "file_id", "repo", "code", "declared", "heads", "masked_cluster",
+        (F.coalesce("blob", no) & F.col("code")).alias("data"),
+        (F.coalesce("dense", no) & F.col("code")).alias("minified"),
+        (F.coalesce("copied", no) & F.col("code")).alias("vendored"),
+        (F.coalesce("kin", no) & F.col("code")).alias("kin"),
     )
+    base = cut_lineage(base)
+    lines = cut_lineage(base.select("file_id", F.explode("heads").alias("line")))
+    made = base.withColumn("made", F.col("kin") & ~F.col("data") & ~F.col("vendored")).select("file_id", "masked_cluster", "code", "vendored", "made")
+    for _ in range(rounds):
+        made = cut_lineage(made)
+        seeds = lines.join(made.select("file_id", "made"), "file_id")
+        tool = cut_lineage(seeds).groupBy("line").agg(F.count("*").alias("n"), F.count_if("made").alias("s")).where(F.col("s") >= F.greatest(F.lit(1.0), F.col("n") * line_share)).select("line")
+        borne = hot_join(lines, tool, "line", floor=floor).select("file_id").distinct().withColumn("borne", F.lit(True))
+        made = made.join(borne, "file_id", "left").withColumn("made", F.col("made") | F.coalesce("borne", no)).drop("borne")
+        kin = cut_lineage(made)
+        kinship = kin.where("code").groupBy("masked_cluster").agg(F.count("*").alias("n"), F.count_if("made").alias("m")).where(F.col("m") >= F.col("n") * share).select("masked_cluster", F.lit(True).alias("spoken"))
+        made = hot_join(kin, kinship, "masked_cluster", "left", floor=floor).withColumn("made", F.col("made") | (F.coalesce("spoken", no) & F.col("code") & ~F.col("vendored"))).drop("spoken")
+    out = base.join(made.select("file_id", "made"), "file_id")
+    return out.select("file_id", "repo", (F.col("made") & ~F.col("minified")).alias("generated"), (F.col("minified") & ~F.col("data")).alias("minified"), "vendored", "data", "declared")
