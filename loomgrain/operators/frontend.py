@@ -8,6 +8,7 @@ and everything after it is relational again.
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -23,6 +24,7 @@ BLANK_PY = re.compile(r"(?P<c>#[^\n]*)|(?P<s>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''
 HEADER = {
     "script": re.compile(
         r"\bfunction\s*\*?\s*(?P<n1>[\w$]+)?\s*(?:<[^()]*>)?\s*(?P<p1>\()|(?:\b(?:const|let|var)\s+(?P<n2>[\w$]+)\s*(?::[^=;]+)?=\s*(?:async\s*)?(?P<p2>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={]+)?=>))"
+        r"|(?<=[(,])\s*(?:async\s*)?(?P<p4>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={]+)?=>\s*\{)"
         r"|^[ \t]+(?:(?:public|private|protected|static|async|get|set)\s+)*(?!if\b|for\b|while\b|switch\b|catch\b|function\b|return\b)(?P<n3>[\w$]+)\s*(?P<p3>\()(?=[^()]*(?:\([^()]*\)[^()]*)*\)\s*(?::[^={;]+)?\{)",
         re.M,
     ),
@@ -38,6 +40,12 @@ NESTING = re.compile(EVENTS.pattern + r"|\b(?P<more>else|finally)\b|(?P<open>[({
 NEXT = re.compile(r"\s*(\w+|[^\s\w])?")
 HOLDERS = {"script": set("if switch for while return try catch".split()), "rust": set("if match for while loop return".split()), "python": set("if elif match for while return try except".split())}
 PATH_DEPTH = 10
+# How handlers are registered, decorated and exported.
+REGISTRATION = re.compile(r"\b(?:app|router|route|server|fastify|hono)\.(?:get|post|put|delete|patch|use|all)\s*(\()")
+DECORATED = re.compile(r"@(?:Get|Post|Put|Delete|Patch|All|Query|Mutation|Subscription|GrpcMethod|SubscribeMessage)\b[^\n]*\n(?:\s*@[^\n]*\n)*\s*$")
+VERBS = {"GET", "POST", "PUT", "DELETE", "PATCH"}
+# Families of constructs that count as one in a skeleton.
+SHAPES = {"branch": "branch_node", "loop": "loop_node", "try": "catch_node", "catch": "catch_node"}
 NOT_CALLS = set("if for while switch catch return function match elif with await new typeof def fn print".split())
 
 
@@ -96,6 +104,51 @@ class Function:
     assignments: list[dict] = field(default_factory=list)
     events: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
+    shape: list[str] = field(default_factory=list)
+    types: list[str] = field(default_factory=list)
+    decorated: bool = False
+    registered: bool = False
+    export_kind: str | None = None
+
+
+def parameter_type(text: str, kind: str) -> str | None:
+    """The declared type of a parameter, without its default."""
+    m = re.match(r"[^:=]*:(?!:)\s*([^=]+)", text, re.S)
+    return re.sub(r"\s+", " ", m.group(1)).strip() if m else None
+
+
+def registrations(code: str, text: str) -> tuple[set[str], list[int]]:
+    """Names that router calls of a file are given as handlers, and where arguments of such calls begin."""
+    names, starts = set(), []
+    for m in REGISTRATION.finditer(code):
+        open_at = m.start(1)
+        close = closing(code, open_at)
+        depth, begin = 0, open_at + 1
+        for at in range(open_at + 1, close + 1):
+            c = code[at : at + 1]
+            depth += (c in "([{" and c != "") - (c in ")]}" and at < close)
+            if at == close or c == "," and depth == 0:
+                arg = text[begin:at].strip()
+                starts.append(begin + len(text[begin:at]) - len(text[begin:at].lstrip()))
+                if re.fullmatch(r"[A-Za-z_$][\w$.]*", arg):
+                    names.add(arg.rsplit(".", 1)[-1])
+                begin = at + 1
+    return names, starts
+
+
+def export_kind(before: str, name: str, path: str, code: str, at: int) -> str | None:
+    """What a framework takes an exported function for, by its name and the file's path."""
+    m = re.search(r"\bexport\s+(default\s+)?(?:async\s+)?(?:(?:const|let|var)\s+)?$", before)
+    if not m:
+        opened = code.rfind("export default", 0, at)
+        return "worker" if name == "fetch" and opened >= 0 and re.match(r"export default\s*\{", code[opened:at]) else None
+    if name in VERBS and "+server" in path:
+        return "svelte"
+    if name in VERBS and "api/" in path:
+        return "http"
+    if m.group(1) and "pages/api/" in path:
+        return "default"
+    return "lambda" if name in ("handler", "lambdaHandler") else None
 
 
 def parameter_name(text: str, kind: str) -> str:
@@ -104,7 +157,7 @@ def parameter_name(text: str, kind: str) -> str:
     return re.split(r"[:\s]", text, maxsplit=1)[0].strip("{}[]? ") or ""
 
 
-def functions_of(text: str, extension: str) -> list[Function]:
+def functions_of(text: str, extension: str, path: str = "") -> list[Function]:
     kind = family(extension)
     if kind is None or not text:
         return []
@@ -114,15 +167,15 @@ def functions_of(text: str, extension: str) -> list[Function]:
     line_at = [m.start() for m in re.finditer(r"\n", code)]
 
     def line(pos: int) -> int:
-        import bisect
-
         return bisect.bisect_left(line_at, pos) + 1
 
+    handlers, starts = registrations(code, text) if kind == "script" else (set(), [])
     for m in HEADER[kind].finditer(code):
-        n = next((g for g in ("1", "2", "3") if m.groupdict().get(f"p{g}")), "1")
-        name, start = m.group(f"n{n}") or "anonymous", m.start(f"p{n}")
+        n = next((g for g in ("1", "2", "3", "4") if m.groupdict().get(f"p{g}")), "1")
+        name, start = m.groupdict().get(f"n{n}") or "anonymous", m.start(f"p{n}")
         end = closing(code, start)
-        params = [parameter_name(p, kind) for p in split_arguments(text[start + 1 : end])]
+        declared = split_arguments(text[start + 1 : end])
+        params = [parameter_name(p, kind) for p in declared]
         if kind == "python":
             colon = code.find(":", end)
             if colon < 0:
@@ -144,6 +197,12 @@ def functions_of(text: str, extension: str) -> list[Function]:
             body_start += 1
         body_code = code[body_start:body_end]
         fn = Function(name, line(m.start()), line(min(body_end, len(code) - 1)), [p for p in params if p and p != "self"], text[body_start:body_end], body_code, body_start, text[m.start() : body_start].strip())
+        fn.types = [t for t in (parameter_type(p, kind) for p in declared) if t]
+        if kind == "script":
+            before = code[max(0, m.start() - 400) : m.start() + (len(m.group()) - len(m.group().lstrip()))]
+            fn.decorated = n == "3" and bool(DECORATED.search(before))
+            fn.registered = name in handlers or n == "4" and any(m.start() <= at <= start for at in starts)
+            fn.export_kind = export_kind(before, name, path, code, m.start())
         for c in CALL.finditer(body_code):
             callee = re.sub(r"^(?:await|new)\s+|\s", "", c.group(1)).replace("?.", ".")
             if callee.split(".")[0] in NOT_CALLS:
@@ -161,6 +220,9 @@ def functions_of(text: str, extension: str) -> list[Function]:
         for a in ASSIGN.finditer(body_code):
             fn.assignments.append({"var": a.group("v"), "at": a.start("v"), "value": fn.body[a.start("r") : a.end("r")].strip(), "depth": depth_at(a.start("v"))})
         fn.events = [e.lastgroup for e in EVENTS.finditer(body_code)]
+        marks = [(e.start(), SHAPES.get(e.lastgroup, e.lastgroup)) for e in EVENTS.finditer(body_code)]
+        marks += [(c["at"], f"call/{len(c['args'])}") for c in fn.calls] + [(a["at"], "assign") for a in fn.assignments]
+        fn.shape = [kind_of for _, kind_of in sorted(marks)]
         flat = re.sub(r"([\"'`])\s*\1", lambda s: s.group().replace("\n", " "), body_code)  # line ends within strings end nothing
         fn.paths = indented_paths(flat) if kind == "python" else braced_paths(flat, kind)
         found.append(fn)
@@ -274,15 +336,20 @@ def indented_paths(code: str) -> list[str]:
 
 
 def _depths(code: str):
-    marks = [(m.start(), 1 if m.group() == "{" else -1) for m in re.finditer(r"[{}]", code)]
-    return lambda at: sum(d for p, d in marks if p < at)
+    """Nesting depth in braces before a position: one running sum, looked up by bisection."""
+    places, depths, depth = [], [0], 0
+    for m in re.finditer(r"[{}]", code):
+        depth += 1 if m.group() == "{" else -1
+        places.append(m.start())
+        depths.append(depth)
+    return lambda at: depths[bisect.bisect_left(places, at)]
 
 
 FUNCTION_SCHEMA = (
     "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>>>, "
-    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, control_paths array<string>, signature string, body string"
+    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, control_paths array<string>, shape array<string>, types array<string>, decorated boolean, registered boolean, export_kind string, signature string, body string"
 )
-COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control control_paths signature body".split()
+COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control control_paths shape types decorated registered export_kind signature body".split()
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -292,10 +359,10 @@ def extract_functions(files: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for fid, repo, path, text in zip(b.file_id, b.repo, b.file_path, b.content):
-                for f in functions_of(text or "", (path or "").rsplit(".", 1)[-1].lower()):
+                for f in functions_of(text or "", (path or "").rsplit(".", 1)[-1].lower(), path or ""):
                     calls = [{"name": c["name"], "line": c["line"], "args": c["args"]} for c in f.calls]
                     assigned = [{"var": a["var"], "value": a["value"], "at": a["at"]} for a in f.assignments]
-                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.paths, f.signature, f.body))
+                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.paths, f.shape, f.types, f.decorated, f.registered, f.export_kind, f.signature, f.body))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return files.select("file_id", "repo", "file_path", "content").where("file_id is not null").mapInPandas(scan, FUNCTION_SCHEMA)

@@ -45,6 +45,24 @@ def platt_calibration(rows: DataFrame, category: str, score: str, label: str, di
     return both.groupBy("scope", "key").applyInPandas(fit, "scope string, key string, a double, b double, n_samples long, accuracy double")
 
 
+def pattern_calibration(samples: DataFrame, least: int = 10) -> DataFrame:
+    """``(pattern_id, a, b, n_samples)`` from ``(pattern_id, score, label)``: a logistic curve per pattern of at least ``least`` samples.
+
+    Descent starts at slope 1 and offset 0. The samples of a pattern are its own examples and fit a task.
+    """
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b, score, label = 1.0, 0.0, pdf.score.to_numpy(float), pdf.label.to_numpy(float)
+        if len(pdf) < least:
+            return pd.DataFrame(columns=["pattern_id", "a", "b", "n_samples"])
+        for _ in range(ROUNDS):
+            error = 1 / (1 + np.exp(-(a * score + b))) - label
+            a, b = a - RATE * float((error * score).mean()), b - RATE * float(error.mean())
+        return pd.DataFrame([(pdf.pattern_id.iloc[0], a, b, len(pdf))], columns=["pattern_id", "a", "b", "n_samples"])
+
+    return samples.groupBy("pattern_id").applyInPandas(fit, "pattern_id string, a double, b double, n_samples long")
+
+
 def fit_weights(features: np.ndarray, label: np.ndarray) -> np.ndarray:
     """Balanced logistic regression without offset, weights held in [0, 1] and scaled to sum 1."""
     w = np.full(features.shape[1], 0.5)

@@ -8,14 +8,15 @@ from pyspark.sql import functions as F
 from loomgrain.functions import text as T
 from loomgrain.operators import features as X
 from loomgrain.plans.registry import query
-from loomgrain.tables import latest_by_key, read_table
+from loomgrain.tables import latest_by_key, latest_texts, read_table
 
 FILES = "files AS (SELECT DISTINCT ON (file_id) * FROM source_files WHERE file_id IS NOT NULL ORDER BY file_id, ingested_at DESC)"
 FUNCTIONS = "functions AS (SELECT DISTINCT ON (fn_id) * FROM fingerprints WHERE fn_id IS NOT NULL ORDER BY fn_id, ingested_at DESC)"
 
 
 def files(spark: SparkSession, d: str, *columns: str) -> DataFrame:
-    return latest_by_key(read_table(spark, d, "source_files"), "file_id", "ingested_at", list(columns))
+    latest = latest_texts if "content" in columns else latest_by_key
+    return latest(read_table(spark, d, "source_files"), "file_id", "ingested_at", list(columns))
 
 
 def functions(spark: SparkSession, d: str, *columns: str) -> DataFrame:

@@ -22,6 +22,27 @@ def latest_by_key(df: DataFrame, key: str, arrived: str, columns: list[str]) ->
     return kept.select(key, *[F.col(f"_row.{c}").alias(c) for c in columns])
 
 
+def bit_field(ids: DataFrame, slot: str, bits: int = 22) -> Column:
+    """A scalar: the slots (from 0 to 2^bits - 1) that ``ids`` holds, as an array of 64-bit words of fixed length."""
+    words = ids.groupBy(F.shiftright(slot, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast({slot} & 63 as int))")).alias("word"))
+    every = ids.sparkSession.range(1 << (bits - 6)).select(F.col("id").alias("at")).join(words, "at", "left")
+    return every.agg(F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("word", F.lit(0).cast("long")).alias("word")))), lambda x: x.word).alias("words")).scalar()
+
+
+def latest_texts(df: DataFrame, key: str, arrived: str, columns: list[str], bits: int = 22) -> DataFrame:
+    """As :func:`latest_by_key`, for columns too large to move: only rows whose key may be repeated go through a shuffle.
+
+    Keys alone are counted; the repeated ones set bits of a field of fixed size, and a row whose bit is not set
+    passes as it is. A full field costs time, not correctness.
+    """
+    rows = df.where(F.col(key).isNotNull()).withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
+    repeated = rows.groupBy(key, "_slot").agg(F.count("*").alias("_n")).where("_n > 1")
+    word = F.element_at(bit_field(repeated.select("_slot"), "_slot", bits), (F.shiftright("_slot", 6) + 1).cast("int"))
+    hit = F.expr("1L << cast(_slot & 63 as int)").bitwiseAND(word) != 0
+    rows = rows.withColumn("_hit", hit)
+    return rows.where("not _hit").select(key, *columns).unionByName(latest_by_key(rows.where("_hit"), key, arrived, columns))
+
+
 def clean_set(column: str | Column) -> Column:
     """A null array as an empty one, without null members, each member once."""
     c = F.col(column) if isinstance(column, str) else column
