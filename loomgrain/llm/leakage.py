@@ -19,7 +19,6 @@ import hashlib
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -159,13 +158,21 @@ class FMIndex:
         return out
 
 
-@lru_cache(maxsize=1 << 18)
-def word_hash(word: str) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8).digest(), "little", signed=True)
+class _Hashes(dict):
+    """64-bit hashes of words, each computed once; emptied when large, so the memory of a worker is bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+        return h
+
+
+_hash_of = _Hashes()
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.array([word_hash(w) for w in words(text)], np.int64)
+    return np.array([_hash_of[w] for w in words(text)], np.int64)
 
 
 def item_words(items: DataFrame) -> DataFrame:

@@ -7,8 +7,9 @@ masked sequence are clustered by MinHash banding with verification, as are those
   again with other names. Across repositories short texts are alike by chance, so a family counts within one.
 * A cluster of (unmasked) near-copies in several repositories indicates vendoring.
 * A masked cluster of little but literals is a blob, one without room between its tokens is minified.
-* What a family declares about itself speaks for other files: the lines of the leading comment, with the file's own path words
-  masked, are templates; a template that families use is a tool's, and the files that bear it are the tool's output.
+* What a family declares about itself speaks for other files: the lines of the comments before the first and after the last
+  code, with the file's own path words masked, are templates; a template that families use is a tool's, and the files that
+  bear it are the tool's output.
 
 No word list or pattern decides: a cluster does, by counts over its members. A file alone is a cluster of one. Wordings
 and path conventions (``declared``) are reported beside the result for the reader.
@@ -46,10 +47,10 @@ WORDS = (
     "import in instanceof interface is lambda let loop match mod move mut new nonlocal not null or pass pub raise ref return self static struct super switch this throw trait try type typeof unsafe use var void where while with yield "
     "None True False true false Self"
 ).split()
-TOKEN = re.compile(
+QUOTED = re.compile(
     r"(?P<f>```)|(?P<c>//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)|(?<![\w\])}])#(?![!\[])[^\n]*)|(?P<s>\"\"\"[\s\S]*?\"\"\"|'''[\s\S]*?'''|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`)"
-    r"|(?P<n>\d[\w.]*)|(?P<i>[^\W\d]\w*|\$[\w$]*)|(?P<p>[^\s\w])"
 )
+WORD = re.compile(r"\d[\w.]*|[^\W\d]\w*|\$[\w$]*|[^\s\w]")
 PIECE = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HEAD_TOKEN = re.compile(r"[^\W\d_]+|\d\w*|[^\s\w]")
 
@@ -58,19 +59,41 @@ def _word_hash(word: str) -> int:
     return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
 
 
+NAME, NUMBER, STRING, FENCE = (_word_hash(w) for w in ("<name>", "<number>", "<string>", "```"))
+IS_NAME, IS_NUMBER, IS_STRING = 1, 2, 3
+
+
 class _Words(dict):
-    """Hashes of words, each computed once; emptied when large, so the memory of a worker is bounded."""
+    """Word -> its place in ``table``: hash, hash under the mask, kind and length. Started anew when large, so a worker's memory is bounded."""
 
-    def __missing__(self, word: str) -> int:
+    def __init__(self) -> None:
+        super().__init__()
+        self.table = np.zeros((1 << 16, 4), np.uint64)
+
+    def renew(self) -> None:
         if len(self) > 300_000:
             self.clear()
-        self[word] = h = _word_hash(word)
-        return h
+
+    def __missing__(self, word: str) -> int:
+        h, c = _word_hash(word), word[0]
+        if c in "\"'`" and len(word) > 1:
+            entry = (h, FENCE if word == "```" else STRING, IS_STRING, len(word))
+        elif c.isdigit():
+            entry = (h, NUMBER, IS_NUMBER, len(word))
+        elif c == "_" or c == "$" or c.isalpha():
+            entry = (h, h if word in _kept else NAME, IS_NAME, len(word))
+        else:
+            entry = (h, h, 0, len(word))
+        place = len(self)
+        if place == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        self.table[place] = entry
+        self[word] = place
+        return place
 
 
 _words = _Words()
-NAME, NUMBER, STRING = (_word_hash(w) for w in ("<name>", "<number>", "<string>"))
-_kept = {w: _word_hash(w) for w in WORDS}
+_kept = set(WORDS)
 
 
 def leading_comment(text: str) -> str:
@@ -83,20 +106,19 @@ def leading_comment(text: str) -> str:
     return "".join(out)
 
 
-def _shingles(tokens: list[int]) -> np.ndarray:
+def _shingles(tokens: np.ndarray) -> np.ndarray:
     """Hashes of all runs of five tokens, each once; fewer tokens make one run."""
-    if not tokens:
+    if not len(tokens):
         return np.empty(0, np.int64)
-    h = np.array(tokens, np.uint64)
-    runs = max(1, len(h) - SHINGLE + 1)
+    runs = max(1, len(tokens) - SHINGLE + 1)
     out = np.zeros(runs, np.uint64)
-    for k in range(min(SHINGLE, len(h))):
-        out = out * np.uint64(0x9E3779B97F4A7C15) ^ (h[k : runs + k] + (out >> np.uint64(31)))
+    for k in range(min(SHINGLE, len(tokens))):
+        out = out * np.uint64(0x9E3779B97F4A7C15) ^ (tokens[k : runs + k] + (out >> np.uint64(31)))
     return np.unique(out.view(np.int64))
 
 
 def head_lines(path: str, head: str) -> list[int]:
-    """The lines of a leading comment as templates: words of the file's own path and numbers masked, each line as one hash."""
+    """The lines of an enclosing comment as templates: words of the file's own path and numbers masked, each line as one hash."""
     own = {w.lower() for w in PIECE.findall(path)}
     stems = tuple(w for w in own if len(w) > 3)
     out = set()
@@ -119,39 +141,48 @@ def describe(path: str | None, text: str, repo: str | None = None) -> dict:
     """What one file shows by itself: shingles, template lines and counts. Documents (markup, JSON, patches) are no code."""
     text = text.removeprefix("﻿").replace("\r\n", "\n")
     head = leading_comment(text)
-    masked, plain = [], []
-    literal = values = names = total = 0
-    first = ""
-    for m in TOKEN.finditer(text):
-        kind, word = m.lastgroup, m.group()
-        if kind == "c":
+    _words.renew()
+    rows: list[int] = []
+    first, after, at, templates = "", [], len(head), 0
+    for m in QUOTED.finditer(text, at):
+        found = WORD.findall(text, at, m.start())
+        if found:
+            first = first or found[0]
+            rows += [_words[w] for w in found]
+            after.clear()
+        at = m.end()
+        if m.lastgroup == "c":
+            after.append(m.start())
             continue
+        word = m.group()
+        after.clear()
         first = first or word
-        total += len(word)
-        plain.append(_words[word])
-        if kind == "i":
-            names += 1
-            masked.append(_kept.get(word, NAME))
-        elif kind in "pf":  # the fence of a quoted listing is no string: what it holds is code
-            masked.append(_words[word])
-        else:
-            masked.append(STRING if kind == "s" else NUMBER)
-            if word[0] != "`":
-                literal += len(word)
-                values += 1
+        rows.append(_words[word])  # the fence of a quoted listing is no string: what it holds is code
+        templates += len(word) if word[0] == "`" else 0
+    found = WORD.findall(text, at)
+    if found:
+        first = first or found[0]
+        rows += [_words[w] for w in found]
+        after.clear()
+    plain, masked, kinds, lengths = _words.table[rows].T if rows else np.zeros((4, 0), np.uint64)
+    values = kinds >= IS_NUMBER
+    literal, total = int(lengths[values].sum()) - templates, int(lengths.sum())
+    numbers, strings, names = (int((kinds == k).sum()) for k in (IS_NUMBER, IS_STRING, IS_NAME))
+    tail = text[after[0] :] if after and rows else ""
+    said = f"{head}\n{tail}"
     body = text[len(head) :]
     return {
-        "code": bool(plain) and first not in ("{", "[", "<", "-"),
+        "code": bool(rows) and first not in ("{", "[", "<", "-"),
         "names": names,
-        "vals": values,
+        "vals": strings + numbers,
         "literal": literal,
         "total": total,
         "lines": sum(1 for x in body.split("\n") if x.strip()),
         "chars": len(body) - body.count("\n"),
         "gaps": len(body.split()),
-        "tokens": len(plain),
-        "heads": head_lines(f"{repo or ''}/{path or ''}", head) if head.strip() else [],
-        "declared": bool(DECLARED.search(head) or DECLARED_PATH.search(path or "")),
+        "tokens": len(rows),
+        "heads": head_lines(f"{repo or ''}/{path or ''}", said) if said.strip() else [],
+        "declared": bool(DECLARED.search(said) or DECLARED_PATH.search(path or "")),
         "masked": masked,
         "plain": plain,
     }

@@ -17,10 +17,26 @@ from loomgrain.llm import buckets, components, distinctive, leakage, mixing, nea
 def test_two_poisson_separates_elite_counts():
     counts = [np.array([1.0, 8.0, 9.0, 10.0]), np.array([2.0])]
     fit = distinctive.fit_two_poisson(counts, [np.array([300.0, 20.0, 30.0, 20.0]), np.array([5.0])], np.array([700.0, 95.0]), 200)
-    assert 0.05 < fit[0, 0] < 0.1 and 8 < fit[0, 1] < 10 and fit[0, 2] < 0.5
+    assert 0.05 < fit[0, 0] < 0.1 and 8 < fit[0, 1] < 10 and fit[0, 2] < 1
     p, hi, lo = fit[0]
     assert distinctive._elite(9.0, p, hi, lo) > 0.99 and distinctive._elite(1.0, p, hi, lo) < 0.05
-    assert np.isfinite(fit).all()
+    assert np.isfinite(fit).all() and (fit[:, 1] > fit[:, 2]).all()
+    assert distinctive.fit_two_poisson([], [], np.array([])).shape == (0, 3)
+
+
+def test_posterior_falls_with_frequency():
+    """The same count speaks for the elite where a term is rare, and less and less where it is common."""
+    holders = np.array([2, 8, 40, 200, 600], float)
+    fit = distinctive.fit_two_poisson([np.array([1.0, 2.0, 3.0])] * 5, [np.array([0.5, 0.3, 0.2]) * h for h in holders], 2000 - holders)
+    posterior = distinctive._elite(2.0, *fit.T)
+    assert (np.diff(posterior) < 0).all() and posterior[0] > 0.8 and posterior[-1] < 0.5
+
+
+def test_counts_are_not_cut_off(spark):
+    rows = [(i, [1], {1: w}, "x") for i, w in enumerate([1.0, 500.0, 70.0, float("nan"), -2.0, 0.0])] + [(50 + i, [], None, "x") for i in range(20)]
+    stats = distinctive.term_statistics(distinctive.occurrences(spark.createDataFrame(rows, T))).first()
+    assert stats.df == 6 and sum(b["mass"] for b in stats.histogram) == pytest.approx(571.0) and len({b["bin"] for b in stats.histogram}) == 4
+    assert all(0 <= r.elite <= 1 for r in distinctive.score_terms(spark.createDataFrame(rows, T)).where("not isnan(w)").collect())
 
 
 T = "fn_id long, ngram_hashes array<bigint>, weighted_ngram_hashes map<bigint,double>, term string"
@@ -149,30 +165,65 @@ def test_near_duplicate_groups_equal_brute_force(spark, seed):
     assert near_dup.near_duplicate_groups(_frame(spark, rows).limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("width", [1, 2, 3])
-def test_pigeonhole_probes_of_any_width_lose_no_pair(width):
-    rnd, width_of = random.Random(width), np.full(64, width)
-    for _ in range(60):
-        a = {rnd.randrange(60) for _ in range(14)}
+@pytest.mark.parametrize("limit", [0.5, 0.7, 0.85])
+def test_pigeonhole_probes_lose_no_pair(limit):
+    rnd = random.Random(int(limit * 100))
+    part = {x: rnd.randrange(1000) * 100 + x // near_dup.partition_bits(limit) for x in range(60)}
+    freq = {x: 2 + x * x % 47 for x in range(60)}
+    met = 0
+    for _ in range(300):
+        a = {rnd.randrange(60) for _ in range(rnd.choice([1, 2, 3, 5, 9, 14, 25]))}
         b = set(a)
-        for _ in range(rnd.randrange(6)):
-            b.discard(rnd.choice(sorted(b)))
+        for _ in range(rnd.randrange(7)):
+            b.discard(rnd.choice(sorted(b | {0})))
             b.add(rnd.randrange(60))
-        freq = {x: 2 + x % 7 for x in range(60)}
-        budget = 0.6
+        groups = {x: part[x - x % near_dup.partition_bits(limit)] for x in range(60)}
 
         def probes(s):
-            items = np.array(sorted(s), np.int64)
-            return set(near_dup.signatures(np.array([freq[x] for x in sorted(s)]), items, np.full(len(items), 2 / len(items)), 0.0, budget, width_of))
+            return near_dup.probes([groups[x] for x in s], list(s), [freq[x] for x in s], len(s), limit)
+
+        if len(a & b) >= limit * len(a | b):
+            met += 1
+            pa, pb = probes(a), probes(b)
+            asked = {p for p, q in pa if q} & {p for p, _ in pb} | {p for p, q in pb if q} & {p for p, _ in pa}
+            assert asked, (a, b)
+    assert met > 50
+
+
+def test_probes_of_a_long_record_are_bounded():
+    n = 10_000
+    found = near_dup.probes([i // 3 for i in range(n)], list(range(n)), [2 + i % 900 for i in range(n)], n, 0.7)
+    assert len(found) <= 1.5 * n and any(q for _, q in found)
+
 
-        if 2 * len(a & b) / len(a | b) >= 1.4:
-            assert probes(a) & probes(b)
+def test_thresholds_avoid_costly_partitions():
+    got = near_dup.allocate_thresholds([3, 3, 3, 1], [(1e6, 1e7), (1.0, 3.0), (2.0, 5.0), (9.0, 9.0)], 3)
+    assert got[0] == -1 and sum(t + 1 for t in got) >= 3 and got == [-1, 1, 0, -1]
+    assert near_dup.allocate_thresholds([], [], 0) == []
 
 
-def test_widths_grow_with_frequency():
-    widths = near_dup.allocate_widths([(1, 1000.0, 3000.0), (6, 5000.0, 4e5), (11, 40000.0, 8e7)], 1_000_000, 5.0)
-    assert widths == sorted(widths) and widths[0] == 1 and widths[-1] > 1
-    assert near_dup.allocate_widths([], 0, 0.0) == []
+def test_a_full_bucket_is_dealt_out(spark):
+    """10^5 members of one bucket, all in groups of their own: no task holds 5 % of the pairs' rows."""
+    from loomgrain.skew import hot_join, hot_keys, with_stats
+
+    n = 100_000
+    rows = spark.range(n).select(F.when(F.col("id") < n * 0.9, F.lit(7)).otherwise(F.col("id")).alias("k"), F.col("id").alias("m"))
+    assert hot_keys(rows, "k", floor=1000) == [7]
+    stats = with_stats(rows.repartition(64), "k", {"n": F.count("*")}, floor=1000)
+    largest = lambda df: df.where("k = 7").groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    most = largest(stats)
+    assert most < 0.05 * n and stats.where("k = 7").first().n == 0.9 * n and stats.count() == n
+    joined = hot_join(rows.repartition(64), spark.createDataFrame([(7, "x"), (n - 1, "y")], "k long, v string"), "k", "left", floor=1000)
+    assert largest(joined) < 0.05 * n and joined.where("v = 'x'").count() == 0.9 * n and joined.count() == n
+    assert hot_keys(rows.limit(0), "k") == []
+
+
+def test_hot_paths_give_the_same_rows(spark):
+    rows = _families(2)
+    plain = {r.fn_id: r.group_id for r in near_dup.near_duplicate_groups(_frame(spark, rows)).collect()}
+    assert plain == {r.fn_id: r.group_id for r in near_dup.near_duplicate_groups(_frame(spark, rows), floor=2).collect()}
+    records = set_join.item_records(_frame(spark, rows), "fn_id", 0, "ingested_at", 8)
+    assert sorted(set_join.similar_pairs(records).collect()) == sorted(set_join.similar_pairs(records, block=3, floor=2).collect())
 
 
 def test_bucket_groups_equal_all_pairs(spark):
@@ -184,6 +235,8 @@ def test_bucket_groups_equal_all_pairs(spark):
     assert {r.id: r.group_id for r in buckets.bucket_groups(df, "bucket", "member", near).collect()} == _plain_components(links)
     every = {(x, y) for b in range(8) for x in (m for k, m in rows if k == b) for y in (m for k, m in rows if k == b) if x < y}
     assert {(r.a, r.b) for r in buckets.bucket_pairs(df, "bucket", "member", block=4).collect()} == every
+    assert {(r.a, r.b) for r in buckets.bucket_pairs(df, "bucket", "member", block=4, floor=3).collect()} == every
+    assert {r.id: r.group_id for r in buckets.bucket_groups(df, "bucket", "member", near, block=3, floor=3).collect()} == _plain_components(links)
 
 
 # ---------------------------------------------------------------- 4
@@ -204,17 +257,27 @@ def test_value_frequencies(spark):
 CODE = "import {{ a }} from './{0}';\n\nexport function {0}({1}) {{\n  if (!{1}) {{ return null; }}\n  const {2} = {1}.map((x) => x + {3});\n  for (const y of {2}) {{ send(y, '{0}'); }}\n  try {{ {0}Store.put({2}); }} catch (e) {{ log(e); }}\n  return {2};\n}}\n"
 
 
+BODY = CODE + "export function extra{3}({1}) {{\n  while ({1}) {{ {0}.step({1}, {{ limit: {3} }}); }}\n}}\n"
+
+
 def test_kinds_of_source_files(spark):
     lib = CODE.format("lib", "q", "r", 9) + "const z = lib([1, 2]);\n"
+    other = "import x from 'y';\nlet {0} = new Map();\nif ({0}.size > {1}) {{ throw {0}; }}\n{0}.forEach((v, k) => {{ drop(k, v); }});\n"
+    tool = "// Made by toolgen, touch the template instead\n"
     rows = [
-        (1, "a", "src/x.ts", "// Code generated by tool. DO NOT EDIT.\nconst a = 1;\n"), (2, "a", "src/gen/y.ts", "const a = 1;\n"), (3, "a", "src/z.js", "var a=1;" * 100),
-        (4, "a", "src/d.py", "DATA = [" + ", ".join(str(i) for i in range(200)) + "]\n"), (5, "a", "third_party/l/m.ts", lib), (6, "b", "src/util/m2.ts", lib.replace("\n", "\r\n") + "// kept\n"),
-        (7, "a", "src/hand.ts", "// the ids generated upstream are never reused\nconst generated = 1;\nlog('DO NOT EDIT, code generated');\n"), (8, "b", "src/none.ts", None), (9, "b", "src/empty.ts", ""), (None, "b", "x.ts", "x"), (1, "a", "src/x.ts", "// Code generated by tool. DO NOT EDIT.\nconst a = 1;\n"),
-    ] + [(20 + i, "t", f"src/f{i}.ts", CODE.format(f"n{i}", f"p{i}", f"q{i}", i)) for i in range(5)] + [(30, "b", "src/own.ts", "export const f = (a) => { while (a) { a = next(a); } return a; };\n" * 3)]
+        (3, "a", "src/z.js", "var a=1;" * 100), (4, "a", "src/d.py", "DATA = [" + ", ".join(str(i) for i in range(200)) + "]\n"),
+        (5, "a", "third_party/l/m.ts", lib), (6, "b", "src/util/m2.ts", lib.replace("\n", "\r\n") + "// kept\n"),
+        (7, "a", "src/hand.ts", "// the ids generated upstream are never reused\nconst generated = call(1);\nlog('DO NOT EDIT, code generated');\n"), (8, "b", "src/none.ts", None), (9, "b", "src/empty.ts", ""), (None, "b", "x.ts", "x"),
+        (10, "c", "src/lone.ts", tool + other.format("lone", 4)), (11, "c", "src/byhand.ts", "// Written by the team\n" + other.format("hand", 5) + "export const q = 1 + hand.size * 2 - call(a, b);\n"), (12, "b", "src/only.ts", "// only a comment\n"),
+        (13, "b", "src/page.ts", "<html><body>not here</body></html>\n"), (14, "c", "src/page.ts", "<html><body>not here</body></html>\n"),
+    ] + [(20 + i, "t", f"src/f{i}.ts", tool + BODY.format(f"n{i}", f"p{i}", f"q{i}", i)) for i in range(5)] + [(30, "b", "src/own.ts", "export const f = (a) => { while (a) { a = next(a); } return a; };\n" * 3), (20, "t", "src/f0.ts", tool + BODY.format("n0", "p0", "q0", 0))]
     files = spark.createDataFrame([(*r, "clash", 1) for r in rows], "file_id long, repo string, file_path string, content string, cluster string, cid long")
-    got = {r.file_id: r for r in source_kind.source_kinds(files).collect()}
-    kinds = {k: {x for x in ("generated", "minified", "vendored", "data") if r[x]} for k, r in got.items()}
-    assert kinds == {1: {"generated"}, 2: {"generated"}, 3: {"minified"}, 4: {"data"}, 5: {"vendored"}, 6: {"vendored"}, 7: set(), 9: set(), **{20 + i: {"generated"} for i in range(5)}, 30: set()}
+    want = {3: {"minified"}, 4: {"data"}, 5: {"vendored"}, 6: {"vendored"}, 10: {"generated"}, **{20 + i: {"generated"} for i in range(5)}}
+    for floor in (20_000, 2):
+        got = {r.file_id: r for r in source_kind.source_kinds(files, floor=floor).collect()}
+        kinds = {k: {x for x in ("generated", "minified", "vendored", "data") if r[x]} for k, r in got.items()}
+        assert kinds == {k: want.get(k, set()) for k in (3, 4, 5, 6, 7, 9, 10, 11, 12, 13, 14, *range(20, 25), 30)}
+    assert got[5].declared and not got[11].declared
     assert source_kind.source_kinds(files.limit(0)).count() == 0
 
 
@@ -286,7 +349,7 @@ def test_leaked_spans_and_edges(spark):
     short = {s for s in got if s[0] != 7}
     assert short == {(1, 10, 1, 8), (1, 11, 1, 5), (2, 10, 1, 8), (2, 10, 10, 17), (2, 11, 1, 5), (2, 11, 10, 14), (6, 10, 0, 4), (6, 11, 0, 4)}
     assert {(s[1], s[2]) for s in got if s[0] == 7} >= {(10, 500), (11, 500)}  # cut into shards: spans may come in pieces that touch
-    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, i, min_words=5, shard_words=50, block_items=1).collect()} == {(a, b) for a, b, _, _ in got}
+    assert {(r.doc_id, r.item_id) for r in leakage.leaked_items(d, i, min_words=5, shard_words=50, block_words=1).collect()} == {(a, b) for a, b, _, _ in got}
     assert leakage.leaked_items(d.limit(0), i).count() == 0 and leakage.leaked_items(d, i.limit(0)).count() == 0
 
 
@@ -324,10 +387,21 @@ def test_mix_reaches_its_shares(spark):
 # ---------------------------------------------------------------- 10
 
 
+def test_copies_of_a_text_are_not_compared(spark):
+    n = 100_000
+    base = "the quick brown fox jumps over the lazy dog and then some more words"
+    df = spark.range(n).select(F.col("id").alias("doc_id"), F.lit(base).alias("text")).unionByName(spark.createDataFrame([(n, base.replace("o", "о"))], "doc_id long, text string"))
+    pairs = visual_form.look_alike_pairs(df)
+    assert pairs.count() == n and pairs.where(f"doc_b != {n}").count() == 0
+
+
 def test_skeletons():
     same = [("pаypаl", "paypal"), ("Ｆｕｌｌ", "Full"), ("e\u0301t\u00e9", "\u00e9t\u00e9"), ("a\u200bb\u00adc\ufeff", "abc"), ("a\u00a0b\u2009c\u3000d", "a b c d"), ("𝐛old", "bold"), ("Αθ", "Aθ"), ("ё", "е\u0308")]
     for a, b in same:
         assert visual_form.skeleton(a) == visual_form.skeleton(b), (a, b)
+    # one code point of each script: Greek, Cherokee, Lisu, Coptic, Armenian, numerals, small forms
+    for a, b in zip("αιρυτκ" + "Ꭺ" + "ꓐ" + "Ⲟ" + "օ" + "Ⅰⅼ" + "ᴏ", "aiputk" + "A" + "B" + "O" + "o" + "Il" + "o"):
+        assert visual_form.skeleton(a) == b, (a, b)
     for a, b in [("role", "rôle"), ("Role", "role"), ("l1", "11"), ("O0", "00"), ("x²", "x2"), ("a  b", "a b"), ("ß", "ss"), ("ﬁ", "fi")]:
         assert visual_form.skeleton(a) != visual_form.skeleton(b), (a, b)
 
@@ -345,7 +419,7 @@ def test_pairs_of_look_alikes(spark):
     df = spark.createDataFrame([(*r, "clash", 1) for r in rows], "doc_id long, text string, skeleton string, n int")
     want = {(1, 2), (2, 3), (1, 9), (3, 9), (2, 9)}
     for block in (1, 4096):
-        got = [(r.doc_a, r.doc_b) for r in visual_form.look_alike_pairs(df, block=block).collect()]
+        got = [(r.doc_a, r.doc_b) for r in visual_form.look_alike_pairs(df, block=block, floor=block).collect()]
         assert set(got) == want and len(got) == len(want)
     assert visual_form.look_alike_pairs(df.limit(0)).count() == 0
     forms = {r.doc_id: (r.form_id, r.members, r.spellings) for r in visual_form.form_classes(df).collect()}
