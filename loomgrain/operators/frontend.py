@@ -174,6 +174,8 @@ def functions_of(text: str, extension: str, path: str = "") -> list[Function]:
         n = next((g for g in ("1", "2", "3", "4") if m.groupdict().get(f"p{g}")), "1")
         name, start = m.groupdict().get(f"n{n}") or "anonymous", m.start(f"p{n}")
         end = closing(code, start)
+        if n == "4" and not any(m.start() <= at <= start for at in starts):
+            continue  # of functions in place only those given to a router stand by themselves
         declared = split_arguments(text[start + 1 : end])
         params = [parameter_name(p, kind) for p in declared]
         if kind == "python":
@@ -201,7 +203,7 @@ def functions_of(text: str, extension: str, path: str = "") -> list[Function]:
         if kind == "script":
             before = code[max(0, m.start() - 400) : m.start() + (len(m.group()) - len(m.group().lstrip()))]
             fn.decorated = n == "3" and bool(DECORATED.search(before))
-            fn.registered = name in handlers or n == "4" and any(m.start() <= at <= start for at in starts)
+            fn.registered = name in handlers or n == "4"
             fn.export_kind = export_kind(before, name, path, code, m.start())
         for c in CALL.finditer(body_code):
             callee = re.sub(r"^(?:await|new)\s+|\s", "", c.group(1)).replace("?.", ".")
