@@ -122,3 +122,48 @@ def without_known(findings: DataFrame, baseline: DataFrame, strict_compat: bool
     known = baseline.select(F.coalesce("fingerprint", F.lit("")).alias("_f")).distinct()
     same = F.coalesce("fingerprint", F.lit("")) == F.col("_f")
     return findings.join(known, same if strict_compat else same & (F.col("_f") != ""), "left_anti")
+
+
+# Tags that a kind of fix covers.
+FIX_SCOPES = {"style": ["quality", "dead-code"], "security": ["security", "taint", "hallucination"]}
+
+
+def fix_scope(findings: DataFrame, scope: str) -> DataFrame:
+    """Findings whose ``tags`` fall under a scope of fixes; any other scope keeps all."""
+    if scope not in FIX_SCOPES:
+        return findings
+    return findings.where(F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in FIX_SCOPES[scope]])), F.lit(False)))
+
+
+def report_filter(findings: DataFrame, rules: DataFrame | None = None, least_confidence: float = 0.0, tags: list[str] | None = None, least: str | None = None, rule_ids: list[str] | None = None, languages: dict[str, list[str]] | None = None) -> DataFrame:
+    """What a report shows: enough confidence, rules with one of ``tags`` (by ``rules(rule_id, tags)``), severity, rules by id, and
+    languages by the extension of the path (``languages`` maps a name to extensions). What is not asked for filters nothing."""
+    out = findings.where(F.coalesce("confidence", F.lit(0.0)) >= least_confidence)
+    if tags and rules is not None:
+        tagged = rules.where(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags]))).select("rule_id").distinct()
+        out = out.join(tagged, "rule_id", "left_semi")
+    if least:
+        out = at_least(out, least)
+    if rule_ids:
+        out = out.where(F.col("rule_id").isin(rule_ids))
+    if languages:
+        out = out.where(F.lower(F.regexp_extract(F.coalesce("path", F.lit("")), r"\.(\w+)$", 1)).isin(sorted({e for es in languages.values() for e in es})))
+    return out
+
+
+def within_risk(probes: DataFrame, most: int) -> DataFrame:
+    """Probes whose ``risk`` is at most ``most``; an unknown risk is none."""
+    return probes.where(F.coalesce("risk", F.lit(0)) <= most)
+
+
+def fuzzy_identity(strict_content: bool = False) -> list[Column]:
+    """Key by which a finding is the same after its line moved: rule, path, symbol and its content without spacing and case."""
+    content = F.coalesce("content", F.lit(""))
+    loose = F.lower(F.trim(F.regexp_replace(content, r"\s+", " ")))
+    return [F.col("rule_id").alias("rule_id"), F.col("path").alias("path"), F.col("symbol").alias("symbol"), (content if strict_content else loose).alias("content")]
+
+
+def fuzzy_baseline_diff(current: DataFrame, baseline: DataFrame) -> DataFrame:
+    """New and resolved findings ``(rule_id, path, symbol, content, state)`` by their fuzzy identity, wherever their line is now."""
+    key = ["rule_id", "path", "symbol", "content"]
+    return baseline_diff(current.select(*fuzzy_identity()), baseline.select(*fuzzy_identity()), key)

@@ -105,6 +105,7 @@ class Function:
     events: list[str] = field(default_factory=list)
     paths: list[str] = field(default_factory=list)
     shape: list[str] = field(default_factory=list)
+    marks: list[tuple[int, str]] = field(default_factory=list)
     types: list[str] = field(default_factory=list)
     decorated: bool = False
     registered: bool = False
@@ -222,6 +223,7 @@ def functions_of(text: str, extension: str, path: str = "") -> list[Function]:
         for a in ASSIGN.finditer(body_code):
             fn.assignments.append({"var": a.group("v"), "at": a.start("v"), "value": fn.body[a.start("r") : a.end("r")].strip(), "depth": depth_at(a.start("v"))})
         fn.events = [e.lastgroup for e in EVENTS.finditer(body_code)]
+        fn.marks = [(e.start(), e.lastgroup) for e in EVENTS.finditer(body_code)]
         marks = [(e.start(), SHAPES.get(e.lastgroup, e.lastgroup)) for e in EVENTS.finditer(body_code)]
         marks += [(c["at"], f"call/{len(c['args'])}") for c in fn.calls] + [(a["at"], "assign") for a in fn.assignments]
         fn.shape = [kind_of for _, kind_of in sorted(marks)]
@@ -348,10 +350,10 @@ def _depths(code: str):
 
 
 FUNCTION_SCHEMA = (
-    "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>>>, "
-    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, control_paths array<string>, shape array<string>, types array<string>, decorated boolean, registered boolean, export_kind string, signature string, body string"
+    "file_id long, repo string, file_path string, name string, first_line long, last_line long, params array<string>, calls array<struct<name: string, line: long, args: array<string>, at: long>>, "
+    "assignments array<struct<var: string, value: string, at: long>>, control array<string>, control_paths array<string>, shape array<string>, marks array<struct<at: long, kind: string>>, types array<string>, decorated boolean, registered boolean, export_kind string, signature string, body string"
 )
-COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control control_paths shape types decorated registered export_kind signature body".split()
+COLUMNS = "file_id repo file_path name first_line last_line params calls assignments control control_paths shape marks types decorated registered export_kind signature body".split()
 
 
 def extract_functions(files: DataFrame) -> DataFrame:
@@ -362,9 +364,10 @@ def extract_functions(files: DataFrame) -> DataFrame:
             out = []
             for fid, repo, path, text in zip(b.file_id, b.repo, b.file_path, b.content):
                 for f in functions_of(text or "", (path or "").rsplit(".", 1)[-1].lower(), path or ""):
-                    calls = [{"name": c["name"], "line": c["line"], "args": c["args"]} for c in f.calls]
+                    calls = [{"name": c["name"], "line": c["line"], "args": c["args"], "at": c["at"]} for c in f.calls]
+                    marks = [{"at": at, "kind": kind} for at, kind in f.marks]
                     assigned = [{"var": a["var"], "value": a["value"], "at": a["at"]} for a in f.assignments]
-                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.paths, f.shape, f.types, f.decorated, f.registered, f.export_kind, f.signature, f.body))
+                    out.append((fid, repo, path, f.name, f.first_line, f.last_line, f.params, calls, assigned, f.events, f.paths, f.shape, marks, f.types, f.decorated, f.registered, f.export_kind, f.signature, f.body))
             yield pd.DataFrame(out, columns=COLUMNS)
 
     return files.select("file_id", "repo", "file_path", "content").where("file_id is not null").mapInPandas(scan, FUNCTION_SCHEMA)

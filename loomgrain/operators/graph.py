@@ -74,3 +74,18 @@ def components(edges: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if not changed:
             return labels
+
+
+def merge_graphs(nodes: DataFrame, edges: DataFrame, more_nodes: DataFrame, more_edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two graphs as one: ``nodes(id, key, ...)`` and ``edges(src, dst, kind)`` by id. Nodes of one key become the first graph's node, others
+    get ids above its greatest, and the edges follow; equal edges count once."""
+    base = nodes.agg(F.coalesce(F.max("id"), F.lit(-1))).scalar()
+    lowest = more_nodes.agg(F.coalesce(F.min("id"), F.lit(0))).scalar()
+    known = nodes.groupBy("key").agg(F.min("id").alias("known"))
+    named = more_nodes.groupBy("key").agg(F.min("id").alias("own"))
+    target = named.join(known, "key", "left").select("key", F.coalesce("known", F.col("own") - lowest + base + 1).alias("to"), F.col("known").isNull().alias("fresh"))
+    renamed = cut_lineage(more_nodes.join(target, "key"))
+    ids = renamed.select(F.col("id").alias("old"), "to")
+    extra = renamed.where("fresh").drop("id", "fresh").withColumnRenamed("to", "id").dropDuplicates(["id"]).select(*nodes.columns)
+    moved = more_edges.join(ids.withColumnsRenamed({"old": "src", "to": "_s"}), "src").join(ids.withColumnsRenamed({"old": "dst", "to": "_d"}), "dst").select(F.col("_s").alias("src"), F.col("_d").alias("dst"), "kind")
+    return nodes.unionByName(extra), edges.select("src", "dst", "kind").unionByName(moved).distinct()

@@ -107,3 +107,37 @@ def resource_events(calls: DataFrame, name: str = "name") -> DataFrame:
     last = F.lower(F.regexp_extract(name, r"([^.:]*)!?$", 1))
     kind = F.when(last.isin(*ACQUIRE), "acquire").when(last.isin(*RELEASE), "release").when(F.col(name).startswith("await "), "await").otherwise("call")
     return calls.withColumn("event_type", kind)
+
+
+# Pairs of calls of which the second must follow the first, for resources and sessions.
+RESOURCE_PAIRS = [
+    ("acquireLock", "releaseLock"), ("openConnection", "closeConnection"), ("openFile", "closeFile"), ("beginTransaction", "commitOrRollback"), ("spawnSandbox", "destroySandbox"),
+    ("registerWebhook", "deregisterWebhookOnFailure"), ("deleteRecord", "createAuditEntry"), ("changePermission", "createAuditEntry"), ("exportUserData", "createAuditEntry"), ("resetPassword", "invalidateOtherSessions"),
+]
+
+
+def pair_rules(spark, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
+    """A rule table ``(rule_id, first, second)`` for :func:`broken_pairs`."""
+    rows = [(f"SEQ_{a}_{b}".upper(), a, b) for a, b in (RESOURCE_PAIRS if pairs is None else pairs)]
+    return spark.createDataFrame(rows, "rule_id string, first string, second string")
+
+
+def code_events(functions: DataFrame) -> DataFrame:
+    """Events of functions of the front end in source order: ``(file_id, name, first_line, at, event_type, label)``.
+
+    Calls are acquire, release or call by their last part; assignments, awaits and returns are events of their own. The function is the scope.
+    """
+    scope = ["file_id", "name", "first_line"]
+    calls = functions.select(*scope, F.explode("calls").alias("c")).select(*scope, F.col("c.at").alias("at"), F.col("c.name").alias("label"))
+    calls = resource_events(calls, "label")
+    assigned = functions.select(*scope, F.explode("assignments").alias("a")).select(*scope, F.col("a.at").alias("at"), F.col("a.var").alias("label"), F.lit("assignment").alias("event_type"))
+    marks = functions.select(*scope, F.explode("marks").alias("m")).select(*scope, F.col("m.at").alias("at"), F.col("m.kind").alias("label"), F.col("m.kind").alias("event_type")).where("event_type in ('await', 'return')")
+    return calls.unionByName(assigned).unionByName(marks).select(*scope, "at", "event_type", "label")
+
+
+def held_awaits(events: DataFrame, scope: list[str], order: list[str]) -> DataFrame:
+    """Each await or call between a resource taken and the next given back, with the nearest take before it: ``(scope, at, label, held, held_at)``."""
+    w = _ordered(scope, order).rowsBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("event_type").isin("acquire", "release"), F.struct("event_type", "label", *[c for c in order if c not in ("event_type", "label")])), ignorenulls=True).over(w)
+    rows = events.withColumn("_l", last).where((F.col("event_type") == "await") & (F.col("_l.event_type") == "acquire"))
+    return rows.select(*scope, *dict.fromkeys([*order, "label"]), F.col("_l.label").alias("held"), F.col(f"_l.{order[0]}").alias("held_at"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgrain.operators import filters, fingerprint, frontend, roles, taint
+from loomgrain.operators import config_rules, dataflow, filters, fingerprint, frontend, registry, roles, taint
+from loomgrain.plans import providers
 from loomgrain.plans.feature_queries import files
 from loomgrain.plans.registry import query
+from loomgrain.session import cut_lineage
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
@@ -27,7 +29,7 @@ def function_roles(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def call_graph(spark: SparkSession, d: str) -> DataFrame:
-    return frontend.call_edges(frontend.extract_functions(_files(spark, d)))
+    return frontend.call_edges(cut_lineage(frontend.extract_functions(_files(spark, d)).select("repo", "file_path", "name", "calls")))
 
 
 @query()
@@ -59,7 +61,7 @@ def cooccurring_flows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def sink_hops(spark: SparkSession, d: str) -> DataFrame:
     """How far the values in logging calls are from a fetched value, in assignments."""
-    functions = frontend.extract_functions(_files(spark, d))
+    functions = cut_lineage(frontend.extract_functions(_files(spark, d)).select("file_id", "name", "first_line", "assignments", "calls"))
     named = functions.withColumn("fn", F.concat_ws(":", F.col("file_id").cast("string"), "name", F.col("first_line").cast("string")))
     assigned = named.select("fn", F.explode("assignments").alias("a")).select("fn", "a.var", "a.at", "a.value")
     uses = named.select("fn", F.explode("calls").alias("c")).where("size(c.args) > 0").select("fn", F.lit(1 << 40).alias("at"), F.array_join("c.args", " ").alias("text")).distinct()
@@ -68,6 +70,64 @@ def sink_hops(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def project_taint(spark: SparkSession, d: str) -> DataFrame:
-    functions = frontend.extract_functions(_files(spark, d))
+    functions = cut_lineage(frontend.extract_functions(_files(spark, d)).select("file_id", "repo", "file_path", "name", "first_line", "params", "calls"))
     rows = taint.project_pass(functions, frontend.call_edges(functions))
     return rows.select("file_id", "name", "first_line", F.coalesce("origin", F.lit("none")).alias("origin"), F.size("tainted_calls").cast("long").alias("tainted_calls"))
+
+
+@query()
+def code_events(spark: SparkSession, d: str) -> DataFrame:
+    """Calls, assignments, awaits and returns of every function in source order, with resources taken and given back."""
+    from loomgrain.operators import sequence
+
+    rows = sequence.code_events(frontend.extract_functions(_files(spark, d)))
+    return sequence.ordered_events(rows, ["file_id", "name", "first_line"], ["at", "event_type", "label"])
+
+
+@query()
+def held_awaits(spark: SparkSession, d: str) -> DataFrame:
+    """Functions by how many awaits lie between taking a resource and giving it back, of all their awaits."""
+    from loomgrain.operators import sequence
+
+    events = sequence.code_events(frontend.extract_functions(_files(spark, d)))
+    scope = ["file_id", "name", "first_line"]
+    held = sequence.held_awaits(events, scope, ["at", "event_type", "label"]).groupBy(*scope).agg(F.count("*").alias("held"))
+    return events.groupBy(*scope).agg(F.count_if(F.col("event_type") == "await").alias("awaits")).join(held, scope, "left").fillna(0, ["held"])
+
+
+@query()
+def def_use_chains(spark: SparkSession, d: str) -> DataFrame:
+    """Definitions and uses of names in every function, with the definitions that may reach a use."""
+    return dataflow.def_use_chains(_files(spark, d))
+
+
+@query()
+def sink_registry(spark: SparkSession, d: str) -> DataFrame:
+    """Parameter types and called names of all files, counted once per file."""
+    files_ = _files(spark, d)
+    return registry.learn_registry(frontend.extract_functions(files_), files_)
+
+
+@query()
+def classified_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls of all functions with the category that the registry of all files gives them."""
+    functions = cut_lineage(frontend.extract_functions(_files(spark, d)).select("file_id", "name", "types", "calls"))
+    calls = functions.select("file_id", F.col("name").alias("function"), F.explode("calls.name").alias("name"))
+    return registry.classify_calls(calls, registry.learn_registry(functions), taint.SAFE_RECEIVERS)
+
+
+@query()
+def provided_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Functions of all files by the provider of their language."""
+    rows = providers.standard().functions(_files(spark, d))
+    return rows.select("file_id", "name", "first_line", "provider", "is_handler")
+
+
+@query()
+def config_rule_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of scripts that log in active code in files that also throw or return nothing: a check by rules of one's own."""
+    rules = [
+        config_rules.ConfigRule("LOG_IN_SCRIPT", "info", 117, (), (".js", ".ts", ".jsx", ".tsx"), any_of=("logger.warn(",), when=("return null",), every=True),
+        config_rules.ConfigRule("STORE_UNCHECKED", "warning", 754, (), (".js", ".ts"), any_of=("Store.",), none_of=("import ",), unless=("try {",)),
+    ]
+    return config_rules.config_findings(_files(spark, d), rules)

@@ -198,3 +198,61 @@ def _plain_yaml(text: str) -> dict:
                     out[key] = {}
                 out[key][k.strip()] = scalar(v)
     return out
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    """Findings of a baseline: JSON, or a plain YAML list of findings where the text is no JSON."""
+    text = spark.read.text(path, wholetext=True).first()
+    if text is None or text.value.lstrip()[:1] in ("", "[", "{"):
+        return read_findings(spark, path)
+    rows = [{k: int(v) if str(v).isdigit() else v for k, v in r.items()} for r in _plain_yaml("rows:\n" + "\n".join("  " + line for line in text.value.split("\n"))).get("rows") or []]
+    return spark.createDataFrame([(json.dumps(r),) for r in rows], "value string").select(F.from_json("value", FINDING_SCHEMA, {"primitivesAsString": "false"}).alias("f")).select("f.*")
+
+
+def write_profile(profile: DataFrame, path: str) -> None:
+    """A learned profile as Parquet by language."""
+    profile.write.mode("overwrite").partitionBy("language").parquet(path)
+
+
+def read_profile(spark: SparkSession, path: str, languages: list[str] | None = None) -> DataFrame:
+    """A learned profile; with ``languages`` only their folders are read."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("language").isin(languages)) if languages else rows
+
+
+# Packages known to be unsafe where no audit report is at hand, by the first version that is safe.
+KNOWN_UNSAFE = [
+    ("lodash", "4.17.21", "npm"), ("minimist", "1.2.6", "npm"), ("node-fetch", "2.6.7", "npm"), ("axios", "0.21.2", "npm"), ("jsonwebtoken", "9.0.0", "npm"), ("express", "4.17.3", "npm"),
+    ("time", "0.2.23", "cargo"), ("chrono", "0.4.20", "cargo"), ("hyper", "0.14.10", "cargo"), ("tokio", "1.8.4", "cargo"),
+]
+
+
+def advisory_table(spark: SparkSession) -> DataFrame:
+    """``(package, safe_from, source)`` of the built-in list, to join where no audit report was read."""
+    return spark.createDataFrame(KNOWN_UNSAFE, "package string, safe_from string, source string")
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    """``(package, severity, source)`` of audit reports in JSON, in the form of either package manager."""
+    text = spark.read.text(path, wholetext=True)
+    node = F.from_json("value", "struct<vulnerabilities: map<string, struct<severity: string>>>")
+    npm = text.select(F.explode(node.vulnerabilities).alias("package", "v")).select("package", F.col("v.severity").alias("severity"), F.lit("npm").alias("source"))
+    crate = F.from_json("value", "struct<vulnerabilities: struct<list: array<struct<advisory: struct<package: string, severity: string>>>>>")
+    cargo = text.select(F.explode(crate.vulnerabilities.list).alias("v")).select(F.col("v.advisory.package").alias("package"), F.col("v.advisory.severity").alias("severity"), F.lit("cargo").alias("source"))
+    return npm.unionByName(cargo).where("package is not null").distinct()
+
+
+def workspace_dependencies(files: DataFrame) -> DataFrame:
+    """``(path, package, version, inherited)``: dependencies of every manifest, and those of the manifests above it, the nearest one's version first.
+
+    A manifest sees those of all folders it lies in. Folders are matched by equality on each of its ancestors.
+    """
+    own = dependencies(files)
+    folder = lambda c: F.regexp_replace(c, r"/?[^/]*$", "")
+    at = files.where(F.substring_index("path", "/", -1).isin("package.json", "Cargo.toml")).select("path", folder("path").alias("folder"))
+    parts = F.split("folder", "/")
+    chain = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    above = at.select("path", "folder", F.explode(F.array_distinct(chain)).alias("up"))
+    met = above.join(own.select(folder("path").alias("up"), "package", "version"), "up")
+    best = met.groupBy("path", "folder", "package").agg(F.max_by(F.struct("version", "up"), F.length("up")).alias("b"))
+    return best.select("path", "package", F.col("b.version").alias("version"), (F.col("b.up") != F.col("folder")).alias("inherited"))

@@ -171,3 +171,61 @@ def apply_edits(files: DataFrame, edits: DataFrame) -> DataFrame:
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+def write_baseline(findings: DataFrame, path: str) -> None:
+    """Findings as JSON lines, to be known at the next run."""
+    findings.write.mode("overwrite").json(path)
+
+
+def write_hypotheses(findings: DataFrame, path: str) -> None:
+    """What a run-time check should try: one JSON object per finding that data flow supports or that needs a human, the surest first."""
+    rows = findings.where(F.coalesce("has_taint", F.lit(False)) | F.coalesce("requires_human", F.lit(False)))
+    rows.orderBy(F.col("confidence").desc(), "rule_id").write.mode("overwrite").json(path)
+
+
+def write_runtime_report(results: DataFrame, path: str) -> None:
+    """Verdicts of probes as JSON lines."""
+    results.write.mode("overwrite").json(path)
+
+
+def build_library(examples: DataFrame, path: str, call_weights: DataFrame, weights: DataFrame, filters: DataFrame, calibration: DataFrame, version: int = 1) -> None:
+    """A library ready for scoring: examples, call weights, category weights, filters and calibration as one bundle."""
+    write_bundle({"examples": examples, "call_weights": call_weights, "weights": weights, "filters": filters, "calibration": calibration}, path, version)
+
+
+def write_file_cache(results: DataFrame, path: str, filters: DataFrame, library: DataFrame, version: int = 1) -> None:
+    """Results per file with what they depend on: version, and checksums of the filters and the library."""
+    spark = results.sparkSession
+    results.write.mode("overwrite").parquet(f"{path}/results")
+    row = [(version, content_checksum(filters), content_checksum(library))]
+    spark.createDataFrame(row, "version int, filters string, library string").coalesce(1).write.mode("overwrite").json(f"{path}/_manifest")
+
+
+def read_file_cache(spark: SparkSession, path: str, filters: DataFrame, library: DataFrame, version: int = 1) -> DataFrame | None:
+    """The cached results, or None if version, filters or library are no longer those they were made with."""
+    m = spark.read.schema("version int, filters string, library string").json(f"{path}/_manifest").first()
+    if m is None or (m.version, m.filters, m.library) != (version, content_checksum(filters), content_checksum(library)):
+        return None
+    return spark.read.parquet(f"{path}/results")
+
+
+def write_learned_pattern(pairs: DataFrame, changes: DataFrame, path: str) -> DataFrame:
+    """Patterns learned from edits, as a library that reads like any other.
+
+    ``pairs(pattern_id, ext, before, after)`` become ``<id>_positive.<ext>`` and ``<id>_negative.<ext>`` rows of ``(path, content)``;
+    ``changes(pattern_id, kind, required_calls, forbidden_calls)`` become TOML sidecars. All is written, read again and counted: a pattern that does
+    not come back whole raises. Returns what was read.
+    """
+    spark = pairs.sparkSession
+    sides = F.array(F.struct(F.lit("positive").alias("side"), F.col("before").alias("content")), F.struct(F.lit("negative").alias("side"), F.col("after").alias("content")))
+    files = pairs.select("pattern_id", "ext", F.explode(sides).alias("x")).select(F.concat("pattern_id", F.lit("_"), "x.side", F.lit("."), "ext").alias("path"), "x.content")
+    quoted = lambda c: F.concat(F.lit("["), F.array_join(F.transform(c, lambda v: F.concat(F.lit('"'), F.regexp_replace(v, r'([\\"])', r"\\$1"), F.lit('"'))), ", "), F.lit("]"))
+    toml = F.concat_ws("\n", F.concat(F.lit('kind = "'), "kind", F.lit('"')), F.concat(F.lit("required_calls = "), quoted("required_calls")), F.concat(F.lit("forbidden_calls = "), quoted("forbidden_calls")), F.lit(""))
+    sidecars = changes.select(F.concat("pattern_id", F.lit(".toml")).alias("path"), toml.alias("content"))
+    files.unionByName(sidecars).write.mode("overwrite").parquet(path)
+    back = spark.read.parquet(path)
+    whole = back.where("path not like '%.toml'").groupBy(F.regexp_extract("path", r"^(.*)_(?:positive|negative)\.", 1).alias("p")).agg(F.count("*").alias("n")).where("n != 2")
+    if back.where("content is null").limit(1).count() or whole.limit(1).count():
+        raise ValueError("a learned pattern is not whole")
+    return back
