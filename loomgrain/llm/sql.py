@@ -1,5 +1,50 @@
 """SQL that gives the rows of the training-data queries, where SQL can say it in fair time."""
 
+from __future__ import annotations
+
+import sys
+import unicodedata
+
+from loomgrain.llm.visual_form import skeleton
+
+
+def _form_of(text: str) -> str:
+    """SQL for the look-alike form of a text, composed: single characters by one translation, those that become several by replacement."""
+    pairs, gone, several = [], [], []
+    for code in range(0x80, sys.maxunicode + 1):
+        if 0x3400 <= code <= 0x9FFF or 0xAC00 <= code <= 0xDFFF or 0x20000 <= code <= 0xDFFFF:
+            continue
+        c = chr(code)
+        to = unicodedata.normalize("NFC", skeleton(c))
+        if to == unicodedata.normalize("NFC", c):
+            continue
+        (pairs if len(to) == 1 else several if to else gone).append((c, to))
+    table = "".join(c for c, _ in pairs) + "".join(c for c, _ in gone)
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    out = f"translate(nfc_normalize({text}), {quoted(table)}, {quoted(''.join(t for _, t in pairs))})"
+    for c, to in several:
+        out = f"replace({out}, {quoted(c)}, {quoted(to)})"
+    return f"nfc_normalize({out})"
+
+
+def _decomposed_length(form: str) -> str:
+    """SQL for the length of a composed text when decomposed."""
+    longer: dict[int, list[str]] = {}
+    for code in range(0x80, 0x3400):
+        n = len(unicodedata.normalize("NFD", chr(code))) - 1
+        if n > 0:
+            longer.setdefault(n, []).append(chr(code))
+    return f"length({form})" + "".join(f" + {n} * (length({form}) - length(translate({form}, '{''.join(cs)}', '')))" for n, cs in sorted(longer.items()))
+
+
+def _words(source: str, key: str) -> str:
+    return f"SELECT DISTINCT {key}, regexp_extract_all(lower({_form_of('text')}), '[\\p{{L}}\\p{{N}}]+') AS w FROM {source} WHERE {key} IS NOT NULL AND text IS NOT NULL"
+
+
+def _windows(name: str, key: str) -> str:
+    return f"SELECT {key}, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT {key}, w, unnest(range(1, len(w) - 11)) AS i FROM {name} WHERE len(w) >= 13)"
+
+
 FUNCTIONS = "functions AS (SELECT DISTINCT ON (fn_id) * FROM fingerprints WHERE fn_id IS NOT NULL ORDER BY fn_id, ingested_at DESC)"
 ENTRIES = "entries AS (SELECT DISTINCT ON (entry_id) * FROM auto_filters WHERE entry_id IS NOT NULL ORDER BY entry_id, ingested_at DESC)"
 FREQUENCIES = f"""
@@ -18,7 +63,30 @@ items AS (SELECT DISTINCT k, side, i FROM (
 sizes AS (SELECT k, count(*) AS n FROM items GROUP BY 1),
 common AS (SELECT a.k AS ka, b.k AS kb, count(*) AS c FROM items a JOIN items b ON a.i = b.i AND a.k < b.k AND a.side + b.side < 2 GROUP BY 1, 2)"""
 
+LEAKS = f"""
+dw AS ({_words("documents", "doc_id")}), iw AS ({_words("eval_items", "item_id")}), dg AS ({_windows("dw", "doc_id")}), ig AS (SELECT DISTINCT item_id, g FROM ({_windows("iw", "item_id")}))"""
+FORMS = f"""
+stored AS (SELECT DISTINCT doc_id, text FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL), formed AS (SELECT doc_id, text, {_form_of("text")} AS f FROM stored)"""
+
 SQL = {
+    "p8_found": f"WITH {LEAKS} SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)",
+    "p8_spans": f"""
+WITH {LEAKS}, hits AS (SELECT DISTINCT doc_id, item_id, i FROM dg JOIN ig USING (g)),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER w + 13 THEN 0 ELSE 1 END AS fresh FROM hits WINDOW w AS (PARTITION BY doc_id, item_id ORDER BY i)),
+spans AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY i) AS s FROM marked)
+SELECT doc_id, item_id, min(i) - 1 AS first_word, max(i) + 11 AS last_word FROM spans GROUP BY doc_id, item_id, s""",
+    "p10_found": f"""
+WITH {FORMS}, long AS (SELECT * FROM formed WHERE {_decomposed_length("f")} > 60)
+SELECT DISTINCT a.doc_id AS doc_a, b.doc_id AS doc_b FROM long a JOIN long b ON a.f = b.f AND a.doc_id < b.doc_id AND a.text <> b.text""",
+    "p10_forms": f"""
+WITH {FORMS}, g AS (SELECT f, min(doc_id) AS form_id, count(*) AS members, count(DISTINCT text) AS spellings FROM formed GROUP BY 1)
+SELECT doc_id, form_id, members::BIGINT AS members, spellings::BIGINT AS spellings FROM formed JOIN g USING (f)""",
+    "p3_links": f"""
+WITH {OVERLAPS}, sets AS (SELECT k, side, list_sort(list(i)) AS s FROM items GROUP BY 1, 2), cls AS (SELECT s, min(k) AS class_id, count(*) AS copies FROM sets GROUP BY 1),
+own AS (SELECT k, side, class_id, copies FROM sets JOIN cls USING (s)),
+linked AS (SELECT DISTINCT p.class_id AS x, q.class_id AS y FROM common JOIN sizes a ON a.k = ka JOIN sizes b ON b.k = kb JOIN own p ON p.k = ka JOIN own q ON q.k = kb WHERE c / (a.n + b.n - c) >= 0.6 AND p.class_id <> q.class_id),
+deg AS (SELECT c, count(DISTINCT o) AS links FROM (SELECT x AS c, y AS o FROM linked UNION ALL SELECT y, x FROM linked) GROUP BY 1)
+SELECT k AS key, side, class_id, copies::BIGINT AS copies, coalesce(links, 0)::BIGINT AS links FROM own LEFT JOIN deg ON c = class_id""",
     "p1_found": f"""
 WITH {FUNCTIONS}, occ AS (SELECT DISTINCT fn_id, h FROM (SELECT fn_id, unnest(ngram_hashes) AS h FROM functions) WHERE h IS NOT NULL),
 df AS (SELECT h, count(*) AS df FROM occ GROUP BY 1 HAVING count(*) >= 2), n AS (SELECT count(*) AS n FROM functions),
