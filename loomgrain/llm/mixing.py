@@ -17,16 +17,16 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgrain.session import cut_lineage
 from loomgrain.tables import spread
 
-DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the usual split pattern of byte-level vocabularies, where the vocabulary's own module names none.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SMALL_PLAN = 100_000
+SOURCE_SALTS = 256
 LARGEST_VOCABULARY = 64 << 20
 
 
@@ -47,7 +47,7 @@ def source_form(column: str):
     return F.lower(F.trim(F.col(column)))
 
 
-def token_counts(documents: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def token_counts(documents: DataFrame, vocabulary: str) -> DataFrame:
     """``(doc_id, source, tokens)``, each document once; null and empty texts and null ids and sources are left out.
 
     The vocabulary is read by the driver and sent to the workers; a file of more than 64 MB is none and raises.
@@ -73,6 +73,7 @@ def plan_targets(plans: DataFrame, stock: DataFrame, total_tokens: float | None
     Shares are normalised within a plan; a source named twice adds its shares and keeps its lower cap. A source
     without texts cannot contribute: the others keep their proportions. Unless ``total_tokens`` is given, a plan is as
     large as it can be with every proportion met under the caps, or as all its texts if none of its sources has a cap.
+    With it, what a source cannot give under its cap is given by the others in proportion, as far as theirs allow.
     """
     named = plans.select("plan_id", source_form("source").alias("source"), "target_share", "max_repeats")
     named = named.where("plan_id is not null and source is not null and target_share > 0")
@@ -87,7 +88,15 @@ def plan_targets(plans: DataFrame, stock: DataFrame, total_tokens: float | None
     bound = F.when((F.col("share") > 0) & F.col("cap").isNotNull(), F.col("cap") * F.col("stock_tokens") / F.col("share"))
     sizes = rows.groupBy("plan_id").agg(F.coalesce(F.min(bound), F.first("everything").cast("double")).alias("size"))
     if total_tokens is not None:
-        sizes = sizes.withColumn("size", F.lit(float(total_tokens)))
+        # sources fill up in order of cap / share; the scale that makes the others give the rest is the first that fills no further one
+        most = F.coalesce(F.col("cap") * F.col("stock_tokens"), F.lit(float("inf"))).cast("double")
+        full = rows.where("share > 0").select("plan_id", "source", "share", most.alias("most"), (most / F.col("share")).alias("ratio"))
+        w = Window.partitionBy("plan_id").orderBy("ratio", "source")  # the sources of one plan
+        before = w.rowsBetween(Window.unboundedPreceding, -1)
+        open_share = F.lit(1.0) - F.coalesce(F.sum("share").over(before), F.lit(0.0))
+        scale = (F.lit(float(total_tokens)) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / open_share
+        fits = full.withColumn("scale", scale).where(F.col("scale") <= F.col("ratio")).groupBy("plan_id").agg(F.min(F.struct("ratio", "scale")).alias("s"))
+        sizes = rows.select("plan_id").distinct().join(fits, "plan_id", "left").select("plan_id", F.coalesce("s.scale", F.lit(float("inf"))).alias("size"))
     rows = rows.join(sizes, "plan_id")
     copies = F.when(F.col("stock_tokens") > 0, F.col("size") * F.col("share") / F.col("stock_tokens")).otherwise(0.0)
     copies = F.least(copies, F.coalesce(F.col("cap").cast("double"), copies))
@@ -120,14 +129,19 @@ def settle(p: np.ndarray, rng: np.random.Generator) -> np.ndarray:
     return p
 
 
-def draw(documents: DataFrame, plans: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, total_tokens: float | None = None, leaf: int = 4096, fan: int = 64, seed: int = 11) -> tuple[DataFrame, DataFrame]:
+def draw(documents: DataFrame, plans: DataFrame, vocabulary: str, total_tokens: float | None = None, leaf: int = 4096, fan: int = 64, seed: int = 11) -> tuple[DataFrame, DataFrame]:
     """Texts drawn for each plan, ``(plan_id, source, doc_id, tokens, copies)`` with copies > 0, and the plan targets."""
     texts = cut_lineage(token_counts(documents, vocabulary))
     stock = texts.groupBy("source").agg(F.sum("tokens").alias("stock_tokens"), F.count("*").alias("stock_texts"))
     targets = cut_lineage(plan_targets(plans, stock, total_tokens))
-    small = targets if targets.limit(SMALL_PLAN + 1).count() > SMALL_PLAN else F.broadcast(targets)
+    wanted = targets.where("copies > 0")
+    if targets.limit(SMALL_PLAN + 1).count() > SMALL_PLAN:  # few sources and many plans: texts of a source are dealt out, its plans visit each part
+        wanted = wanted.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_SALTS - 1))))
+        met = texts.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SOURCE_SALTS)).cast("int")).join(wanted, ["source", "_salt"])
+    else:
+        met = texts.join(F.broadcast(wanted), "source")
     leaves = F.ceil(F.col("stock_texts") / leaf).cast("long")
-    rows = texts.join(small.where("copies > 0"), "source").select(
+    rows = met.select(
         "plan_id", "source", "doc_id", "tokens", F.floor("copies").alias("whole"), (F.col("copies") - F.floor("copies")).alias("p"),
         F.pmod(F.xxhash64("doc_id"), leaves).alias("node"),
     )

@@ -3,15 +3,12 @@
 Method: a lexer per language drives a pushdown stack. It finds unterminated literals and comments,
 unbalanced delimiters and tags, premature ends, merge-conflict markers, and token sequences that no
 statement of the language can hold (two operands side by side, a statement after an operator, a header
-without its body). Markers and quotes inside comments, strings and templates are just their content.
-A Python file that the lexer rejects is confirmed by the interpreter's own parser.
+without its body, a try without a handler). Markers and quotes inside comments, strings and templates are just their content.
 """
 
 from __future__ import annotations
 
-import ast
 import re
-import warnings
 from collections.abc import Iterator
 
 import pandas as pd
@@ -391,6 +388,59 @@ class Rust(Lexer):
             self.fail(f"the text ends after {self.word[:20]!r}")
 
 
+FORMATTED = re.compile(r"(?i)(?:[ft]r?|r[ft])(\"\"\"|'''|\"|')")
+PREFIXED = re.compile(r"(?i)[rbfut]{0,2}(\"\"\"|'''|\"|')")
+
+
+def formatted_end(text: str, at: int, quote: str) -> int:
+    """Where a formatted string ends whose text begins at ``at``, or -1. Fields are code: brackets nest and strings in them are whole."""
+    inner: list[tuple[str, bool]] = [(quote, True)]  # open strings and brackets; for a string, whether it has fields
+    while at < len(text):
+        top, fields = inner[-1]
+        c = text[at]
+        if top in ('"', "'", '"""', "'''"):
+            if text.startswith(top, at):
+                inner.pop()
+                at += len(top)
+                if not inner:
+                    return at
+            elif c == "\\":
+                at += 2
+            elif c == "\n" and len(top) == 1:
+                return -1
+            elif fields and c == "{":
+                if text.startswith("{{", at):
+                    at += 2
+                else:
+                    inner.append(("{", False))
+                    at += 1
+            else:
+                at += 1
+            continue
+        m = PREFIXED.match(text, at) if c in "\"'rRbBfFuUtT" else None
+        if m and (m.start() == m.end() - len(m.group(1)) or not text[at - 1].isalnum()):
+            inner.append((m.group(1), "f" in m.group().lower() or "t" in m.group().lower()))
+            at = m.end()
+        elif c in "([{":
+            inner.append((c, False))
+            at += 1
+        elif c in ")]}":
+            inner.pop()
+            at += 1
+        elif c == ":" and top == "{":  # the format after a field is text until the field ends
+            depth = 1
+            at += 1
+            while at < len(text) and depth:
+                depth += (text[at] == "{") - (text[at] == "}")
+                if depth and (text.startswith(quote, at) or text[at] == "\n" and len(quote) == 1):
+                    return -1
+                at += 1
+            inner.pop()
+        else:
+            at += 1
+    return -1
+
+
 class Python(Lexer):
     keywords, starters, values = PY_WORDS, PY_STARTERS, PY_VALUES
     TOKEN = re.compile(
@@ -402,6 +452,7 @@ class Python(Lexer):
     def run(self) -> None:
         text, indents, line_start = self.text, [0], True
         opened = False  # the line before ended with a colon that opens a block
+        self.width, self.tries = 0, []  # indentation of the line, and of each try that still lacks its handler
         head, colon, lambdas, words_in_line = "", False, 0, 0
         while self.at < len(text):
             if line_start and not self.stack:
@@ -415,7 +466,7 @@ class Python(Lexer):
                 if CONFLICT.match(text, self.at):
                     self.fail("merge conflict")
                 width = len(m.group().expandtabs(8))
-                self.at = m.end()
+                self.at, self.width = m.end(), width
                 if opened and width <= indents[-1]:
                     self.fail("a block is missing")
                 if not opened and width > indents[-1]:
@@ -441,10 +492,19 @@ class Python(Lexer):
                 self.token("num", word)
             elif kind == "id":
                 head = head or word
-                lambdas += word == "lambda"
+                lambdas += word == "lambda" and not self.stack
                 self.token("id", word)
             elif kind == "str":
+                end = m.end()
+                if "{" in word and (q := FORMATTED.match(word)):  # its fields may hold strings with the same quotes
+                    end = formatted_end(text, self.at + q.end(), q.group(1))
+                    if end < 0:
+                        self.fail("unterminated string")
                 self.token("str", word)
+                self.at = end
+                if not words_in_line:
+                    words_in_line, head = 1, head or word
+                continue
             elif kind == "p":
                 if word in "\"'":
                     self.fail("unterminated string")
@@ -467,10 +527,19 @@ class Python(Lexer):
             opened = head in PY_BLOCKS and self.word == ":"
         if opened:
             self.fail("the text ends where a block should start")
+        if self.tries:
+            self.fail("the text ends before the handler of a try")
         self.kind = self.word = ""
         self.finish()
 
     def line_end(self, head: str, colon: bool) -> None:
+        if head == "from" and self.word == "*":
+            return
+        while self.tries and self.tries[-1] >= self.width:
+            if self.tries.pop() != self.width or head not in ("except", "finally"):
+                self.fail("a try without a handler")
+        if head == "try":
+            self.tries.append(self.width)
         if head in PY_BLOCKS - {"match", "case", "async"} and not colon:
             self.fail(f"{head!r} without a colon")
         if self.kind == "punct" and self.word in OPERATORS and self.word not in "." or self.word == "**":
@@ -499,22 +568,10 @@ def what_is_broken(text: str | None, extension: str) -> str | None:
         else:
             Script(text, typed=extension in ("ts", "tsx"), tags=extension != "ts").run()
     except Broken as why:
-        return None if extension == "py" and parses_as_python(text) else str(why)
+        return str(why)
     return None
 
 
-def parses_as_python(text: str) -> bool:
-    try:
-        with warnings.catch_warnings():
-            warnings.simplefilter("ignore")
-            ast.parse(text)
-    except (SyntaxError, ValueError):
-        return False
-    except (RecursionError, MemoryError):
-        return True
-    return True
-
-
 def checked_files(files: DataFrame, key: str = "file_id", path: str = "file_path", content: str = "content") -> DataFrame:
     """``files`` columns ``key``, ``repo``, ``language`` (of the extension) and ``problem`` (null where the file is valid).
 

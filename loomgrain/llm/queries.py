@@ -83,8 +83,11 @@ def p8_spans(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked_spans(read_table(spark, d, "documents"), read_table(spark, d, "eval_items")).distinct()
 
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"  # a parameter of the operator; vocabularies are not part of this package
+
+
 def _draw(spark: SparkSession, d: str):
-    return mixing.draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_plans"))
+    return mixing.draw(read_table(spark, d, "documents"), read_table(spark, d, "mix_plans"), VOCABULARY)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:

@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from loomgrain.llm import queries as Q
 from loomgrain.llm import buckets, components, distinctive, leakage, mixing, near_dup, parse_check, set_join, source_kind, term_counts, visual_form
 
 # ---------------------------------------------------------------- 1
@@ -252,6 +253,15 @@ def test_value_frequencies(spark):
     assert term_counts.value_frequencies(df.limit(0), "id", ["x", "y"]).count() == 0
 
 
+def test_bitmaps_merge(spark):
+    a = spark.range(0, 200_000, 3).select(F.col("id"), F.array(F.lit("v"), F.lit("w")).alias("x"))
+    b = spark.range(0, 200_000, 2).select(F.col("id"), F.array(F.lit("v")).alias("x"))
+    one, two = term_counts.bitmaps(a, "id", ["x"]), term_counts.bitmaps(b, "id", ["x"])
+    both = {r["value"]: (r.occurrences, r.records) for r in term_counts.frequencies(term_counts.merged(one, two)).collect()}
+    assert both == {"v": (66_667 + 100_000, len(set(range(0, 200_000, 3)) | set(range(0, 200_000, 2)))), "w": (66_667, 66_667)}
+    assert one.agg(F.max(F.size("words"))).first()[0] == 1024 and one.where("value = 'v'").count() == 4
+
+
 # ---------------------------------------------------------------- 5
 
 CODE = "import {{ a }} from './{0}';\n\nexport function {0}({1}) {{\n  if (!{1}) {{ return null; }}\n  const {2} = {1}.map((x) => x + {3});\n  for (const y of {2}) {{ send(y, '{0}'); }}\n  try {{ {0}Store.put({2}); }} catch (e) {{ log(e); }}\n  return {2};\n}}\n"
@@ -288,14 +298,14 @@ GOOD = {
     "tsx": ["const a = <div className=\"x\" on={() => { go(); }}>don't {b} <br/> <>z</></div>;\nconst c = a < b;\n"],
     "js": ["!function(){var a=[1,2];return a[0]>1?a:void 0}();\n", "const o = { if: 1, of: 2, get: 3 };\no.return(1);\n", "#!/usr/bin/env node\nlet a = 1;\n"],
     "rs": ["", "/* a /* b */ c */\npub struct A<'a> { b: &'a str }\n", "fn f<'a>(x: &'a str) -> char { let c = 'x'; let d = '\\''; let e = \"multi\nline\"; c }\n", "const A: &[(&str, i32)] = &[(\"a\", 1)];\n#[derive(Debug)]\nenum B { C(u8) }\nmacro_rules! m { ($x:expr) => { $x }; }\n", "fn g() { let r = r#\"a \"quoted\" b\"#; match r { x if x.len() > 1u32 as usize => {} _ => {} } }\n", "use crate::a::B;\nimpl B { pub async fn c(&mut self) -> Option<String> { None } }\n"],
-    "py": ["", "# only\n", "def f(a, b: int = 1, *c, **d) -> None:\n    \"\"\"It isn't {open.\"\"\"\n    return [q for q in a if q != 1]\n", "x = (1,\n  2)\nif x: y = 1\nelse:\n\ty = 2\n", "class A:\n    async def b(self):\n        async with c as d:\n            await d\n", "match x:\n    case 1: pass\nlambda a: a\nd = {'a': 1, 'b': lambda x: x}\n", "s = 'a' \\\n    'b'\n"],
+    "py": ["", "x = f\"{a['b']}\" f'{f\"{c!r:>{w}}\"} {d}'\ny = f'{f'{e}' + \"}\"}'\n", "from a import *\n", "try:\n    a\nexcept B:\n    c\nelse:\n    d\nfinally:\n    try: e\n    finally: f\n", "if g(lambda: 1, 2):\n    h\n", "# only\n", "def f(a, b: int = 1, *c, **d) -> None:\n    \"\"\"It isn't {open.\"\"\"\n    return [q for q in a if q != 1]\n", "x = (1,\n  2)\nif x: y = 1\nelse:\n\ty = 2\n", "class A:\n    async def b(self):\n        async with c as d:\n            await d\n", "match x:\n    case 1: pass\nlambda a: a\nd = {'a': 1, 'b': lambda x: x}\n", "s = 'a' \\\n    'b'\n"],
 }
 BAD = {
     "ts": ["function f() {\n", "const a = [1, 2;\n", "const a = 'open;\n", "const a = `open\n", "/* open\n", "<<<<<<< HEAD\nlet a = 1;\n=======\nlet a = 2;\n>>>>>>> x\n", "def f(a):\n    pass\n", "use crate::a::B;\n", "<!DOCTYPE html>\n<html></html>\n", "{\n  \"a\": 1\n}\n", "   1 | import { a } from 'a';\n", "let a = 1;\n[... 10 more lines omitted ...]\n", "const a = 1abc;\n", "export function f(a)\n", "let a =\n", "}\n", "Here is the file:\n"],
     "jsx": ["const a = <div><b></div></b>;\n", "const a = <div>;\n"],
     "js": ["interface A { b: string; }\n", "function f(a: string) { return a; }\n"],
     "rs": ["fn f() {\n", "let s = \"open;\n", "import a_kit\n", "export function f() {}\n", "--- a/x\n+++ b/x\n", "fn f() { let a = [1, 2); }\n", "/* open\n", "fn f() -> u8 { 1 }\nNone\n", "{\n \"a\": 1\n}\n"],
-    "py": ["def f(a)\n    pass\n", "def f(a):\npass\n", "x = 'open\n", "x = (1,\n", "  x = 1\n", "for a in b:\n", "export async function f() {\n}\n", "<<<<<<< HEAD\nx = 1\n", "if a:\n        b\n    c\n", "const a = 1;\n", "let x = 1\n"],
+    "py": ["try:\n    a\nb = 1\n", "try:\n    a\n", "def f():\n    try:\n        a\n    b\n", "x = f'{a'\n", "def f(a)\n    pass\n", "def f(a):\npass\n", "x = 'open\n", "x = (1,\n", "  x = 1\n", "for a in b:\n", "export async function f() {\n}\n", "<<<<<<< HEAD\nx = 1\n", "if a:\n        b\n    c\n", "const a = 1;\n", "let x = 1\n"],
 }
 
 
@@ -374,14 +384,24 @@ def test_mix_reaches_its_shares(spark):
     docs = [(i, "word " * (5 + i % 17), "Big ", "c") for i in range(900)] + [(1000 + i, "text " * 12, "small", "c") for i in range(60)] + [(5000, None, "big", "c"), (5001, "", "big", "c"), (None, "x", "big", "c"), (5002, "x", None, "c"), (3, "word " * 8, "big", "c")]
     d = spark.createDataFrame(docs, "doc_id long, text string, source string, copies string")
     plans = spark.createDataFrame([("p", "big", 3.0, 1), ("p", "SMALL", 2.0, 4), ("q", "big", 1.0, None), ("q", "gone", 1.0, 2), ("q", None, 1.0, 1), ("p", "big", None, 1)], "plan_id string, source string, target_share double, max_repeats int")
-    drawn, targets = mixing.draw(d, plans, leaf=50, fan=3)
+    drawn, targets = mixing.draw(d, plans, Q.VOCABULARY, leaf=50, fan=3)
     drawn = drawn.cache()
     shares = {(r.plan_id, r.source): r for r in mixing.reached_shares(drawn, targets).collect()}
     assert shares[("p", "big")].target_share == pytest.approx(0.6) and shares[("p", "big")].reached_share == pytest.approx(0.6, abs=0.02)
     assert shares[("p", "small")].most_copies <= 4 and shares[("p", "big")].most_copies <= 1
     assert shares[("q", "gone")].texts == 0 and shares[("q", "big")].reached_share == 1.0 and shares[("q", "big")].texts == 900
     assert drawn.groupBy("plan_id", "doc_id").count().where("count > 1").count() == 0
-    assert mixing.draw(d.limit(0), plans)[0].count() == 0 and mixing.draw(d, plans.limit(0))[0].count() == 0
+    assert mixing.draw(d.limit(0), plans, Q.VOCABULARY)[0].count() == 0 and mixing.draw(d, plans.limit(0), Q.VOCABULARY)[0].count() == 0
+
+
+def test_a_given_total_is_filled_by_the_others(spark):
+    stock = spark.createDataFrame([("a", 100, 10), ("b", 1000, 10), ("c", 1000, 10)], "source string, stock_tokens long, stock_texts long")
+    plans = spark.createDataFrame([("p", "a", 0.5, 1), ("p", "b", 0.25, None), ("p", "c", 0.25, 2), ("q", "a", 1.0, 2)], "plan_id string, source string, target_share double, max_repeats int")
+    got = {(r.plan_id, r.source): r.copies * r.stock_tokens for r in mixing.plan_targets(plans, stock, 900.0).collect()}
+    assert got[("p", "a")] == pytest.approx(100) and got[("p", "b")] == pytest.approx(400) and got[("p", "c")] == pytest.approx(400)
+    assert got[("q", "a")] == pytest.approx(200)  # all that its cap allows
+    big = {(r.plan_id, r.source): r.copies * r.stock_tokens for r in mixing.plan_targets(plans, stock, 10_000.0).collect()}
+    assert big[("p", "c")] == pytest.approx(2000) and big[("p", "b")] == pytest.approx(7900)
 
 
 # ---------------------------------------------------------------- 10
