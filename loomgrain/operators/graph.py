@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.session import cut_lineage
+from loomgrain.skew import hot_join
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, keep_every: int = 3) -> DataFrame:
@@ -42,6 +43,8 @@ def forward_propagate(edges: DataFrame, sources: DataFrame, depth: int = 5) -> D
         if front.isEmpty():
             break
         found = found.unionByName(front)
+        if hop % 3 == 0:
+            found = cut_lineage(found)
     return found.select("node", F.col("by.origin").alias("origin"), "hops")
 
 
@@ -66,10 +69,11 @@ def components(edges: DataFrame) -> DataFrame:
     both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
     while True:
-        seen = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("seen"))
-        step = labels.join(seen, labels.node == seen.src).select("node", F.least("label", "seen").alias("new"), F.col("label").alias("old"))
+        # a hub, and the label of a giant group, are met by broadcast of their few rows
+        seen = hot_join(both, labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("seen"))
+        step = cut_lineage(labels.join(seen, labels.node == seen.src).select("node", F.least("label", "seen").alias("new"), F.col("label").alias("old")))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
-        step = cut_lineage(step.join(jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("label")))
+        step = cut_lineage(hot_join(step, jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("label")))
         changed = step.where("old != label").limit(1).count()
         labels = step.select("node", "label")
         if not changed:

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from loomgrain.functions import scores as S
 from loomgrain.functions import similarity as M
 from loomgrain.session import cut_lineage
+from loomgrain.skew import cell_pairs, hot_join, with_stats
+from loomgrain.tables import wide_hash
 
 STRONG, MODERATE = 0.4, 0.15
 WEIGHTS = {"ngram": 0.4, "ast": 0.2, "semantic": 0.2, "skeleton": 0.2}
@@ -57,16 +59,18 @@ def banded_candidates(functions: DataFrame, examples: DataFrame, tables: dict[st
     Empty sets are in no index. Buckets are joined on equality; a pair is counted once per index.
     """
 
-    def index(df: DataFrame, key: str, table: str, column: str) -> DataFrame:
-        signed = df.where(F.size(M.members(column)) > 0).select(key, M.minhash_signature(column, bands * rows).alias("_s"))
-        buckets = F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws(",", F.slice("_s", b * rows + 1, rows)).alias("bucket")) for b in range(bands)])
-        return signed.select(key, F.lit(table).alias("table"), F.explode(buckets).alias("k")).select(key, "table", "k.band", "k.bucket")
+    def index(df: DataFrame, key: str) -> DataFrame:
+        # the signatures of all tables in one projection: one pass over the rows in Python
+        signed = df.select(key, *[M.minhash_signature(c, bands * rows).alias(f"_s{i}") for i, c in enumerate(tables.values())], *[(F.size(M.members(c)) > 0).alias(f"_h{i}") for i, c in enumerate(tables.values())])
+        buckets = [
+            F.when(F.col(f"_h{i}"), F.struct(F.lit(i).alias("table"), F.xxhash64(F.lit(i), F.lit(b), F.slice(f"_s{i}", b * rows + 1, rows)).alias("bucket")))
+            for i in range(len(tables)) for b in range(bands)
+        ]
+        return signed.select(key, F.explode(F.array_compact(F.array(*buckets))).alias("k")).select(key, "k.table", "k.bucket")
 
-    hits = None
-    for table, column in tables.items():
-        met = index(functions, "fn_id", table, column).join(index(examples, "example_id", table, column), ["table", "band", "bucket"]).select("fn_id", "example_id", "table").distinct()
-        hits = met if hits is None else hits.unionByName(met)
-    return hits.groupBy("fn_id", "example_id").agg(F.count("*").alias("tables_hit")).withColumn("hit_both", F.col("tables_hit") == len(tables))
+    met = index(functions, "fn_id").join(index(examples, "example_id"), ["table", "bucket"])
+    hits = met.groupBy("fn_id", "example_id").agg(F.bit_count(F.bit_or(F.expr("shiftleft(1, table)"))).cast("long").alias("tables_hit"))
+    return hits.withColumn("hit_both", F.col("tables_hit") == len(tables))
 
 
 def role_compatible(a: Column, b: Column) -> Column:
@@ -174,14 +178,14 @@ def signature_links(functions: DataFrame, column: str, limit: float = 0.75, band
     Copies are one class, so a bucket holds different signatures only. Empty sets have no class.
     """
     signed = functions.where(F.size(M.members(column)) > 0).select("fn_id", M.minhash_signature(column, bands * rows).alias("sig"))
-    signed = cut_lineage(signed)  # used thrice below
-    classes = signed.groupBy("sig").agg(F.min("fn_id").alias("class_id"))
-    members = signed.join(classes, "sig").select("fn_id", "class_id", "sig")
-    banded = classes.select("class_id", "sig", F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.concat_ws(",", F.slice("sig", b * rows + 1, rows)).alias("bucket")) for b in range(bands)])).alias("k"))
-    left, right = (banded.select("k.band", "k.bucket", F.col("class_id").alias(x)) for x in "ab")
-    pairs = left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
+    signed = cut_lineage(signed.withColumn("h", wide_hash("sig")))  # used twice below
+    members = cut_lineage(with_stats(signed.select("fn_id", "h"), "h", {"class_id": F.min("fn_id")}).select("fn_id", "class_id"))
+    classes = cut_lineage(signed.join(members.where("fn_id = class_id"), "fn_id").select("class_id", "sig"))
+    bucket = F.explode(F.array(*[F.xxhash64(F.lit(b), F.slice("sig", b * rows + 1, rows)) for b in range(bands)]))
+    pairs = cell_pairs(classes.select("class_id", bucket.alias("k")), "k", "class_id").distinct()
     sig = lambda x: classes.select(F.col("class_id").alias(x), F.col("sig").alias(f"s{x}"))
-    return members, pairs.join(sig("a"), "a").join(sig("b"), "b").where(M.signature_similarity("sa", "sb") >= limit).select("a", "b")
+    linked = pairs.join(sig("a"), "a").join(sig("b"), "b").where(M.signature_similarity("sa", "sb") >= limit).select("a", "b")
+    return hot_join(members, classes, "class_id").select("fn_id", "class_id", "sig"), linked
 
 
 def member_roles(members: DataFrame, limit: float = 0.85) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.functions import similarity as M
 from loomgrain.session import cut_lineage
-from loomgrain.skew import FLOOR, hot_join, with_stats
+from loomgrain.skew import FLOOR, cell_pairs, hot_join, with_stats
 
 
 def similar_sets(rows: DataFrame, key: str, items: str, limit: float = 0.8, least: int = 1, block: int = 2048, floor: int = FLOOR) -> tuple[DataFrame, DataFrame]:
@@ -25,12 +25,8 @@ def similar_sets(rows: DataFrame, key: str, items: str, limit: float = 0.8, leas
     ranked = hot_join(held, freq, "i", floor=floor).groupBy("class_id", "n").agg(F.sort_array(F.collect_list(F.struct("f", "i"))).alias("o"))
     prefix = F.slice("o", 1, (F.col("n") - F.ceil(F.col("n") * limit - 1e-9) + 1).cast("int"))
     probes = cut_lineage(ranked.select("class_id", "n", F.explode(F.filter(prefix, lambda x: x.f > 1)).alias("p")).select("class_id", "n", F.col("p.i").alias("k")))
-    sized = with_stats(probes, "k", {"_n": F.count("*")}, floor=floor).where("_n > 1").withColumn("_g", F.ceil(F.col("_n") / block).cast("int"))
-    own = cut_lineage(sized.withColumn("_i", F.pmod(F.xxhash64("class_id"), F.col("_g")).cast("int")))
-    cells = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1))).select("k", "class_id", "n", "_i", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"))
-    side = lambda x: cells.select("k", "_lo", "_hi", F.col("_i").alias(f"_i{x}"), F.col("class_id").alias(x), F.col("n").alias(f"n{x}"))
-    met = side("a").join(side("b"), ["k", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)").where(F.least("na", "nb") >= limit * F.greatest("na", "nb") - 1e-9)
-    pairs = met.select("a", "b").distinct()
+    near = F.least("n_a", "n_b") >= limit * F.greatest("n_a", "n_b") - 1e-9
+    pairs = cell_pairs(probes, "k", "class_id", near, ("n",), block, floor).select("a", "b").distinct()
     at = lambda x: classes.select(F.col("class_id").alias(x), F.col("s").alias(f"s{x}"))
     common = F.size(F.array_intersect("sa", "sb"))
     overlap = common / (F.size("sa") + F.size("sb") - common)

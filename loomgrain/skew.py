@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgrain.session import cut_lineage
+
 CELLS = 1 << 16
 SHARE = 0.001
 FLOOR = 20_000
@@ -59,3 +61,22 @@ def with_stats(rows: DataFrame, key: str, stats: dict[str, Column], share: float
         full = rows.where(F.col(key).isin(hot))
         out = out.unionByName(full.join(F.broadcast(full.groupBy(key).agg(*aggs)), key))
     return out
+
+
+def cell_pairs(rows: DataFrame, bucket: str, member: str, allowed: Column | None = None, carry: tuple[str, ...] = (), block: int = 2048, floor: int = FLOOR) -> DataFrame:
+    """Pairs ``(a, b)``, a < b, of members that share a bucket, with ``x_a`` and ``x_b`` of ``carry``; a pair comes once for each bucket it shares.
+
+    Buckets of one row are dropped first. A bucket of n rows becomes a triangle of cells, one for each two of its
+    n / ``block`` blocks; a row visits the cells of its block, so a cell holds two blocks at most and no pair is lost.
+    """
+    sized = with_stats(rows, bucket, {"_n": F.count("*")}, floor=floor).where("_n > 1")
+    shared = cut_lineage(sized.withColumn("_g", F.ceil(F.col("_n") / block).cast("int")).drop("_n"))
+    own = shared.withColumn("_i", F.pmod(F.xxhash64(F.lit(7), member), F.col("_g")).cast("int"))
+    cells = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
+    cells = cells.select(F.col(bucket).alias("_k"), F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", member, *carry)
+    a = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ia"), F.col(member).alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry])
+    b = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ib"), F.col(member).alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
+    pairs = a.join(b, ["_k", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)")
+    if allowed is not None:
+        pairs = pairs.where(allowed)
+    return pairs.select("a", "b", *[f"{c}_{x}" for c in carry for x in "ab"])
