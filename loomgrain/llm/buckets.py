@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomgrain.llm.components import connected_groups
 from loomgrain.session import cut_lineage
-from loomgrain.skew import FLOOR, hot_join, with_stats
+from loomgrain.skew import FLOOR, cell_pairs, hot_join, with_stats
 
 BLOCK = 2048
 
@@ -21,21 +21,9 @@ def _block_of(member: str, blocks: Column) -> Column:
 def bucket_pairs(rows: DataFrame, bucket: str, member: str, allowed: Column | None = None, carry: tuple[str, ...] = (), block: int = BLOCK, floor: int = FLOOR) -> DataFrame:
     """Distinct pairs ``(a, b)``, a < b, of members that share any bucket.
 
-    Buckets of one row are dropped first. A bucket of n rows becomes a triangle of cells, one for each two of its
-    n / ``block`` blocks; a row visits the cells of its block, so a cell holds two blocks at most and no pair is lost.
     ``allowed`` may restrict pairs by the columns ``carry`` (named ``x_a`` and ``x_b``) before they are made distinct.
     """
-    sized = with_stats(rows, bucket, {"_n": F.count("*")}, floor=floor).where("_n > 1")
-    shared = cut_lineage(sized.withColumn("_g", F.ceil(F.col("_n") / block).cast("int")).drop("_n"))
-    own = shared.withColumn("_i", _block_of(member, F.col("_g")))
-    cells = own.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_g") - 1)))
-    cells = cells.select(F.col(bucket).alias("_k"), F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", member, *carry)
-    a = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ia"), F.col(member).alias("a"), *[F.col(c).alias(f"{c}_a") for c in carry])
-    b = cells.select("_k", "_lo", "_hi", F.col("_i").alias("_ib"), F.col(member).alias("b"), *[F.col(c).alias(f"{c}_b") for c in carry])
-    pairs = a.join(b, ["_k", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)")
-    if allowed is not None:
-        pairs = pairs.where(allowed)
-    return pairs.select("a", "b").distinct()
+    return cell_pairs(rows, bucket, member, allowed, carry, block, floor).select("a", "b").distinct()
 
 
 def unique_items(records: DataFrame, record: str, items: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql.types import StringType
 
 from loomgrain.llm.buckets import BLOCK, member_pairs
 from loomgrain.session import cut_lineage
-from loomgrain.skew import FLOOR, hot_join, with_stats
+from loomgrain.skew import FLOOR, cell_pairs, hot_join
 from loomgrain.tables import spread, wide_hash
 
 # Letters of other scripts that are drawn like a Latin letter, by script: the letters, and the
@@ -102,14 +102,9 @@ def look_alike_pairs(df: DataFrame, key: str = "doc_id", text: str = "text", min
     never compared. A form of more than ``block`` stored texts is cut into a triangle of cells.
     """
     rows = cut_lineage(visual_classes(df, key, text, min_length))  # hashes only
-    spelt = rows.groupBy("form", "cid").agg(F.count("*").alias("n"))
-    spelt = cut_lineage(with_stats(spelt, "form", {"_t": F.count("*")}, floor=floor).where("_t > 1"))
-    blocks = F.ceil(F.col("_t") / block).cast("int")
-    own = spelt.withColumn("_i", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("_j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    cells = own.select("form", F.least("_i", "_j").alias("_lo"), F.greatest("_i", "_j").alias("_hi"), "_i", "cid")
-    a = cells.select("form", "_lo", "_hi", F.col("_i").alias("_ia"), F.col("cid").alias("a"))
-    b = cells.select("form", "_lo", "_hi", F.col("_i").alias("_ib"), F.col("cid").alias("b"))
-    texts = cut_lineage(a.join(b, ["form", "_lo", "_hi"]).where("a < b and (_lo = _hi or _ia != _ib)").select("a", "b"))
+    spelt = rows.select("form", "cid").distinct()
+    texts = cut_lineage(cell_pairs(spelt, "form", "cid", block=block, floor=floor))
+    spelt = texts.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     mixed = spelt.select("cid", F.lit(True).alias("_mixed"))
     members = hot_join(rows.select("cid", F.col(key).alias("key")), mixed, "cid", floor=floor).select("cid", "key")
     pairs = member_pairs(texts, members, block=block, floor=floor).where("key_a != key_b")
