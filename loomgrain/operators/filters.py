@@ -126,3 +126,11 @@ def quality_scores(examples: DataFrame, checks: dict[str, tuple[Column, int]], p
     least = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in minima.items() for x in (F.lit(k), F.lit(v))]), F.col("tier")), F.lit(0))
     score = F.greatest(gained - lost, F.lit(0))
     return examples.withColumns({"score": score, "lacking": lacking}).withColumn("enough", F.col("score") >= least).orderBy("score")
+
+
+def quality_summary(scored: DataFrame) -> DataFrame:
+    """Per tier of :func:`quality_scores`: examples, those that are good enough, least, mean and greatest score, and what is lacking most often."""
+    counts = scored.groupBy("tier").agg(F.count("*").alias("examples"), F.count_if("enough").alias("enough"), F.min("score").alias("least"), F.round(F.avg("score"), 6).alias("mean"), F.max("score").alias("most"))
+    gaps = scored.select("tier", F.explode("lacking").alias("gap")).groupBy("tier", "gap").agg(F.count("*").alias("n"))
+    worst = gaps.groupBy("tier").agg(F.min(F.struct((-F.col("n")).alias("n"), "gap")).alias("g")).select("tier", F.col("g.gap").alias("lacking_most"))
+    return counts.join(worst, "tier", "left")

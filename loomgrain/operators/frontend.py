@@ -382,3 +382,39 @@ def call_edges(functions: DataFrame) -> DataFrame:
     only = nodes.groupBy("repo", "name").agg(F.count("*").alias("n"), F.min("node").alias("only")).where("n = 1").drop("n")
     met = uses.join(here, ["repo", "file_path", "name"], "left").join(only, ["repo", "name"], "left")
     return met.select("src", F.coalesce("here", "only").alias("dst")).where("dst is not null and src != dst").distinct()
+
+
+# How declarations other than functions begin, by kind.
+SYMBOLS = {
+    "script": re.compile(r"\b(?:(?P<class>class)|(?P<interface>interface)|(?P<enum>enum)|(?P<type>type)|(?P<module>namespace))\s+(?P<n>[A-Za-z_$][\w$]*)|\bthis\.(?P<method>[A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:function\b|\([^()]*\)\s*=>|[\w$]+\s*=>)|^(?:export\s+)?const\s+(?P<constant>[A-Z][A-Z0-9_]+)\b", re.M),
+    "rust": re.compile(r"\b(?:(?P<struct>struct)|(?P<enum>enum)|(?P<trait>trait)|(?P<type>type)|(?P<module>mod)|(?P<macro>macro_rules!))\s+(?P<n>\w+)|\b(?:const|static)\s+(?P<constant>[A-Z][A-Z0-9_]*)\b"),
+    "python": re.compile(r"^[ \t]*(?P<class>class)\s+(?P<n>\w+)|^(?P<constant>[A-Z][A-Z0-9_]+)\s*[:=]", re.M),
+}
+
+
+def symbols_of(text: str, extension: str, path: str = "") -> list[tuple[str, str, int]]:
+    """``(name, kind, line)`` of all declarations: functions, classes, types, constants, and methods assigned to ``this``."""
+    kind = family(extension)
+    if kind is None or not text:
+        return []
+    text = text.removeprefix("\ufeff").replace("\r\n", "\n")
+    out = [(f.name, "function", f.first_line) for f in functions_of(text, extension, path)]
+    code = blanked(text, kind == "python")
+    for m in SYMBOLS[kind].finditer(code):
+        found = {k: v for k, v in m.groupdict().items() if v and k != "n"}
+        what, word = next(iter(found.items()))
+        out.append((m.groupdict().get("n") or word, what, code.count("\n", 0, m.start()) + 1 + m.group()[: len(m.group()) - len(m.group().lstrip())].count("\n")))
+    return sorted(out, key=lambda s: (s[2], s[0]))
+
+
+def discovered_symbols(files: DataFrame) -> DataFrame:
+    """``(file_id, name, kind, line)`` of all declarations of ``files(file_id, file_path, content)``."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for fid, path, text in zip(b.file_id, b.file_path, b.content):
+                out += [(fid, *s) for s in symbols_of(text or "", (path or "").rsplit(".", 1)[-1].lower(), path or "")]
+            yield pd.DataFrame(out, columns=["file_id", "name", "kind", "line"])
+
+    return files.select("file_id", "file_path", "content").where("file_id is not null").mapInPandas(scan, "file_id long, name string, kind string, line long")

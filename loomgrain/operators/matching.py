@@ -203,3 +203,19 @@ def member_roles(members: DataFrame, limit: float = 0.85) -> DataFrame:
     mean = F.try_divide(F.col("hits") / F.col("width"), F.col("size") - 1)
     out = hits.join(size, "cluster_id").select("fn_id", "cluster_id", "size", F.round(mean, 6).alias("mean_similarity"))
     return out.withColumn("role", F.when(F.col("size") <= 1, "consistent").when(F.col("mean_similarity") < limit, "inconsistent").otherwise("consistent"))
+
+
+# Categories that make a member of a cluster safe or unsafe whatever the others are like.
+GUARDING = ["sanitize", "auth_middleware"]
+DANGEROUS = ["cmd_exec", "code_eval", "db_query", "db_write", "dom_xss"]
+
+
+def marked_roles(roles: DataFrame, markers: DataFrame, category_hashes: dict[str, int]) -> DataFrame:
+    """``roles(fn_id, ..., role)`` with ``safe`` for members that guard and do nothing dangerous, ``unsafe`` for the converse.
+
+    ``markers(fn_id, semantic_markers)``; ``category_hashes`` gives the marker of each category. Others keep their role.
+    """
+    some = lambda names: F.arrays_overlap("_m", F.array(*[F.lit(category_hashes[n]).cast("long") for n in names]))
+    rows = roles.join(markers.select("fn_id", M.members("semantic_markers").alias("_m")), "fn_id", "left").withColumn("_m", F.coalesce("_m", F.array().cast("array<bigint>")))
+    guards, danger = some(GUARDING), some(DANGEROUS)
+    return rows.withColumn("role", F.when(guards & ~danger, "safe").when(danger & ~guards, "unsafe").otherwise(F.col("role"))).drop("_m")

@@ -24,13 +24,13 @@ def fit_platt(score: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple
     return a, b, float(hit.sum() / n)
 
 
-def platt_calibration(rows: DataFrame, category: str, score: str, label: str, digits: int = 4) -> DataFrame:
+def platt_calibration(rows: DataFrame, category: str, score: str, label: str, digits: int | None = 4) -> DataFrame:
     """``(scope, key, a, b, n_samples, accuracy)``: one curve for all and one per category of at least 20 samples.
 
     Scores are counted per value (rounded to ``digits``) and label first, so a task gets at most 2 x 10^digits + 2 rows
-    for scores in [0, 1], however many samples there are. Null scores, labels and categories are left out.
+    for scores in [0, 1], however many samples there are; ``digits`` None counts them as they are. Null scores, labels and categories are left out.
     """
-    binned = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(category).alias("key"), F.round(score, digits).alias("score"), F.col(label).cast("double").alias("label")).agg(F.count("*").alias("n"))
+    binned = rows.where(F.col(score).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(category).alias("key"), (F.col(score) if digits is None else F.round(score, digits)).alias("score"), F.col(label).cast("double").alias("label")).agg(F.count("*").alias("n"))
     every = binned.groupBy("score", "label").agg(F.sum("n").alias("n")).withColumn("scope", F.lit("global")).withColumn("key", F.lit("_global"))
     each = binned.where("key is not null").withColumn("scope", F.lit("category"))
 

@@ -131,3 +131,9 @@ def config_rule_lines(spark: SparkSession, d: str) -> DataFrame:
         config_rules.ConfigRule("STORE_UNCHECKED", "warning", 754, (), (".js", ".ts"), any_of=("Store.",), none_of=("import ",), unless=("try {",)),
     ]
     return config_rules.config_findings(_files(spark, d), rules)
+
+
+@query()
+def discovered_symbols(spark: SparkSession, d: str) -> DataFrame:
+    """All declarations of all files by kind."""
+    return frontend.discovered_symbols(_files(spark, d))

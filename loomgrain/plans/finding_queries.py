@@ -234,12 +234,14 @@ _SPANS = "spans AS (SELECT repo, file_path, fn_id AS span_id, line AS s, line +
 
 
 @query(f"""
-WITH {FUNCTIONS}, {FILES}, {_SPANS}, pts AS (SELECT file_id, repo, file_path, unnest(range(1, 401, 25)) AS point FROM files WHERE repo IS NOT NULL AND file_path IS NOT NULL),
+WITH {FUNCTIONS}, {FILES}, {_SPANS}, ends AS (SELECT repo, file_path, max(e) AS last FROM spans GROUP BY 1, 2), pts AS (SELECT file_id, repo, file_path, unnest(range(1, last + 1)) AS point FROM files JOIN ends USING (repo, file_path)),
 m AS (SELECT file_id, p.repo, p.file_path, point, span_id, row_number() OVER (PARTITION BY file_id, point ORDER BY e - s, s DESC, span_id) AS r FROM pts p JOIN spans x ON x.repo = p.repo AND x.file_path = p.file_path AND point BETWEEN s AND e)
 SELECT file_id, point::BIGINT AS point, span_id FROM m WHERE r = 1""")
 def enclosing_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The tightest function around every line of every file, up to the end of its last function."""
     spans = functions(spark, d, "repo", "file_path", "line").select("repo", "file_path", F.col("fn_id").alias("span_id"), F.col("line").cast("long").alias("start"), (F.col("line") + 40 + F.col("fn_id") % 60).alias("end"))
-    points = files(spark, d, "repo", "file_path").select("file_id", "repo", "file_path", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(400).cast("long"), F.lit(25).cast("long"))).alias("point"))
+    ends = spans.groupBy("repo", "file_path").agg(F.max("end").cast("long").alias("last"))
+    points = files(spark, d, "repo", "file_path").join(ends, ["repo", "file_path"]).where("last > 0").select("file_id", "repo", "file_path", F.explode(F.sequence(F.lit(1).cast("long"), F.col("last"))).alias("point"))
     return joins.enclosing_span(points, spans, ["repo", "file_path"]).select("file_id", "point", "span_id")
 
 
@@ -292,17 +294,17 @@ def incremental_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("""
-SELECT vec_id, round(greatest(embedding[1], 0), 6) AS a, CASE WHEN greatest(embedding[1], embedding[2], embedding[3]) > 0.4 OR (embedding[1] > 0.15)::INT + (embedding[2] > 0.15)::INT + (embedding[3] > 0.15)::INT >= 2 THEN true ELSE false END AS gate,
+SELECT vec_id, round(greatest(embedding[1], 0), 6) AS a, list_max(embedding) > 0.4 OR len(list_filter(embedding, lambda x: x > 0.15)) >= 2 AS gate,
   round(CASE WHEN embedding[1] > 0.8 AND embedding[2] > 0.8 THEN greatest(embedding[3], 0.85) WHEN embedding[3] > 0.9 AND embedding[1] > 0.5 THEN greatest(embedding[3], 0.75) ELSE embedding[3] END, 6) AS score,
   round(least(embedding[1], greatest(embedding[1] * CASE label WHEN 0 THEN 1.0 WHEN 1 THEN 0.8 WHEN 2 THEN 0.75 ELSE 0.7 END, 0.35)), 6) AS discounted,
   round(least(embedding[1] * CASE WHEN label % 2 = 0 THEN 1.15 ELSE 1.2 END, 0.95), 6) AS boosted FROM (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS embedding FROM embeddings)""")
 def score_arithmetic(spark: SparkSession, d: str) -> DataFrame:
-    """Gate, override, hop discount and boost over the leading components of each vector."""
-    v = read_table(spark, d, "embeddings").select("vec_id", "label", *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2, 3)])
+    """The gate over all components of each vector; override, hop discount and boost, which take three scores, over the leading ones."""
+    v = read_table(spark, d, "embeddings").select("vec_id", "label", S.array_passes_gate(F.col("embedding").cast("array<double>")).alias("gate"), *[F.element_at("embedding", i).cast("double").alias(f"x{i}") for i in (1, 2, 3)])
     x1, x2, x3 = F.col("x1"), F.col("x2"), F.col("x3")
     r = lambda c: F.round(c, 6)
     return v.select(
-        "vec_id", r(F.greatest(x1, F.lit(0.0))).alias("a"), S.passes_noise_gate([x1, x2, x3]).alias("gate"), r(S.semantic_override(x3, x1, x2, x3)).alias("score"),
+        "vec_id", r(F.greatest(x1, F.lit(0.0))).alias("a"), "gate", r(S.semantic_override(x3, x1, x2, x3)).alias("score"),
         r(S.hop_discount(x1, F.col("label"))).alias("discounted"), r(S.taint_boost(x1, F.col("label") % 2 == 0)).alias("boosted"),
     )
 

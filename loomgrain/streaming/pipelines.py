@@ -12,23 +12,24 @@ from pyspark.sql import functions as F
 def incremental_scan(stream: DataFrame, process: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, key: str = "path"):
     """Process files ``(path, content_sha, ...)`` as they arrive, each content once.
 
-    A batch drops the contents that the manifest already has, so a redelivered batch changes nothing; the manifest is
-    written after the results. Returns the streaming query, which stops when all that is there has been read.
+    A batch drops the contents that other batches have, and results and manifest of a batch lie in folders of their own
+    that a repetition overwrites: a batch that was cut short anywhere and runs again changes nothing that is done. Returns the
+    streaming query, which stops when all that is there has been read.
     """
     spark = stream.sparkSession
 
     def batch(df: DataFrame, epoch: int) -> None:
+        fresh = df.dropDuplicates([key, "content_sha"])
         try:
-            known = spark.read.parquet(f"{out}/manifest").select(key, "content_sha")
-            fresh = df.dropDuplicates([key, "content_sha"]).join(known, [key, "content_sha"], "left_anti")
+            known = spark.read.parquet(f"{out}/manifest").where(F.col("epoch") != epoch).select(key, "content_sha")
+            fresh = fresh.join(known, [key, "content_sha"], "left_anti")
         except Exception as e:  # the first batch has no manifest
             if "PATH_NOT_FOUND" not in str(e):
                 raise
-            fresh = df.dropDuplicates([key, "content_sha"])
         fresh.persist()
         try:
-            process(fresh).write.mode("append").parquet(f"{out}/results")
-            fresh.select(key, "content_sha").write.mode("append").parquet(f"{out}/manifest")
+            process(fresh).write.mode("overwrite").parquet(f"{out}/results/epoch={epoch}")
+            fresh.select(key, "content_sha").write.mode("overwrite").parquet(f"{out}/manifest/epoch={epoch}")
         finally:
             fresh.unpersist()
 

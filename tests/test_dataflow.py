@@ -110,3 +110,12 @@ def test_validator_metrics():
     f = frontend.functions_of("function validateId(id) { log(id, id, id, id, id); if (id) { return 1; } }\n", "js")[0]
     m = taint.validator_metrics(f, {"id"})
     assert m["uses"] == 6 and m["branched"] == 1 and m["is_validator"] and m["hollow"]
+
+
+def test_symbols():
+    ts = "export class A {\n  m() { return 1; }\n}\ninterface B { x: string }\ntype C = A;\nfunction f() { this.go = () => 1; }\nexport const MAX_N = 3;\n// class Not {}\n"
+    got = {(n, k, line) for n, k, line in frontend.symbols_of(ts, "ts")}
+    assert got >= {("A", "class", 1), ("m", "function", 2), ("B", "interface", 4), ("C", "type", 5), ("f", "function", 6), ("go", "method", 6), ("MAX_N", "constant", 7)} and not any(n == "Not" for n, _, _ in got)
+    assert {(n, k) for n, k, _ in frontend.symbols_of("pub struct S;\nenum E { A }\ntrait T {}\nfn g() {}\nconst K: u8 = 1;\n", "rs")} == {("S", "struct"), ("E", "enum"), ("T", "trait"), ("g", "function"), ("K", "constant")}
+    assert {(n, k, line) for n, k, line in frontend.symbols_of("LIMIT = 2\nclass P:\n    def q(self):\n        pass\n", "py")} == {("LIMIT", "constant", 1), ("P", "class", 2), ("q", "function", 3)}
+    assert frontend.symbols_of("", "ts") == [] and frontend.symbols_of("x", "md") == []

@@ -363,3 +363,25 @@ def test_texts_are_deduplicated_as_by_key(spark):
         newest = {k: max(t for q, _, t in rows if q == k) for k in a}
         assert all(next(t for q, x, t in rows if x == r.text) == newest[r.k] for r in got)
     assert latest_texts(df.limit(0), "k", "at", ["text"]).count() == 0
+
+
+def test_marked_roles_and_quality_summary(spark):
+    from loomgrain.operators import filters, matching
+
+    h = {n: i for i, n in enumerate([*matching.GUARDING, *matching.DANGEROUS])}
+    roles = spark.createDataFrame([(1, "consistent"), (2, "inconsistent"), (3, "consistent"), (4, "consistent")], "fn_id long, role string")
+    markers = spark.createDataFrame([(1, [h["sanitize"]]), (2, [h["db_query"], None]), (3, [h["sanitize"], h["cmd_exec"]])], "fn_id long, semantic_markers array<bigint>")
+    assert {r.fn_id: r.role for r in matching.marked_roles(roles, markers, h).collect()} == {1: "safe", 2: "unsafe", 3: "consistent", 4: "consistent"}
+    ex = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("b", 3, True)], "tier string, n int, ok boolean")
+    scored = filters.quality_scores(ex, {"good": (F.col("ok"), 5)}, {"late": (F.col("n") > 2, 2)}, {"a": 4, "b": 4})
+    got = {r.tier: r for r in filters.quality_summary(scored).collect()}
+    assert (got["a"].examples, got["a"].enough, got["a"].least, got["a"].most, got["a"].lacking_most) == (2, 1, 0, 5, "good") and got["b"].lacking_most == "late" and got["b"].enough == 0
+
+
+def test_six_kinds_of_profile(spark):
+    from loomgrain.operators import profile
+
+    cols = list(profile.SOURCE_KINDS.values())
+    df = spark.createDataFrame([(1, "ts", "f", 1, *[[1, 2]] * 6), (2, "ts", "g", 2, *[[1]] * 5, None)], "fn_id long, language string, function_name string, line long, " + ", ".join(f"{c} array<bigint>" for c in cols))
+    got = {(r.kind, r.feature): r.n for r in profile.learn_profile(df, kinds=profile.SOURCE_KINDS).collect()}
+    assert len({k for k, _ in got}) == 6 and got[("signature", "1")] == 2 and got[("structure", "1")] == 1
