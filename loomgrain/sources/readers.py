@@ -228,8 +228,9 @@ KNOWN_UNSAFE = [
 
 
 def advisory_table(spark: SparkSession) -> DataFrame:
-    """``(package, safe_from, source)`` of the built-in list, to join where no audit report was read."""
-    return spark.createDataFrame(KNOWN_UNSAFE, "package string, safe_from string, source string")
+    """``(package, below, severity, title)`` of the built-in list, to join where no audit report was read."""
+    rows = [(package, below, "unknown", f"{source} package before {below}") for package, below, source in KNOWN_UNSAFE]
+    return spark.createDataFrame(rows, "package string, below string, severity string, title string")
 
 
 def read_audit(spark: SparkSession, path: str) -> DataFrame:

@@ -315,7 +315,10 @@ def test_audits_labels_calibration_and_workspaces(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"vulnerabilities": {"list": [{"advisory": {"package": "time", "severity": None}}]}}))
     assert {(r.package, r.source) for r in readers.read_audit(spark, str(tmp_path / "n.json")).collect()} == {("lodash", "npm")}
     assert {(r.package, r.source) for r in readers.read_audit(spark, str(tmp_path / "c.json")).collect()} == {("time", "cargo")}
-    assert readers.advisory_table(spark).where("package = 'lodash'").count() == 1
+    from loomgrain.operators import joins
+
+    unsafe = joins.vulnerable_dependencies(spark.createDataFrame([("p", "lodash", "4.1.0"), ("p", "axios", "9.0.0")], "path string, package string, version string"), readers.advisory_table(spark))
+    assert [(r.package, r.below) for r in unsafe.collect()] == [("lodash", "4.17.21")]
     (tmp_path / "l.json").write_text(json.dumps([{"id": "1", "file": "a.ts", "line": 3, "cwe": "CWE-89", "type": "sqli"}]))
     assert [(r.id, r.line) for r in readers.read_labels(spark, str(tmp_path / "l.json")).collect()] == [("1", 3)]
     (tmp_path / "k.json").write_text(json.dumps([{"scope": "global", "key": "_global", "a": 4.0, "b": -1.0, "n_samples": 10, "accuracy": 0.9}, {"scope": "category", "key": "x", "a": 1.0, "b": 0.0, "n_samples": 0, "accuracy": 0.9}]))
@@ -385,3 +388,20 @@ def test_six_kinds_of_profile(spark):
     df = spark.createDataFrame([(1, "ts", "f", 1, *[[1, 2]] * 6), (2, "ts", "g", 2, *[[1]] * 5, None)], "fn_id long, language string, function_name string, line long, " + ", ".join(f"{c} array<bigint>" for c in cols))
     got = {(r.kind, r.feature): r.n for r in profile.learn_profile(df, kinds=profile.SOURCE_KINDS).collect()}
     assert len({k for k, _ in got}) == 6 and got[("signature", "1")] == 2 and got[("structure", "1")] == 1
+
+
+def test_finding_modules(spark):
+    from loomgrain.plans import modules
+
+    files = spark.createDataFrame(
+        [
+            (1, "r", "h.ts", "function handler(req, res) {\n  fetch(req.query.u);\n  service(1);\n}\n"), (2, "r", "s.ts", "function service(x) {\n  exec(x);\n}\n"),
+            (3, "r", "server.js", "http.createServer(a)\n"), (4, "r", "package.json", json.dumps({"dependencies": {"lodash": "4.0.0", "fine": "1.0.0"}})),
+        ],
+        "file_id long, repo string, file_path string, content string",
+    )
+    advisories = spark.createDataFrame([("lodash", "4.17.21", "high", "t")], "package string, below string, severity string, title string")
+    context = {"files": files, "advisories": advisories}
+    found = {(r.rule_id, r.path) for r in modules.standard().run(context).collect()}
+    assert found == {("CROSS_FILE_TAINT", "r/s.ts"), ("CONFIGURATION", "server.js"), ("VULNERABLE_DEPENDENCY", "package.json")}
+    assert {r.rule_id for r in modules.standard().run(context, least="critical").collect()} == {"CROSS_FILE_TAINT"}
