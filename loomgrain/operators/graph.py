@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomgrain.session import cut_lineage
-from loomgrain.skew import hot_join
+from loomgrain.skew import hot_join, hot_keys
 
 
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, keep_every: int = 3) -> DataFrame:
@@ -68,9 +68,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.where("src is not null and dst is not null").select("src", "dst")
     both = cut_lineage(both.unionByName(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     labels = cut_lineage(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("label")))
+    hubs = hot_keys(both, "dst")
     while True:
         # a hub, and the label of a giant group, are met by broadcast of their few rows
-        seen = hot_join(both, labels.withColumnRenamed("node", "dst"), "dst").groupBy("src").agg(F.min("label").alias("seen"))
+        seen = hot_join(both, labels.withColumnRenamed("node", "dst"), "dst", hot=hubs).groupBy("src").agg(F.min("label").alias("seen"))
         step = cut_lineage(labels.join(seen, labels.node == seen.src).select("node", F.least("label", "seen").alias("new"), F.col("label").alias("old")))
         jump = step.select(F.col("node").alias("new"), F.col("new").alias("far"))
         step = cut_lineage(hot_join(step, jump, "new", "left").select("node", "old", F.least("new", F.coalesce("far", "new")).alias("label")))

@@ -34,12 +34,12 @@ def hot_keys(rows: DataFrame, key: str, share: float = SHARE, floor: int = FLOOR
     return [r[0] for r in full.select(key).collect()]
 
 
-def hot_join(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = SHARE, floor: int = FLOOR) -> DataFrame:
+def hot_join(rows: DataFrame, dim: DataFrame, key: str, how: str = "inner", share: float = SHARE, floor: int = FLOOR, hot: list | None = None) -> DataFrame:
     """``rows`` joined with ``dim``, which holds each key once. Rows of hot keys meet a broadcast of at most ``1 / share`` rows.
 
-    ``how`` is inner or left. ``rows`` is read several times and should be a stored table.
+    ``how`` is inner or left. ``rows`` is read several times and should be a stored table. ``hot`` may give the hot keys, where known.
     """
-    hot = hot_keys(rows, key, share, floor)
+    hot = hot_keys(rows, key, share, floor) if hot is None else hot
     if not hot:
         return rows.join(dim, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -33,10 +33,12 @@ def latest_texts(df: DataFrame, key: str, arrived: str, columns: list[str], bits
     """As :func:`latest_by_key`, for columns too large to move: only rows whose key may be repeated go through a shuffle.
 
     Keys alone are counted; the repeated ones set bits of a field of fixed size, and a row whose bit is not set
-    passes as it is. A full field costs time, not correctness.
+    passes as it is. A full field costs time, not correctness. Small scans are dealt out over the cores (:func:`spread`).
     """
-    rows = df.where(F.col(key).isNotNull()).withColumn("_slot", F.pmod(F.xxhash64(key), F.lit(1 << bits)))
-    repeated = rows.groupBy(key, "_slot").agg(F.count("*").alias("_n")).where("_n > 1")
+    slot = F.pmod(F.xxhash64(key), F.lit(1 << bits))
+    known = df.where(F.col(key).isNotNull())
+    repeated = known.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_slot", slot)
+    rows = spread(known.select(key, arrived, *[c for c in columns if c not in (key, arrived)]), key).withColumn("_slot", slot)
     word = F.element_at(bit_field(repeated.select("_slot"), "_slot", bits), (F.shiftright("_slot", 6) + 1).cast("int"))
     hit = F.expr("1L << cast(_slot & 63 as int)").bitwiseAND(word) != 0
     rows = rows.withColumn("_hit", hit)
