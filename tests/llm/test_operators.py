@@ -1,9 +1,11 @@
 """Small cases of every operator: nulls, empty and long values, ties, repeated rows, empty tables, clashing columns, hot groups."""
 
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -291,6 +293,41 @@ def test_kinds_of_source_files(spark):
     assert source_kind.source_kinds(files.limit(0)).count() == 0
 
 
+def test_kinds_hold_a_piece_of_a_batch(spark, monkeypatch):
+    """What a worker makes of its texts follows neither the rows of an Arrow batch nor the words it has seen."""
+
+    class Scan:
+        def mapInPandas(self, look, _):
+            return lambda batch: look(iter([batch.to_pandas()]))
+
+        def mapInArrow(self, look, _):
+            return lambda batch: look(iter([batch]))
+
+    monkeypatch.setattr(source_kind, "spread", lambda rows, key: Scan())
+    look = source_kind.file_evidence(spark.createDataFrame([], "file_id long, repo string, file_path string, content string"))
+    texts = [BODY.format(f"n{i % 9}", f"p{i % 9}", f"q{i % 9}", i % 9) * 10 for i in range(1500)]
+    few, many = (pa.RecordBatch.from_pydict({"file_id": list(range(n)), "repo": ["r"] * n, "file_path": [f"src/{i}.ts" for i in range(n)], "content": texts[:n]}) for n in (400, 1500))
+    rows, peaks = [], []
+    for batch in (few, many):
+        tracemalloc.start()
+        rows.append(sum(len(out) for out in look(batch)))
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert rows == [400, 1500] and peaks[1] < 1.5 * peaks[0]
+
+    for i in range(30):
+        source_kind.describe("a.py", f"DATA = '{i}{'x' * 400_000}'\n")
+    assert sum(map(len, source_kind._words)) < 6_000_000
+
+
+def test_kinds_of_batches_with_empty_and_long_texts():
+    texts = ["", "x" * (source_kind.PIECE_BYTES + 5), "é", "", "y" * (source_kind.PIECE_BYTES - 1), "z"] + ["w" * 1000] * 3000
+    batches = [pa.RecordBatch.from_pydict({"file_id": ids, "content": [texts[i] for i in ids]}, pa.schema([("file_id", pa.int64()), ("content", pa.string())])) for ids in ([], [0, 1, 2], [3], list(range(4, len(texts))))]
+    pieces = list(source_kind._pieces(iter(batches)))
+    assert [(i, t) for p in pieces for i, t in zip(p["file_id"], p["content"])] == list(enumerate(texts))
+    assert all(sum(map(len, p["content"][:-1])) < source_kind.PIECE_BYTES for p in pieces)
+
+
 # ---------------------------------------------------------------- 6
 
 GOOD = {
